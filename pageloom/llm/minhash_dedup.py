@@ -5,14 +5,17 @@ hashes for each of the L tables, two collections of SIDE pieces are computed, ea
 minhashes, and table (i, j) is keyed by piece i of the first with piece j of the second: SIDE * SIDE
 tables from 2 * SIDE * PIECE minhashes, about the square root of what independent tables need. Two sets
 of similarity s meet unless they miss on a whole side, with probability of 2 * (1 - s**PIECE) ** SIDE at
-most: 2e-4 at s = 0.75, 1e-5 at 0.8.
-
-Links are confirmed on the full sets. Not all pairs of a table's bucket are compared: equal sets are one
-node from the start; each member of a bucket is compared with the bucket's smallest node; once these
-links have merged nodes into components, only members of different components of a bucket can still
-add anything, and of these only pairs that the sizes of the sets, and the triangle inequality
-on the distances to the node that both were compared with, leave possible. Components are joined over
-the confirmed links without collecting any of them.
+most: 5e-4 at s = 0.75, 7e-5 at 0.8, 5e-6 at 0.85.
+
+Equal sets are one node from the start. A table's bucket links its members to its smallest node, which
+is a row for each member and not one for each pair; nodes that such candidate links connect are a
+family. Links are then confirmed on the full sets of each family: nodes are dealt into blocks of about
+BLOCK shingles in all, each pair of blocks of a family is one bounded unit of work (so a family
+of any size is spread over tasks), and inside it sets that share too few shingles with anything are put aside, again and again, until
+the sizes of all intersections of the rest come out of a product of incidence matrices. What leaves the unit is a
+spanning forest of its links, never its pairs. Families and final components are joined as
+tables, without collecting any of them. As whole families are compared, two similar sets also meet if
+they collide with a common third one.
 
 Defined results: a null, empty or blank text has an empty set, links with nothing and is kept. Rows
 that repeat a doc_id are one document. A row without doc_id takes part in links; its component_id is
@@ -28,18 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pageloom.llm.common import discard, mix64, settle, windows
+from pageloom.llm.common import mix64, settle, windows
 from pageloom.llm.components import connected_components
 
 WIDTH = 5
-SIDE = 12
+SIDE = 10
 PIECE = 2
 SIMILARITY = 75  # in hundredths
-#: Rows handed to Python at once; a batch of long documents stays small.
-SLICE = 256
+#: Shingles in a block of a family, about.
+BLOCK = 400_000
+#: Columns multiplied at once.
+COLUMNS = 2048
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -72,7 +78,12 @@ def side(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-@F.arrow_udf("struct<n:bigint,digest:binary,first:array<bigint>,second:array<bigint>>")
+LONGS = T.ArrayType(T.LongType())
+#: Types are objects, not DDL: executors import this module, and have no session to parse with.
+SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("first", LONGS), T.StructField("second", LONGS)])
+
+
+@F.arrow_udf(SIGNATURE)
 def signature(texts: pa.Array) -> pa.Array:
     """Size and digest of the set, and its two collections of pieces (null for an empty set)."""
     n, digests, first, second = [], [], [], []
@@ -87,7 +98,7 @@ def signature(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, longs), pa.array(second, longs)], names=["n", "digest", "first", "second"])
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(LONGS)
 def shingles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         sets = [shingle_set(t.as_py()).view(np.int64) for t in batch]
@@ -97,24 +108,75 @@ def shingles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, n): a row for each node and table."""
+    """(key, node): a row for each node and table."""
     cells = F.flatten(F.transform("first", lambda a, i: F.transform("second", lambda b, j: F.xxhash64(a, b, i * SIDE + j))))
-    return nodes.select(F.explode(cells).alias("key"), "node", "n")
-
-
-def similar(shared: Column, n: Column, m: Column) -> Column:
-    return 100 * shared >= SIMILARITY * (n + m - shared)
-
-
-def sizes_allow(n: Column, m: Column) -> Column:
-    return 100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)
-
-
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(u, v) with the sizes n, m of their sets and the size of the intersection."""
-    left = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    return nodes.select(F.explode(cells).alias("key"), "node")
+
+
+def links_between(sizes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets: (row, row) pairs of similar sets.
+
+    sizes are those of the sets, values their members one set after another.
+    """
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    kept = np.ones(len(sizes), bool)
+    _, columns = np.unique(values, return_inverse=True)
+    while True:  # a set needs SIMILARITY hundredths of its members in other sets
+        met = np.bincount(columns, minlength=1) >= 2
+        shared = np.bincount(rows[met[columns]], minlength=len(sizes))
+        stay = kept & (100 * shared >= SIMILARITY * sizes)
+        if not stay.any():
+            return []
+        if stay.sum() == kept.sum():
+            break
+        kept = stay
+        inside = kept[rows]
+        rows, columns = rows[inside], columns[inside]
+    inside = met[columns]
+    rows, columns = rows[inside], columns[inside]
+    at = np.flatnonzero(kept)
+    place = np.full(len(sizes), -1)
+    place[at] = np.arange(len(at))
+    rows = place[rows]
+    _, columns = np.unique(columns, return_inverse=True)
+    common = np.zeros((len(at), len(at)), np.float32)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for low in range(0, int(columns[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(columns, (low, low + COLUMNS))
+        part = np.zeros((len(at), min(COLUMNS, int(columns[-1]) + 1 - low)), np.float32)
+        part[rows[a:b], columns[a:b] - low] = 1
+        common += part @ part.T
+    n = sizes[at]
+    shared = np.rint(common).astype(np.int64)
+    linked = 100 * shared >= SIMILARITY * (n[:, None] + n[None, :] - shared)
+    return forest(at, linked)
+
+
+def forest(at: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span each component of a symmetric matrix, by a search from its unseen rows."""
+    unseen, out = np.ones(len(at), bool), []
+    for root in range(len(at)):
+        if not unseen[root]:
+            continue
+        unseen[root] = False
+        front = [root]
+        while front:
+            k = front.pop()
+            new = np.flatnonzero(linked[k] & unseen)
+            unseen[new] = False
+            out += [(int(at[k]), int(at[j])) for j in new]
+            front += new.tolist()
+    return out
+
+
+def confirm(unit: pa.Table) -> pa.Table:
+    members = unit.column("members").combine_chunks()
+    sizes = np.diff(members.offsets.to_numpy())
+    node = unit.column("node").to_numpy()
+    found = links_between(sizes, members.flatten().to_numpy())
+    u, v = (node[[f[k] for f in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def find_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,8 +186,7 @@ def find_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # one node for equal sets, named by its smallest document
     groups = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
     groups = settle(groups.withColumn("node", F.coalesce("least", F.xxhash64("digest"))), "nodes")
-    links, used = confirmed_links(groups, plain)
-    labels = connected_components(links)
+    labels = connected_components(settle(confirmed_links(groups, plain), "confirmed"))
     named = groups.select("digest", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the smallest document of a component: its smallest node, unless that one had no doc_id
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -136,20 +197,26 @@ def find_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
-    result = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    discard(*used)
-    return result
-
-
-def confirmed_links(groups: DataFrame, plain: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (u, v) that join all nodes that chains of similar sets join, and the tables to discard."""
-    keys = table_keys(groups.select("node", "n", "first", "second"))
-    # buckets of two or more members
-    full = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("key", "pivot")
-    crowd = settle(keys.join(full, "key"), "buckets")
-    wanted = crowd.select("node").distinct()
-    sets = settle(plain.join(groups.select("least", "node"), plain["doc_id"] == F.col("least")).join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", shingles("text").alias("members")), "sets")
-    pairs = crowd.where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    tried = settle(compare(pairs, sets), "pivot_pairs")
-    links = tried.where(similar(F.col("shared"), F.col("n"), F.col("m"))).select("u", "v")
-    return links, [crowd, sets]
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """(u, v): each node with the smallest node of each bucket that holds both."""
+    keys = table_keys(nodes)
+    full = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("key", "v")
+    return keys.join(full, "key").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def confirmed_links(nodes: DataFrame, plain: DataFrame) -> DataFrame:
+    """(u, v) links that connect all nodes of a family that chains of similar sets connect."""
+    families = connected_components(candidate_links(nodes.select("node", "first", "second")))
+    sized = families.join(nodes.select("node", "least", "n"), "node").select("node", "least", F.col("component").alias("family"), "n")
+    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = sized.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a block meets itself alone when the family has one block, else the other blocks one at a time
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
+    others = F.filter(others, lambda p: (F.col("blocks") == 1) | (p["low"] != p["high"]))
+    placed = placed.select("node", "least", "family", others.alias("units"))
+    sets = plain.join(placed, plain["doc_id"].eqNullSafe(F.col("least"))).dropDuplicates(["node"]).select("family", "units", "node", shingles("text").alias("members"))
+    units = sets.select("family", F.explode("units").alias("unit"), "node", "members").select("family", "unit.low", "unit.high", "node", "members")
+    return units.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint")

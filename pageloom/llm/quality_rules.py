@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.llm import text_stats
 from pageloom.llm.common import free_names
@@ -30,7 +31,10 @@ from pageloom.llm.common import free_names
 GOOD, BAD, ABSTAIN, SILENT = 1, 0, 2, 3
 
 
-@F.arrow_udf(text_stats.DDL)
+STATISTICS = T.StructType([T.StructField(k, T.LongType()) for k in text_stats.FIELDS])
+
+
+@F.arrow_udf(STATISTICS)
 def text_statistics(texts: pa.Array) -> pa.Array:
     return text_stats.stats_array(texts)
 

@@ -44,7 +44,6 @@ FIELDS: dict[str, pa.DataType] = {
     "n_same_as_last": pa.int64(),
     "n_bytes": pa.int64(),
 }
-DDL = "struct<" + ",".join(f"{k}:bigint" for k in FIELDS) + ">"
 
 
 def repeated_positions(ids: np.ndarray, width: int = 5) -> int:

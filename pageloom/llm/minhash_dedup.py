@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import mix64, settle, windows
+from pageloom.llm.common import free_names, mix64, settle, windows
 from pageloom.llm.components import connected_components
 
 WIDTH = 5
@@ -220,3 +220,17 @@ def confirmed_links(nodes: DataFrame, plain: DataFrame) -> DataFrame:
     sets = plain.join(placed, plain["doc_id"].eqNullSafe(F.col("least"))).dropDuplicates(["node"]).select("family", "units", "node", shingles("text").alias("members"))
     units = sets.select("family", F.explode("units").alias("unit"), "node", "members").select("family", "unit.low", "unit.high", "node", "members")
     return units.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates in docs(doc_id, text, ...), columns unchanged.
+
+    Rows that repeat a kept doc_id count as that document and go, too; rows without doc_id stay only
+    where their group has no doc_id at all.
+    """
+    found = find_components(docs)
+    marked, same = free_names(docs, "marked", "same")
+    named = found.where("kept").groupBy("doc_id").agg(F.first("n_shingles").alias("n")).select(F.col("doc_id").alias(marked))
+    met = docs.join(named, docs["doc_id"].eqNullSafe(F.col(marked)), "left_semi")
+    keyed = met.withColumn(same, F.when(met["doc_id"].isNull(), F.xxhash64("text")))
+    return keyed.dropDuplicates(["doc_id", same]).drop(same)

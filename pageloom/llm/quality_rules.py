@@ -82,13 +82,12 @@ class LabelModel:
     prior: float
     votes: np.ndarray
 
-    def log_odds(self, pattern: Column) -> Column:
-        total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for k, (bad, good) in enumerate(self.votes):
-            vote = F.substring(pattern, k + 1, 1)
-            weight = [math.log(good[v] / bad[v]) for v in range(3)]
-            total = total + F.when(vote == str(GOOD), weight[GOOD]).when(vote == str(BAD), weight[BAD]).when(vote == str(ABSTAIN), weight[ABSTAIN]).otherwise(0.0)
-        return total
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability of a good document for each row of votes."""
+        weight = np.zeros((len(self.votes), 4))  # SILENT weighs nothing
+        weight[:, :3] = np.log(self.votes[:, GOOD] / self.votes[:, BAD])
+        odds = math.log(self.prior / (1 - self.prior)) + weight[np.arange(len(weight)), patterns].sum(1)
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
 #: Votes expected before any are seen, by class: bad, good and abstaining; and how many such votes they weigh.
@@ -141,7 +140,13 @@ def base_failed(stats: Column) -> Column:
 
 def judge(df: DataFrame, stats: Column, model: LabelModel, threshold: float = 0.5) -> dict[str, Column]:
     """Columns base_failed, posterior and kept of rows with statistics."""
-    posterior = 1 / (1 + F.exp(-model.log_odds(vote_pattern(stats))))
+
+    @F.arrow_udf(T.DoubleType())
+    def posterior_of(patterns: pa.Array) -> pa.Array:
+        cast = np.array([[ord(v) - 48 for v in p] for p in patterns.to_pylist()], np.int64).reshape(-1, len(RULES))
+        return pa.array(model.posterior(cast), pa.float64())
+
+    posterior = posterior_of(vote_pattern(stats))
     failed = base_failed(stats)
     return {"base_failed": failed, "posterior": posterior, "kept": ~failed & (posterior >= threshold)}
 

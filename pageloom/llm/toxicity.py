@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import settle
+from pageloom.llm.common import free_names, settle
 from pageloom.llm.labels import Isotonic, labelled
 from pageloom.llm.trees import Boosted, fit_boosted
 
@@ -223,3 +223,10 @@ def score_column(scorer: Scorer, text: Column) -> Column:
             yield pa.array(scorer.scores(batch.to_pylist()), pa.float64())
 
     return score(text)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = SAMPLE) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that score below 0.5, columns unchanged."""
+    scorer = fit(docs, labels, learn, limit)
+    (score,) = free_names(docs, "score_now")
+    return docs.withColumn(score, score_column(scorer, F.col("text"))).where(F.col(score) < 0.5).drop(score)

@@ -37,11 +37,11 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int | None = 1, capacity: int =
     """The pieces of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, and ids if asked for."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer).ids
+        encoder = tokens.encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.with_end(encode(text.as_py()), end_id)
+            for doc, found in zip(batch.column(0).to_pylist(), tokens.in_slices(encoder, batch.column(1)), strict=True):
+                ids = tokens.with_end(found, end_id)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity].astype("<u4")
                     rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int64) if keep_ids else None))

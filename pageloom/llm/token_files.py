@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     """Encodes docs(doc_id, text) and writes the data set at path."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = tokens.encoder(tokenizer).ids, TaskContext.get().partitionId()
+        encoder, shard = tokens.encoder(tokenizer), TaskContext.get().partitionId()
         number = start = held = 0
         docs_held: list[int | None] = []
         ids_held: list[np.ndarray] = []
@@ -119,9 +119,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ARROW, strict=True)], schema=ARROW)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, found in zip(batch.column(0).to_pylist(), tokens.in_slices(encoder, batch.column(1)), strict=True):
                 docs_held.append(doc)
-                ids_held.append(tokens.with_end(encode(text.as_py()), end_id))
+                ids_held.append(tokens.with_end(found, end_id))
                 held += len(ids_held[-1])
                 if held >= SEGMENT:
                     yield flush()

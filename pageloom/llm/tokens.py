@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Words that an encoder remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 #: Marks that may follow a word: after a letter they are always tokens of their own.
 MARKS = b".,;:!?"
+#: Below it, lower-case letters are the same in all Unicode versions and stay as they are when normalised.
+LATIN_END = "\u0250"
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -31,6 +35,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = drops_gaps(path)
+        self.word_ends = word_ends(self.tokenizer, path) if self.by_words else None
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -38,26 +43,62 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if not self.by_words:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        raw = text.encode("utf-8")
-        words = raw.split() if b"<|" in raw else raw.lower().split()
-        try:
-            found = b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn({w for w in words if w not in self.known})
-            found = b"".join(map(self.known.__getitem__, words))
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-        return np.frombuffer(found, "<u4")
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; new words of all of them are learnt in one go."""
+        if not self.by_words:
+            return [self.ids(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        split = []
+        for text in texts:
+            raw = (text or "").encode("utf-8")
+            split.append(raw.split() if b"<|" in raw else raw.lower().split())
+        known = self.known
+        if new := {w for words in split for w in words if w not in known}:
+            self.learn(new)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
 
     def learn(self, words: set[bytes]) -> None:
         """Remembers the ids of words; a word that ends in marks after a letter is that word and the marks."""
         parts = {w: (bare, w[len(bare) :]) for w in words if w[-1] in MARKS and (bare := w.rstrip(MARKS)) and bare[-1] in LETTERS}
         new = [w for w in words.difference(parts).union(*parts.values()) if w not in self.known]
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+        plain, rest = [], []
+        for w in new:
+            text = w.decode("utf-8")
+            (plain if self.word_ends is not None and text.isalpha() and text.lower() == text and max(text) < LATIN_END else rest).append(text)
+        for group, encode in ((plain, self.joined), (rest, self.one_by_one)):
+            self.known.update(zip((w.encode("utf-8") for w in group), encode(group), strict=True))
         self.known.update((w, self.known[bare] + self.known[marks]) for w, (bare, marks) in parts.items())
 
 
+    def one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """As one text, cut after each id that ends a word; words of letters alone are one piece each."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.word_ends[ids]) + 1
+        if len(ends) != len(words):
+            return self.one_by_one(words)
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def word_ends(tokenizer, path: str) -> np.ndarray | None:
+    """Which ids end a word, for models that mark the end of each."""
+    with open(path, encoding="utf-8") as f:
+        mark = (json.load(f).get("model") or {}).get("end_of_word_suffix")
+    if not mark:
+        return None
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+    return out
+
+
 def drops_gaps(path: str) -> bool:
     """Whether the tokenizer lower-cases, splits a text into runs without white space and drops all else."""
     with open(path, encoding="utf-8") as f:
@@ -72,6 +113,12 @@ def drops_gaps(path: str) -> bool:
     return lowers and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and all(p in parts or (p.startswith("'") and p[1:].isalpha()) for p in rest)
 
 
+def in_slices(encoder: Encoder, column: pa.Array, size: int = 128) -> Iterator[np.ndarray]:
+    """The ids of each text of an Arrow column."""
+    for at in range(0, len(column), size):
+        yield from encoder.many(column.slice(at, size).to_pylist())
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder for each file in a Python process."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+LIBC = ctypes.CDLL(None)
 #: The white space that separates words, as characters.
 WORD_GAPS = " \t\n\x0b\x0c\r"
 #: Odd multipliers for the places of a window, from the golden ratio.
@@ -59,6 +63,24 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
+def in_turn(function: Callable[[pa.Array], pa.Array]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """function over the batches of a partition, with freed memory given back at its end."""
+
+    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield function(column)
+        give_back()
+
+    return batches
+
+
 def word_ids(words: list[bytes]) -> np.ndarray:
     """Numbers the distinct words of one text in order of first use."""
     seen: defaultdict[bytes, int] = defaultdict(count().__next__)

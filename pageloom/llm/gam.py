@@ -15,6 +15,7 @@ Empty tables give empty results, and other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm import text_stats
-from pageloom.llm.common import free_names
+from pageloom.llm.common import free_names, in_turn
 from pageloom.llm.labels import labelled
 from pageloom.llm.trees import RIDGE, binned, edges_of, sigmoid
 
@@ -58,8 +59,8 @@ def features_of(stats: tuple[int, ...]) -> list[float]:
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
-def text_features(texts: pa.Array) -> pa.Array:
-    return pa.array([features_of(text_stats.stats_of(t.as_py())) for t in texts], pa.list_(pa.float64()))
+def text_features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from in_turn(lambda batch: pa.array([features_of(text_stats.stats_of(t.as_py())) for t in batch], pa.list_(pa.float64())))(texts)
 
 
 @dataclass

@@ -10,7 +10,7 @@ most: 5e-4 at s = 0.75, 7e-5 at 0.8, 5e-6 at 0.85.
 Equal sets are one node from the start. A table's bucket links its members to its smallest node, which
 is a row for each member and not one for each pair; nodes that such candidate links connect are a
 family. Links are then confirmed on the full sets of each family: nodes are dealt into blocks of about
-BLOCK shingles in all, each pair of blocks of a family is one bounded unit of work (so a family
+BLOCK shingles and NODES sets at most, each pair of blocks of a family is one bounded unit of work (so a family
 of any size is spread over tasks), and inside it sets that share too few shingles with anything are put aside, again and again, until
 the sizes of all intersections of the rest come out of a product of incidence matrices. What leaves the unit is a
 spanning forest of its links, never its pairs. Families and final components are joined as
@@ -35,15 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import free_names, mix64, settle, windows
+from pageloom.llm.common import free_names, give_back, in_turn, mix64, settle, windows
 from pageloom.llm.components import connected_components
 
 WIDTH = 5
 SIDE = 10
 PIECE = 2
 SIMILARITY = 75  # in hundredths
-#: Shingles in a block of a family, about.
+#: Shingles, and sets, in a block of a family at most, about.
 BLOCK = 400_000
+NODES = 1_000
+#: Sets that are made at one time.
+SLICE = 512
 #: Columns multiplied at once.
 COLUMNS = 2048
 
@@ -84,8 +87,12 @@ SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("diges
 
 
 @F.arrow_udf(SIGNATURE)
-def signature(texts: pa.Array) -> pa.Array:
+def signature(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Size and digest of the set, and its two collections of pieces (null for an empty set)."""
+    yield from in_turn(signatures)(texts)
+
+
+def signatures(texts: pa.Array) -> pa.StructArray:
     n, digests, first, second = [], [], [], []
     for t in texts:
         s = shingle_set(t.as_py())
@@ -98,13 +105,22 @@ def signature(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, longs), pa.array(second, longs)], names=["n", "digest", "first", "second"])
 
 
-@F.arrow_udf(LONGS)
-def shingles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
-        sets = [shingle_set(t.as_py()).view(np.int64) for t in batch]
-        ends = np.cumsum([0, *map(len, sets)])
-        values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+def with_members(rows: DataFrame, text: str) -> DataFrame:
+    """rows with the shingle set of a text in its place, as an array members; few sets are in memory at one time."""
+    at, others = rows.columns.index(text), [c for c in rows.columns if c != text]
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(at)]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                members = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), members], names=[*others, "members"])
+        give_back()
+
+    schema = T.StructType([*(rows.schema[c] for c in others), T.StructField("members", LONGS)])
+    return rows.mapInArrow(sets_of, schema)
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
@@ -148,8 +164,10 @@ def links_between(sizes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]
         part[rows[a:b], columns[a:b] - low] = 1
         common += part @ part.T
     n = sizes[at]
-    shared = np.rint(common).astype(np.int64)
-    linked = 100 * shared >= SIMILARITY * (n[:, None] + n[None, :] - shared)
+    linked = np.empty(common.shape, bool)
+    for low in range(0, len(at), 256):
+        shared = np.rint(common[low : low + 256]).astype(np.int64)
+        linked[low : low + 256] = 100 * shared >= SIMILARITY * (n[low : low + 256, None] + n[None, :] - shared)
     return forest(at, linked)
 
 
@@ -211,13 +229,14 @@ def confirmed_links(nodes: DataFrame, plain: DataFrame) -> DataFrame:
     """(u, v) links that connect all nodes of a family that chains of similar sets connect."""
     families = connected_components(candidate_links(nodes.select("node", "first", "second")))
     sized = families.join(nodes.select("node", "least", "n"), "node").select("node", "least", F.col("component").alias("family"), "n")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / NODES)).cast("int").alias("blocks"))
     placed = sized.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets itself alone when the family has one block, else the other blocks one at a time
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
     others = F.filter(others, lambda p: (F.col("blocks") == 1) | (p["low"] != p["high"]))
     placed = placed.select("node", "least", "family", others.alias("units"))
-    sets = plain.join(placed, plain["doc_id"].eqNullSafe(F.col("least"))).dropDuplicates(["node"]).select("family", "units", "node", shingles("text").alias("members"))
+    sets = plain.join(placed, plain["doc_id"].eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    sets = with_members(sets.select("family", "units", "node", "text"), "text")
     units = sets.select("family", F.explode("units").alias("unit"), "node", "members").select("family", "unit.low", "unit.high", "node", "members")
     return units.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint")
 

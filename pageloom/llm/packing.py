@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm import tokens
-from pageloom.llm.common import discard, settle
+from pageloom.llm.common import discard, give_back, settle
 
 CAPACITY = 4096
 SHARD = 40_000
@@ -50,6 +50,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int | None = 1, capacity: int =
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             n = 5 + keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:n], types, strict=False)], names=names[:n])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES + ", ids array<bigint>" * keep_ids)
 

@@ -16,6 +16,7 @@ whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm import text_stats
-from pageloom.llm.common import free_names
+from pageloom.llm.common import free_names, in_turn
 
 #: A vote; SILENT is that of a rule which a text is too short for, and is no evidence, while abstaining is.
 GOOD, BAD, ABSTAIN, SILENT = 1, 0, 2, 3
@@ -35,8 +36,8 @@ STATISTICS = T.StructType([T.StructField(k, T.LongType()) for k in text_stats.FI
 
 
 @F.arrow_udf(STATISTICS)
-def text_statistics(texts: pa.Array) -> pa.Array:
-    return text_stats.stats_array(texts)
+def text_statistics(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from in_turn(text_stats.stats_array)(texts)
 
 
 def _share(top: Column, bottom: Column) -> Column:

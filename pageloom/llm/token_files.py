@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import tokens
+from pageloom.llm.common import give_back
 
 BLOCK = 1024
 SEGMENT = 1 << 16
@@ -127,6 +128,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
                     yield flush()
         if docs_held:
             yield flush()
+        give_back()
 
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)

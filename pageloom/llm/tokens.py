@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words that an encoder remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 
 #: Marks that may follow a word: after a letter they are always tokens of their own.

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import free_names, settle
+from pageloom.llm.common import free_names, give_back, settle
 from pageloom.llm.labels import Isotonic, labelled
 from pageloom.llm.trees import Boosted, fit_boosted
 
@@ -37,7 +37,9 @@ LEXICON = 2_000
 NOTABLE, ODDS = 30.0, 1.5
 BEGINNINGS = (3, 4, 5, 6, 7)
 NEAR = 5
-REMEMBERED = 500_000
+#: Texts that are Python strings at one time.
+SLICE = 512
+REMEMBERED = 150_000
 #: Insults of English (a fixed list).
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool imbecile jerk ugly hate shut kill".encode().split())
 #: Second-person words of English, French, German and Spanish (fixed values).
@@ -138,9 +140,10 @@ def count_terms(sample: DataFrame) -> DataFrame:
             for text, label, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 cores = {core_of(w)[0] for w in set((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split())}
                 found[2 * half + (label > 0)].update({t for c in cores if c for t in terms_of(c)})
-                if sum(map(len, found)) > 300_000:
+                if sum(map(len, found)) > 150_000:
                     yield flush()
         yield flush()
+        give_back()
 
     rows = sample.select("text", "label", "half").mapInArrow(counts, "term binary, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
     return rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2", "c3")])
@@ -220,7 +223,10 @@ def score_column(scorer: Scorer, text: Column) -> Column:
     @F.arrow_udf(T.DoubleType())
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array(scorer.scores(batch.to_pylist()), pa.float64())
+            parts = [scorer.scores(batch.slice(at, SLICE).to_pylist()) for at in range(0, len(batch), SLICE)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+        scorer.lexicon = None
+        give_back()
 
     return score(text)
 

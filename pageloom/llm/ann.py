@@ -7,9 +7,10 @@ order. How many it visits is calibrated: on queries drawn from the sample the nu
 the recall against brute force over the sample reaches TARGET; a query goes on until it has met more
 rows than it needs, so that no answer is short. Only the sample and the tree come to the driver.
 
-Leaves are split by a hash into blocks of about ROWS vectors, the queries of a leaf into blocks of
-QUERIES, and each pair of blocks is one unit of work, so a leaf that holds a third of all rows, or
-thousands of equal vectors, is spread over tasks. A unit returns its best k of each query; the best k of
+Neighbouring leaves are stored together in groups of about ROWS vectors, and a visit to a leaf searches its
+whole group, which answers once. A leaf larger than that is a group of its own, split by a hash into blocks of about ROWS vectors; the
+queries of a group are split into blocks of QUERIES. Each pair of blocks is one unit of work, so a leaf
+that holds a third of all rows, or thousands of equal vectors, is spread over tasks. A unit returns its best k of each query; the best k of
 those are chosen by a window whose limit is applied before the shuffle.
 
 Defined results: vectors that are null, empty or zero, that hold null or non-finite components, or whose
@@ -140,6 +141,17 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, target: float = TARGET, trials:
     return int(np.searchsorted(share, target)) or 1
 
 
+def grouped(counts: np.ndarray, rows: int) -> np.ndarray:
+    """The group of each leaf: leaves in turn share a group until it would hold more than `rows`."""
+    out, group, held = np.zeros(len(counts), np.int64), 0, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if held and held + n > rows:
+            group, held = group + 1, 0
+        out[leaf] = group
+        held += n
+    return out
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda v: v != 0)
@@ -195,25 +207,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
     counts = np.zeros(tree.n_leaves, np.int64)
     for leaf, held in placed.groupBy("leaf").count().collect():  # MAX_LEAVES rows at most
         counts[leaf] = held
-    n_blocks = np.maximum(1, -(-counts // ROWS))
+    groups = grouped(counts, ROWS)
+    n_groups = int(groups.max()) + 1
+    n_blocks = np.maximum(1, -(-np.bincount(groups, counts, n_groups).astype(np.int64) // ROWS))
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("leaf", T.IntegerType()), T.StructField("block", T.IntegerType())])))
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("group", T.IntegerType()), T.StructField("block", T.IntegerType())])))
     def units_of(column: pa.Array) -> pa.Array:
         out = []
         for q in _matrix(column, dim):
-            out.append([{"leaf": at, "block": b} for at in tree.walk(q, visits, counts, k + 1) for b in range(int(n_blocks[at]))])
-        return pa.array(out, pa.list_(pa.struct([("leaf", pa.int32()), ("block", pa.int32())])))
+            visited = dict.fromkeys(int(groups[leaf]) for leaf in tree.walk(q, visits, counts, k + 1))
+            out.append([{"group": g, "block": b} for g in visited for b in range(int(n_blocks[g]))])
+        return pa.array(out, pa.list_(pa.struct([("group", pa.int32()), ("block", pa.int32())])))
 
     asked = placed.where("asks").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vector", units_of("vector").alias("units"))
     asked = settle(asked.select("query_id", "vector", F.explode("units").alias("unit")).select("query_id", "vector", "unit.*"), "asked")
-    askers = np.zeros(tree.n_leaves, np.int64)
-    for leaf, held in asked.where("block = 0").groupBy("leaf").count().collect():
-        askers[leaf] = held
+    askers = np.zeros(n_groups, np.int64)
+    for group, held in asked.where("block = 0").groupBy("group").count().collect():
+        askers[group] = held
     n_parts = np.maximum(1, -(-askers // QUERIES))
-    # MAX_LEAVES rows at most
-    leaves = F.broadcast(spark.createDataFrame([(j, int(b), int(p)) for j, (b, p) in enumerate(zip(n_blocks, n_parts, strict=True))], "leaf int, blocks int, parts int"))
-    left = asked.join(leaves, "leaf").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-    right = placed.join(leaves, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # MAX_LEAVES rows at most, both
+    leaf_groups = F.broadcast(spark.createDataFrame([(j, int(g)) for j, g in enumerate(groups)], "leaf int, group int"))
+    split = F.broadcast(spark.createDataFrame([(j, int(b), int(p)) for j, (b, p) in enumerate(zip(n_blocks, n_parts, strict=True))], "group int, blocks int, parts int"))
+    left = asked.join(split, "group").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+    right = placed.join(leaf_groups, "leaf").join(split, "group").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def unit(asked_here: pa.Table, held_here: pa.Table) -> pa.Table:
         if not asked_here.num_rows or not held_here.num_rows:
@@ -223,7 +239,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
         at, found, score = best_of(_matrix(asked_here.column("vector"), dim), own, _matrix(held_here.column("vector"), dim), held_here.column("vec_id").to_numpy(), k)
         return pa.table({"query_id": own[at], "vec_id": found, "score": score})
 
-    keys = ["leaf", "block", "part"]
+    keys = ["group", "block", "part"]
     found = (
         left.select(*keys, "query_id", "vector")
         .groupBy(*keys)

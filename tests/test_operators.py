@@ -160,3 +160,34 @@ def test_streams(spark, tmp_path):
     assert got == {g: r.samples for g, r in batch.items()}
     last = {r.group_id: r.seconds_per_page for r in spark.table("rates").collect()}
     assert last == {g: pytest.approx(r.seconds_per_page, abs=1e-4) for g, r in batch.items()}
+
+
+def test_contents_pages(spark):
+    from pageloom.operators import hierarchy
+
+    rows = [(1, 1, 0, "Title")]
+    rows += [(1, 2, 0, "Contents"), (1, 2, 1, "Scope .... 1"), (1, 2, 2, "Law .... 4"), (1, 2, 3, "Scope .... 1"), (1, 2, 4, "Ends .... ix")]
+    rows += [(1, 3, k, f"Part {'abcdefg'[k]} .... {k + 10}") for k in range(5)]
+    rows += [(1, 5, k, f"Late {'abcdefg'[k]} .... {k + 20}") for k in range(5)]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, pos int, text string")
+    pages = hierarchy.contents_pages(lines)
+    assert {r.page for r in pages.collect()} == {2, 3}
+    entries = hierarchy.contents_entries(lines, pages).orderBy("sequence").collect()
+    assert [r.title for r in entries][:3] == ["Scope", "Law", "Ends"] and len(entries) == 8
+    numbers = spark.createDataFrame([("12",), ("ix",), ("abc",)], "p string").select(hierarchy.printed_number(F.col("p"))).collect()
+    assert [r[0] for r in numbers] == [12, 9, None]
+
+
+def test_outline_mending(spark):
+    from pageloom.operators import hierarchy
+
+    rows = [(1, 0, "One", 1, 1, True), (1, 1, "a", 2, None, False), (1, 2, "Two", 2, None, True), (1, 3, "Three", 2, None, True), (1, 4, "Four", 1, 3, True), (1, 5, "b", 2, None, True)]
+    got = hierarchy.mended_gaps(spark.createDataFrame(rows, "doc_id long, sequence int, title string, level int, number int, prominent boolean")).orderBy("sequence").collect()
+    assert [(r.title, r.level) for r in got] == [("One", 1), ("a", 2), ("Chapter 2: Two", 1), ("Three", 2), ("Four", 1), ("b", 2)]
+    chapters = spark.createDataFrame([(1, 1, 10, "x"), (1, 3, 30, "y"), (1, 3, 20, "z")], "doc_id long, number int, page int, title string")
+    assert [(r.number, r.page, r.title) for r in hierarchy.chapters_once(chapters).orderBy("number").collect()] == [(1, 10, "x"), (3, 20, "z")]
+    assert not hierarchy.numbers_complete(chapters).first().complete
+    entries = spark.createDataFrame([(1, k, 1, t, False) for k, t in enumerate([5, 11, 15, 25, 40])], "doc_id long, sequence int, level int, target int, is_chapter boolean")
+    assert [r.level for r in hierarchy.demoted_inside(entries, chapters).orderBy("sequence").collect()] == [1, 1, 2, 2, 1]
+    heads = spark.createDataFrame([(1, 0, 1, "A"), (1, 1, 1, "a"), (1, 2, 2, "A"), (1, 3, 2, "."), (1, 4, 2, ".")], "doc_id long, ord int, page int, text string")
+    assert hierarchy.first_headings(heads).count() == 4

@@ -115,13 +115,14 @@ def overview(documents: DataFrame, log: DataFrame) -> DataFrame:
         F.count_distinct(F.nullif(F.col("uploaded_by"), F.lit(""))).alias("contributors"),
     )
     events = chain_status(log).agg(F.count_if(F.col("chain_status") == "broken").alias("broken_links"), F.count("*").alias("events"))
-    return docs.join(events, F.lit(True))  # one row each
+    both = docs.unionByName(events, allowMissingColumns=True)  # one row each, put together without a join
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def uploads(log: DataFrame) -> DataFrame:
     """What each upload entry says of its document, with defaults for what it doesn't say."""
     name = F.get_json_object("detail", "$.file_name")
-    pages = F.get_json_object("detail", "$.pages").try_cast("bigint") if hasattr(Column, "try_cast") else F.get_json_object("detail", "$.pages").cast("bigint")
+    pages = F.get_json_object("detail", "$.pages").try_cast("bigint")
     return log.where(F.col("action") == "upload").select("document_id", F.coalesce(name, F.lit("Unknown file")).alias("file_name"), pages.alias("pages"), F.col("created_at").alias("uploaded_at"))
 
 

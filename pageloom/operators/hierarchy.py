@@ -79,3 +79,62 @@ def demoted_inside(entries: DataFrame, chapters: DataFrame) -> DataFrame:
     met = entries.join(ends, "doc_id", "left").join(near, ["doc_id", "target"], "left")
     inside = (F.col("level") == 1) & (F.col("target") > F.col("first")) & (F.col("target") < F.col("last")) & F.col("near").isNull() & ~F.col("is_chapter")
     return met.withColumn("level", F.when(F.coalesce(inside, F.lit(False)), 2).otherwise(F.col("level"))).drop("first", "last", "near")
+
+
+#: Patterns of rows of an outline (fixed values).
+CHAPTER_ROW = r"(?i)^(?:(?:chapter|part)\s+(?:\d+|[ivxlcdm]+)\b|\d+[.)]\s+.+)"
+RECOMMENDATIONS = r"(?i)^recommendations?\b"
+APPENDIX = r"(?i)^appendix\s+(?:[a-z]|\d+|[ivxlcdm]+)\b"
+ALWAYS_TOP = r"(?i)^(?:appendices|glossary(?:\s+of\b.*)?|bibliography|references|index)$"
+NO_CHAPTER = r"(?i)^(?:recommendations?|introduction|summary|conclusion)"
+STEP = 7.0
+
+
+def outline_levels(entries: DataFrame) -> DataFrame:
+    """entries(doc_id, sequence, title, level, indent, printed, prominent) with levels 1 to 3 and sequences counted anew.
+
+    Chapters are first-level. After the first one, recommendations and rows that are clearly further in than the last chapter
+    are second-level, and so are appendices, before the first of which `Appendices` is put in where the document has no such row. Numbered gaps
+    are mended, and under each first-level row those further in than its first tier become third-level.
+    """
+    order = Window.partitionBy("doc_id").orderBy("sequence")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("doc_id")
+    title, indent = F.col("title"), F.col("indent")
+    chapter = title.rlike(CHAPTER_ROW)
+    rows = entries.withColumn("top_indent", F.last(F.when(chapter, indent), ignorenulls=True).over(before))
+    started = F.col("top_indent").isNotNull()
+    inner = (F.col("level") == 1) & (indent > F.col("top_indent") + STEP) & ~title.rlike(ALWAYS_TOP)
+    level = F.when(chapter, 1).when(started & (title.rlike(RECOMMENDATIONS) | inner), 2).otherwise(F.col("level"))
+    rows = rows.withColumns({"level": level, "appendix": title.rlike(APPENDIX), "named": F.max(match_key(title).isin("appendix", "appendices")).over(whole)}).drop("top_indent")
+    rows = rows.withColumn("part", F.sum(((F.col("level") == 1) & ~F.col("appendix")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    nth = F.sum(F.col("appendix").cast("int")).over(Window.partitionBy("doc_id", "part").orderBy("sequence"))
+    rows = rows.withColumn("heads", F.col("appendix") & (nth == 1) & ~F.col("named"))
+    rows = rows.withColumn("level", F.when((F.col("level") == 1) & ~F.col("appendix"), 1).otherwise(2))
+    put_in = rows.where("heads").withColumns({"title": F.lit("Appendices"), "level": F.lit(1), "sequence": F.col("sequence") - F.lit(0.5), "prominent": F.lit(False)})
+    rows = rows.withColumn("sequence", F.col("sequence").cast("double")).unionByName(put_in.withColumn("sequence", F.col("sequence").cast("double")))
+    number = F.regexp_extract("title", r"(?i)^chapter\s+(\d+)\b", 1)
+    rows = rows.withColumn("number", F.nullif(number, F.lit("")).cast("int"))
+    likely = F.col("prominent") & F.coalesce(F.col("printed").rlike(r"^\d+$"), F.lit(False)) & ~title.rlike(NO_CHAPTER)
+    mended = mended_gaps(rows.withColumn("prominent", likely)).select("doc_id", "sequence", F.col("title").alias("new_title"), F.col("level").alias("new_level"))
+    rows = rows.join(mended, ["doc_id", "sequence"]).withColumns({"title": F.col("new_title"), "level": F.col("new_level").cast("int")}).drop("new_title", "new_level", "number", "part", "appendix", "named", "heads")
+    rows = rows.withColumn("parent", F.sum((F.col("level") == 1).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    tiers = rows.where((F.col("level") != 1) & (F.col("parent") > 0)).groupBy("doc_id", "parent").agg(first_tier(F.array_sort(F.collect_list(F.col("indent").cast("double")))).alias("tier"))
+    rows = rows.join(tiers, ["doc_id", "parent"], "left")
+    deep = (F.col("level") != 1) & (F.col("indent") > F.col("tier") + STEP)
+    return rows.withColumn("level", F.when(F.coalesce(deep, F.lit(False)), 3).otherwise(F.col("level"))).withColumn("sequence", F.row_number().over(order) - 1).drop("parent", "tier")
+
+
+def first_tier(sorted_indents, tolerance: float = STEP):
+    """The median of the first run of sorted values, each within the tolerance of the median of the run so far."""
+
+    def middle(run):
+        n = F.size(run)
+        return (F.get(run, F.floor((n - 1) / 2).cast("int")) + F.get(run, F.floor(n / 2).cast("int"))) / 2
+
+    def step(state, value):
+        joins = ~state["ended"] & ((F.size(state["run"]) == 0) | (value - middle(state["run"]) <= tolerance))
+        return F.struct(F.when(joins, F.concat(state["run"], F.array(value))).otherwise(state["run"]).alias("run"), (~joins).alias("ended"))
+
+    start = F.struct(F.array().cast("array<double>").alias("run"), F.lit(False).alias("ended"))
+    return F.aggregate(sorted_indents, start, step, lambda s: middle(s["run"]))

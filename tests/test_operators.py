@@ -191,3 +191,12 @@ def test_outline_mending(spark):
     assert [r.level for r in hierarchy.demoted_inside(entries, chapters).orderBy("sequence").collect()] == [1, 1, 2, 2, 1]
     heads = spark.createDataFrame([(1, 0, 1, "A"), (1, 1, 1, "a"), (1, 2, 2, "A"), (1, 3, 2, "."), (1, 4, 2, ".")], "doc_id long, ord int, page int, text string")
     assert hierarchy.first_headings(heads).count() == 4
+
+
+def test_outline_levels(spark):
+    from pageloom.operators import hierarchy
+
+    rows = [("Preface", 1, 50, "i"), ("1. Scope", 1, 50, "1"), ("Terms", 1, 70, "2"), ("Deeper", 2, 90, "3"), ("Recommendations", 1, 50, "4"), ("2. Law", 1, 50, "5"), ("Glossary", 1, 80, "6"), ("Appendix A Lists", 1, 50, "7"), ("Appendix B More", 1, 50, "8"), ("Index", 1, 50, "9")]
+    df = spark.createDataFrame([(1, k, t, n, float(x), p, False) for k, (t, n, x, p) in enumerate(rows)], "doc_id long, sequence int, title string, level int, indent double, printed string, prominent boolean")
+    got = [(r.title, r.level) for r in hierarchy.outline_levels(df).orderBy("sequence").collect()]
+    assert got == [("Preface", 1), ("1. Scope", 1), ("Terms", 3), ("Deeper", 3), ("Recommendations", 2), ("2. Law", 1), ("Glossary", 1), ("Appendices", 1), ("Appendix A Lists", 2), ("Appendix B More", 2), ("Index", 1)]

@@ -200,3 +200,10 @@ def test_outline_levels(spark):
     df = spark.createDataFrame([(1, k, t, n, float(x), p, False) for k, (t, n, x, p) in enumerate(rows)], "doc_id long, sequence int, title string, level int, indent double, printed string, prominent boolean")
     got = [(r.title, r.level) for r in hierarchy.outline_levels(df).orderBy("sequence").collect()]
     assert got == [("Preface", 1), ("1. Scope", 1), ("Terms", 3), ("Deeper", 3), ("Recommendations", 2), ("2. Law", 1), ("Glossary", 1), ("Appendices", 1), ("Appendix A Lists", 2), ("Appendix B More", 2), ("Index", 1)]
+
+
+def test_boxes_of_pages(spark):
+    rows = [(d, 1, 0.0, 20.0 * k + d, 100.0, 20.0 * k + d + 14) for d in range(50) for k in range(4)]
+    rows += [(99, p, 0.0, 0.0, 10.0, 5.0) for p in range(3)]
+    merged = sequential.per_page(spark.createDataFrame(rows, "doc_id long, page int, l double, t double, r double, b double"), sequential.merged_boxes).collect()
+    assert len(merged) == 53 and all((r.t, r.b) == (r.doc_id, r.doc_id + 74.0) for r in merged if r.doc_id < 50)

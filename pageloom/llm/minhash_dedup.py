@@ -18,7 +18,8 @@ tables, without collecting any of them. As whole families are compared, two simi
 they collide with a common third one.
 
 Defined results: a null, empty or blank text has an empty set, links with nothing and is kept. Rows
-that repeat a doc_id are one document. A row without doc_id takes part in links; its component_id is
+that repeat a doc_id with an equal set are one document; different sets under one doc_id are linked each
+on its own. A row without doc_id takes part in links; its component_id is
 the smallest doc_id of its component, or null where there is none, and then it is kept. Empty tables
 give empty results. Other columns of the input don't matter.
 """
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,18 +198,30 @@ def confirm(unit: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def find_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(plain.select("doc_id", signature("text").alias("s")).select("doc_id", "s.*"), "signatures")
-    # one node for equal sets, named by its smallest document
-    groups = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
-    groups = settle(groups.withColumn("node", F.coalesce("least", F.xxhash64("digest"))), "nodes")
+def text_mark(text: str) -> Column:
+    """Tells the texts of a doc_id, or of rows without one, apart."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n, digest), sets (digest, component), and components with their least row (doc_id, mark), those without doc_id last."""
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("mark", text_mark("text"))
+    signed = settle(plain.select("doc_id", "mark", signature("text").alias("s")).select("doc_id", "mark", "s.*"), "signatures")
+    # one node for equal sets; its text is that of its least row
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    groups = signed.where("n > 0").groupBy("digest").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
+    # the numbers hold from here on, as the table is written and read again
+    groups = settle(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = connected_components(settle(confirmed_links(groups, plain), "confirmed"))
     named = groups.select("digest", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # the smallest document of a component: its smallest node, unless that one had no doc_id
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    members = named.select("digest", "component").join(ids, "component").select("digest", "component_id")
+    leasts = named.groupBy("component").agg(F.min("least").alias("least")).select("component", "least.doc_id", "least.mark")
+    return signed.select("doc_id", "mark", "n", "digest"), named.select("digest", "component"), leasts
+
+
+def find_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of docs."""
+    signed, named, leasts = grouped(docs, doc_id, text)
+    members = named.join(leasts.select("component", F.col("doc_id").alias("component_id")), "component").select("digest", "component_id")
     out = signed.select("doc_id", "n", "digest").join(members, "digest", "left")
     out = out.select(
         "doc_id",
@@ -228,14 +241,15 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 def confirmed_links(nodes: DataFrame, plain: DataFrame) -> DataFrame:
     """(u, v) links that connect all nodes of a family that chains of similar sets connect."""
     families = connected_components(candidate_links(nodes.select("node", "first", "second")))
-    sized = families.join(nodes.select("node", "least", "n"), "node").select("node", "least", F.col("component").alias("family"), "n")
+    sized = families.join(nodes.select("node", "least", "n"), "node").select("node", F.col("least.doc_id").alias("least_id"), F.col("least.mark").alias("least_mark"), F.col("component").alias("family"), "n")
     blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / NODES)).cast("int").alias("blocks"))
     placed = sized.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets itself alone when the family has one block, else the other blocks one at a time
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
     others = F.filter(others, lambda p: (F.col("blocks") == 1) | (p["low"] != p["high"]))
-    placed = placed.select("node", "least", "family", others.alias("units"))
-    sets = plain.join(placed, plain["doc_id"].eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    placed = placed.select("node", "least_id", "least_mark", "family", others.alias("units"))
+    least = plain["doc_id"].eqNullSafe(F.col("least_id")) & (plain["mark"] == F.col("least_mark"))
+    sets = plain.join(placed, least).dropDuplicates(["node"])
     sets = with_members(sets.select("family", "units", "node", "text"), "text")
     units = sets.select("family", F.explode("units").alias("unit"), "node", "members").select("family", "unit.low", "unit.high", "node", "members")
     return units.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint")
@@ -244,12 +258,14 @@ def confirmed_links(nodes: DataFrame, plain: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates in docs(doc_id, text, ...), columns unchanged.
 
-    Rows that repeat a kept doc_id count as that document and go, too; rows without doc_id stay only
-    where their group has no doc_id at all.
+    It is one row, of the smallest doc_id; rows without doc_id stay only where their group has no doc_id
+    at all. Rows with an empty set stay once for each doc_id, and without one, once for each text.
     """
-    found = find_components(docs)
-    marked, same = free_names(docs, "marked", "same")
-    named = found.where("kept").groupBy("doc_id").agg(F.first("n_shingles").alias("n")).select(F.col("doc_id").alias(marked))
-    met = docs.join(named, docs["doc_id"].eqNullSafe(F.col(marked)), "left_semi")
-    keyed = met.withColumn(same, F.when(met["doc_id"].isNull(), F.xxhash64("text")))
-    return keyed.dropDuplicates(["doc_id", same]).drop(same)
+    signed, _, leasts = grouped(docs)
+    mark, its_id, its_mark = free_names(docs, "mark", "its_id", "its_mark")
+    texts = F.when(F.col("doc_id").isNull(), F.col("mark")).alias("own")
+    empty = signed.where("n = 0").groupBy("doc_id", texts).agg(F.min(F.struct("mark")).alias("least")).select("doc_id", "least.mark")
+    stay = leasts.select("doc_id", "mark").union(empty).toDF(its_id, its_mark)
+    keyed = docs.withColumn(mark, text_mark("text"))
+    met = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col(its_id)) & keyed[mark].eqNullSafe(F.col(its_mark)), "left_semi")
+    return met.dropDuplicates(["doc_id", mark]).drop(mark)

@@ -40,6 +40,18 @@ def test_components_of_documents_without_ids(spark):
     assert minhash_dedup.keep_one(docs).count() == 2
 
 
+def test_components_of_shared_and_missing_ids(spark):
+    texts = {c: " ".join(f"{c}{k}" for k in range(80)) for c in "abcdef"}
+    docs = [(None, texts["a"]), (None, texts["a"] + " x"), (None, texts["b"]), (7, texts["b"] + " x"), (None, ""), (None, texts["e"])]
+    docs += [(5, texts["c"]), (5, texts["d"]), (3, texts["c"] + " x"), (6, texts["d"] + " x"), (8, texts["f"]), (8, texts["f"] + " x y")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in minhash_dedup.find_components(frame).collect())
+    assert got == [(0, 0, 0), (0, 76, 0), (0, 76, 0), (0, 76, 7), (0, 77, 0), (3, 77, 3), (5, 76, 3), (5, 76, 5), (6, 77, 5), (7, 77, 7), (8, 76, 8), (8, 78, 8)]
+    kept = [(r.doc_id, r.text) for r in minhash_dedup.keep_one(frame).collect()]
+    assert len(kept) == 7 and {(7, texts["b"] + " x"), (None, ""), (None, texts["e"]), (3, texts["c"] + " x"), (5, texts["d"])} < set(kept)
+    assert sum(i is None and t.startswith("a0") for i, t in kept) == 1 and sum(i == 8 for i, t in kept) == 1
+
+
 def test_quality_rules(spark):
     docs = odd_docs(spark).withColumn("stats_now", F.lit(1)).withColumn("votes_now", F.lit("x"))
     kept = quality_rules.keep_good(docs)

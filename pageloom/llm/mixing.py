@@ -3,14 +3,16 @@
 The documents of a source, in the order of a hash, form blocks. A source of weight w is due one block in
 every 1 / w slots: its block k is released at slot floor(k / w) and due by slot ceil((k + 1) / w).
 Earliest deadline first over these windows fills every slot and, the weights adding up to one, keeps
-each source less than one block from its share at every slot. Weights are rounded to multiples of
-1 / period, so the schedule repeats and only one period is worked out, on the driver; slots of all
-blocks follow by arithmetic. When a source has no blocks left, a new phase begins, in which the weights
-of the others are scaled up. Every document has exactly one slot.
+each source less than one block from its share at every slot of a phase. Weights are taken as written,
+as whole numbers over a common denominator, so nothing is rounded; the schedule repeats after as many slots
+as these numbers add up to. The driver works out one such period, or the whole phase where that is
+shorter; slots of all blocks follow by arithmetic. When a source has no blocks left, a new phase begins,
+in which the weights of the others are scaled up. Every document has exactly one slot.
 
-What the driver and the joins hold is bounded by the number of sources (MAX_SOURCES), not by the corpus:
-a count for each source, and a row for each phase, source and slot of a period. The rank of a document
-in its source comes from hash buckets of about BUCKET documents, so that no task holds a source.
+The driver and the joins hold a count for each source, and a row for each phase, source and slot of a
+period: few where weights have a small common denominator, and one for each block of the corpus at most.
+The rank of a document in its source comes from hash buckets of about BUCKET documents, so that no task
+holds a source.
 
 Defined results: null is a source of its own. Sources without a target weight get the smallest one given,
 or all the same if none is; a weight of zero or less comes after all others are used up. Repeated rows
@@ -20,6 +22,9 @@ each have a place. Empty tables give empty results; other columns pass through.
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left
+from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -30,7 +35,6 @@ from pyspark.sql.window import Window
 from pageloom.llm.common import free_names
 
 MAX_SOURCES = 1000
-PERIOD = 1000
 BLOCK = 16
 BUCKET = 4000
 #: Rows of a table that is broadcast; a larger one is joined by a shuffle.
@@ -51,43 +55,54 @@ def shares(weights: np.ndarray, period: int) -> np.ndarray:
     return out
 
 
-def edf(slots: np.ndarray) -> list[list[int]]:
-    """The slots that each source's blocks get in one period, all of which are filled."""
-    period = int(slots.sum())
-    windows = [[(int(Fraction(k * period, int(a))), -int(Fraction(-(k + 1) * period, int(a)) // 1)) for k in range(a)] for a in slots.tolist()]
-    out: list[list[int]] = [[] for _ in windows]
-    waiting = [(w[0][0], s) for s, w in enumerate(windows)]
-    heapq.heapify(waiting)
+def whole(weights: list) -> list[int]:
+    """Whole numbers in the exact ratio of positive weights, which are read as they are written."""
+    exact = [Fraction(str(w)) for w in weights]
+    common = math.lcm(*(w.denominator for w in exact))
+    numbers = [int(w * common) for w in exact]
+    divisor = math.gcd(*numbers)
+    return [n // divisor for n in numbers]
+
+
+def edf(slots: Sequence[int], left: Sequence[int] | None = None) -> list[list[int]]:
+    """The slots that each source's blocks get in one period, all of which are filled; it ends when a source has none left."""
+    slots = [int(a) for a in slots]
+    period = sum(slots)
+    out: list[list[int]] = [[] for _ in slots]
+    waiting = [(0, s) for s in range(len(slots))]
     ready: list[tuple[int, int]] = []
     for t in range(period):
         while waiting and waiting[0][0] <= t:
             _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (windows[s][len(out[s])][1], s))
+            heapq.heappush(ready, (-(-(len(out[s]) + 1) * period // slots[s]), s))
         _, s = heapq.heappop(ready)
         out[s].append(t)
-        if len(out[s]) < len(windows[s]):
-            heapq.heappush(waiting, (max(t + 1, windows[s][len(out[s])][0]), s))
+        if left is not None and len(out[s]) == left[s]:
+            break
+        if len(out[s]) < slots[s]:
+            heapq.heappush(waiting, (max(t + 1, len(out[s]) * period // slots[s]), s))
     return out
 
 
-def plan(blocks: list[int], weights: list[float], period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
+def plan(blocks: list[int], weights: list[float]) -> tuple[list[tuple], list[tuple]]:
     """Phases (phase, source, first block, blocks, first slot, slots a period, period) and cells (phase, source, number, slot)."""
-    left, done, start, phases, cells, number = np.array(blocks, np.int64), np.zeros(len(blocks), np.int64), 0, [], [], 0
-    wanted = np.array(weights, float)
-    while (left > 0).any():
-        active = np.flatnonzero((left > 0) & (wanted > 0))
-        w = wanted[active]
-        if not len(active):
-            active = np.flatnonzero(left > 0)
-            w = np.ones(len(active))
-        length = max(period, 2 * len(active))
-        a = shares(w, length)
-        table = edf(a)
-        last = [(n - 1) // k * length + t[(n - 1) % k] for n, k, t in zip(left[active].tolist(), a.tolist(), table, strict=True)]
-        end = min(last) + 1
-        for s, k, t in zip(active.tolist(), a.tolist(), table, strict=True):
-            n = end // length * k + int(np.searchsorted(t, end % length))
-            phases.append((number, s, int(done[s]), n, start, k, length))
+    left, done, start, phases, cells, number = list(blocks), [0] * len(blocks), 0, [], [], 0
+    while any(left):
+        active = [s for s, n in enumerate(left) if n and weights[s] > 0]
+        a = whole([weights[s] for s in active])
+        if not active:
+            active = [s for s, n in enumerate(left) if n]
+            a = [1] * len(active)
+        remaining = [left[s] for s in active]
+        table = edf(a, remaining)
+        length = sum(map(len, table))
+        if length < sum(a):  # a source ran out in the first period
+            end, a = length, [max(1, len(t)) for t in table]
+        else:
+            end = min((n - 1) // k * length + t[(n - 1) % k] for n, k, t in zip(remaining, a, table, strict=True)) + 1
+        for s, k, t in zip(active, a, table, strict=True):
+            n = end // length * len(t) + bisect_left(t, end % length)
+            phases.append((number, s, done[s], n, start, k, length))
             cells += [(number, s, j, at) for j, at in enumerate(t) if j < n]
             done[s] += n
             left[s] -= n
@@ -100,7 +115,7 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL else df
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
     """docs with source_block, slot (of the block in the whole schedule), place (in the block) and phase."""
     spark = docs.sparkSession
     added = ("source_block", "slot", "place", "phase")
@@ -111,7 +126,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id:
         raise ValueError(f"{len(counts)} sources; {MAX_SOURCES} at most")
     weights = weights or {}
     default = min(weights.values(), default=1.0)
-    phases, cells = plan([-(-c // block) for _, c in counts], [weights.get(s, default) for s, _ in counts], period)
+    phases, cells = plan([-(-c // block) for _, c in counts], [weights.get(s, default) for s, _ in counts])
     buckets = max(1, -(-sum(c for _, c in counts) // BUCKET))
     names_of = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(counts)], f"s {docs.schema[source].dataType.simpleString()}, `{no}` int")
     keyed = docs.withColumn(hashed, F.xxhash64(F.col(doc_id), F.lit("mix"))).withColumn(bucket, F.pmod(F.col(hashed), F.lit(buckets)))
@@ -122,11 +137,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id:
     order = Window.partitionBy(no, bucket).orderBy(hashed, doc_id)
     ranked = keyed.withColumn(rank, F.row_number().over(order) - 1).join(_small(bases, buckets * len(counts)), [no, bucket])
     ranked = ranked.withColumn(rank, F.col(rank) + F.col(base)).withColumn("source_block", F.floor(F.col(rank) / block).cast("long")).withColumn("place", (F.col(rank) % block).cast("int"))
-    phase_rows = spark.createDataFrame(phases, f"`{ph}` int, `{no}_` int, `{first}` bigint, `{n}` bigint, `{start}` bigint, `{a}` int, `{length}` int")
+    phase_rows = spark.createDataFrame(phases, f"`{ph}` int, `{no}_` int, `{first}` bigint, `{n}` bigint, `{start}` bigint, `{a}` bigint, `{length}` bigint")
     inside = (F.col(no) == F.col(f"{no}_")) & (F.col("source_block") >= F.col(first)) & (F.col("source_block") < F.col(first) + F.col(n))
     timed = ranked.join(_small(phase_rows, len(phases)), inside).drop(f"{no}_")
-    timed = timed.withColumn(cell, ((F.col("source_block") - F.col(first)) % F.col(a)).cast("int"))
-    cell_rows = spark.createDataFrame(cells, f"`{ph}` int, `{no}` int, `{cell}` int, `{at}` int")
+    timed = timed.withColumn(cell, ((F.col("source_block") - F.col(first)) % F.col(a)).cast("bigint"))
+    cell_rows = spark.createDataFrame(cells, f"`{ph}` int, `{no}` int, `{cell}` bigint, `{at}` bigint")
     timed = timed.join(_small(cell_rows, len(cells)), [ph, no, cell])
     slot = F.col(start) + F.floor((F.col("source_block") - F.col(first)) / F.col(a)) * F.col(length) + F.col(at)
     return timed.withColumn("slot", slot.cast("long")).withColumn("phase", F.col(ph)).drop(*names)

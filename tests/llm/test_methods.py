@@ -133,6 +133,28 @@ def test_pfair_deviation(weights):
         assert np.abs(np.cumsum(got) - a / period * np.arange(1, period + 1)).max() < 1
 
 
+def test_mixture_stays_at_exact_weights():
+    cases = [([1.0] * n, [9000 + n * k for k in range(n)]) for n in (3, 6, 7, 19)]
+    cases += [([0.0005, 0.9995], [30, 40_000]), ([0.123456789, 1 / 3, 2.5], [3000, 9000, 20_000]), ([1.0, 0.0, 2.0], [50, 10, 70]), ([5.0, 1e-9], [2000, 1])]
+    for weights, blocks in cases:
+        phases, cells = mixing.plan(blocks, weights)
+        at = {}
+        for number, s, j, slot in cells:
+            at.setdefault((number, s), []).append(slot)
+        seen = []
+        for number in range(phases[-1][0] + 1):
+            rows = [p for p in phases if p[0] == number]
+            total = sum(weights[s] for _, s, *_ in rows)
+            size = sum(p[3] for p in rows)
+            for _, s, _, n, start, a, length in rows:
+                slots = np.array([k // a * length + at[number, s][k % a] for k in range(n)], int)
+                share = weights[s] / total if total else 1 / len(rows)
+                taken = np.cumsum(np.bincount(slots, minlength=size))
+                assert np.abs(taken - share * np.arange(1, size + 1)).max() < 1
+                seen.append(slots + start)
+        assert np.array_equal(np.sort(np.concatenate(seen)), np.arange(sum(blocks)))
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(3)
     n, rules = 20_000, len(quality_rules.RULES)

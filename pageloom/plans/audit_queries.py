@@ -60,7 +60,7 @@ def audit_join_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of orders before and after a change of some of the fields."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    orders = table(spark, sf_dir, "orders")
     before = F.create_map(F.lit("title"), F.col("o_orderpriority"), F.lit("publisher"), F.col("o_orderstatus"))
     after = F.create_map(F.lit("title"), F.lower("o_orderpriority"), F.lit("citations"), F.col("o_custkey").cast("string"))
     return audit.change_rows(orders.select(F.col("o_orderkey").alias("id"), before.alias("before"), after.alias("after")))

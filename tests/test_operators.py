@@ -207,3 +207,11 @@ def test_boxes_of_pages(spark):
     rows += [(99, p, 0.0, 0.0, 10.0, 5.0) for p in range(3)]
     merged = sequential.per_page(spark.createDataFrame(rows, "doc_id long, page int, l double, t double, r double, b double"), sequential.merged_boxes).collect()
     assert len(merged) == 53 and all((r.t, r.b) == (r.doc_id, r.doc_id + 74.0) for r in merged if r.doc_id < 50)
+
+
+def test_change_rows_of_all_orders(spark, tmp_path):
+    from pageloom.plans import audit_queries
+
+    spark.createDataFrame([(k, "1-URGENT", "O", 10 * k) for k in range(1, 8)], "o_orderkey long, o_orderpriority string, o_orderstatus string, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {tuple(r) for r in audit_queries.audit_change_rows(spark, str(tmp_path)).select("id", "field", "before_value", "after_value").collect()}
+    assert got == {(k, "title", "1-URGENT", "1-urgent") for k in range(1, 8)} | {(k, "citations", None, str(10 * k)) for k in range(1, 8)}

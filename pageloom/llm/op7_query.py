@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm.common import settle, table
+from pageloom.llm.common import discard, settle, table
 from pageloom.llm.packing import CAPACITY, cut, pack
 
 TOKENIZER = "word_bpe_49k.json"
@@ -14,7 +14,9 @@ END_ID = 1
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     pieces = settle(cut(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), END_ID, CAPACITY), "pieces")
-    return pack(pieces, CAPACITY)
+    packed = pack(pieces, CAPACITY)
+    discard(pieces)  # packing has written all rounds
+    return packed
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm import tokens
-from pageloom.llm.common import discard, give_back, settle
+from pageloom.llm.common import give_back, settle
 
 CAPACITY = 4096
 SHARD = 40_000
@@ -39,17 +39,20 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int | None = 1, capacity: int =
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, found in zip(batch.column(0).to_pylist(), tokens.in_slices(encoder, batch.column(1)), strict=True):
-                ids = tokens.with_end(found, end_id)
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity].astype("<u4")
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int64) if keep_ids else None))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 5 + keep_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:n], types, strict=False)], names=names[:n])
+            for row, ids, ends in tokens.in_slices(encoder, batch.column(1), end_id):
+                sizes = np.diff(ends, prepend=0)
+                n_pieces = -(-sizes // capacity)
+                own = np.repeat(np.arange(len(ends)), n_pieces)
+                number = np.arange(len(own)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                start = number * capacity
+                length = np.minimum(capacity, sizes[own] - start)
+                at = (ends - sizes)[own] + start
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [batch.column(0).slice(row, len(ends)).take(pa.array(own)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids, pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES + ", ids array<bigint>" * keep_ids)
@@ -101,19 +104,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, r
 
         return shard
 
-    done, todo, spent = [], pieces, []
+    done, todo = [], pieces
     for k in range(rounds):
         n = todo.count()
         shards = max(1, -(-n // shard_size))
         key = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(shards)).alias("shard")
         packed = settle(todo.select(key, *fields).groupBy("shard").applyInArrow(packer(k), out_ddl), f"packed_{k}")
-        spent.append(todo)
         last = k == rounds - 1 or shards == 1
         done.append(packed if last else packed.where(F.col("sequence_full") >= FULL))
         if last:
             break
         todo = packed.where(F.col("sequence_full") < FULL).select(*fields)
-    discard(spent[0])
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -58,24 +58,61 @@ def bits_needed(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1]
 
 
-def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
-    low = int(ids.min())
-    rest = (ids - np.uint32(low)).astype(np.uint32)
-    ordered = np.sort(rest)
-    width = int(bits_needed(ordered[[min(len(ids) - 1, int(len(ids) * percentile / 100))]])[0])
-    at = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    bits = (rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-    return b"".join((HEAD.pack(low, len(ids), width, 0, len(at)), packed, at.astype("<u2").tobytes(), rest[at].astype("<u4").tobytes()))
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of 32-bit values, least bit first: eight values fill `width` bytes. A row of values gives a row of bytes."""
+    n = values.shape[-1]
+    padded = np.zeros((*values.shape[:-1], -(-n // 8) * 8), np.uint64)
+    padded[..., :n] = values & np.uint32((1 << width) - 1)
+    eights = padded.reshape(*values.shape[:-1], -1, 8)
+    words = np.zeros((*eights.shape[:-1], 5), np.uint64)
+    for k in range(8):
+        word, shift = divmod(k * width, 64)
+        words[..., word] |= eights[..., k] << np.uint64(shift)
+        if shift + width > 64:
+            words[..., word + 1] |= eights[..., k] >> np.uint64(64 - shift)
+    return words.astype("<u8", copy=False).view(np.uint8)[..., :width].reshape(*values.shape[:-1], -1)[..., : -(-n * width // 8)]
+
+
+def unpack_bits(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The n values that pack_bits has packed."""
+    groups = -(-n // 8)
+    padded = np.zeros(groups * width, np.uint8)
+    padded[: len(packed)] = packed
+    wide = np.zeros((groups, 40), np.uint8)
+    wide[:, :width] = padded.reshape(groups, width)
+    words = wide.view("<u8")
+    out = np.empty((groups, 8), np.uint64)
+    for k in range(8):
+        word, shift = divmod(k * width, 64)
+        out[:, k] = words[:, word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[:, k] |= words[:, word + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << width) - 1)).astype(np.uint32).ravel()[:n]
+
+
+def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
+    """One block for each row of ids; blocks of one width are packed together."""
+    n = ids.shape[1]
+    lows = ids.min(1)
+    rest = ids - lows[:, None]
+    at = min(n - 1, int(n * percentile / 100))
+    widths = bits_needed(np.partition(rest, at, axis=1)[:, at])
+    out: list[bytes] = [b""] * len(ids)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        packed = pack_bits(rest[rows], width) if width else np.zeros((len(rows), 0), np.uint8)
+        for row, part in zip(rows.tolist(), packed, strict=True):
+            places = np.flatnonzero(rest[row] >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
+            head = HEAD.pack(int(lows[row]), n, width, 0, len(places))
+            out[row] = b"".join((head, part.tobytes(), places.astype("<u2").tobytes(), rest[row, places].astype("<u4").tobytes()))
+    return out
 
 
 def decode_block(payload: bytes | memoryview, at: int = 0) -> np.ndarray:
     low, n, width, _, n_out = HEAD.unpack_from(payload, at)
     at += HEAD.size
     size = -(-n * width // 8)
-    bits = np.unpackbits(np.frombuffer(payload, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    rest = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32)) if width else np.zeros(n, np.uint32)
-    rest = rest.astype(np.uint32)
+    rest = unpack_bits(np.frombuffer(payload, np.uint8, size, at), n, width) if width else np.zeros(n, np.uint32)
     at += size
     places = np.frombuffer(payload, "<u2", n_out, at)
     rest[places] = np.frombuffer(payload, "<u4", n_out, at + 2 * n_out)
@@ -84,12 +121,12 @@ def decode_block(payload: bytes | memoryview, at: int = 0) -> np.ndarray:
 
 def encode_ids(ids: np.ndarray) -> tuple[list[int], bytes]:
     """Where each block starts, and the blocks."""
-    starts, parts, size = [], [], 0
-    for at in range(0, len(ids), BLOCK):
-        starts.append(size)
-        parts.append(encode_block(ids[at : at + BLOCK]))
-        size += len(parts[-1])
-    return starts, b"".join(parts)
+    ids = ids.astype(np.uint32, copy=False)
+    full = len(ids) // BLOCK * BLOCK
+    parts = encode_blocks(ids[:full].reshape(-1, BLOCK)) if full else []
+    if full < len(ids):
+        parts += encode_blocks(ids[None, full:])
+    return [0, *np.cumsum([len(p) for p in parts[:-1]], dtype=int).tolist()][: len(parts)], b"".join(parts)
 
 
 def decode_ids(payload: bytes, block_starts: list[int], first: int = 0, n: int | None = None) -> np.ndarray:
@@ -120,12 +157,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ARROW, strict=True)], schema=ARROW)
 
         for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), tokens.in_slices(encoder, batch.column(1)), strict=True):
-                docs_held.append(doc)
-                ids_held.append(tokens.with_end(found, end_id))
-                held += len(ids_held[-1])
-                if held >= SEGMENT:
-                    yield flush()
+            doc_ids = batch.column(0).to_pylist()
+            for row, ids, ends in tokens.in_slices(encoder, batch.column(1), end_id):
+                begin = 0
+                for k, end in enumerate(ends.tolist()):
+                    docs_held.append(doc_ids[row + k])
+                    ids_held.append(ids[begin:end])
+                    held, begin = held + end - begin, end
+                    if held >= SEGMENT:
+                        yield flush()
         if docs_held:
             yield flush()
         give_back()

@@ -8,14 +8,21 @@ of similarity s meet unless they miss on a whole side, with probability of 2 * (
 most: 5e-4 at s = 0.75, 7e-5 at 0.8, 5e-6 at 0.85.
 
 Equal sets are one node from the start. A table's bucket links its members to its smallest node, which
-is a row for each member and not one for each pair; nodes that such candidate links connect are a
-family. Links are then confirmed on the full sets of each family: nodes are dealt into blocks of about
-BLOCK shingles and NODES sets at most, each pair of blocks of a family is one bounded unit of work (so a family
-of any size is spread over tasks), and inside it sets that share too few shingles with anything are put aside, again and again, until
-the sizes of all intersections of the rest come out of a product of incidence matrices. What leaves the unit is a
-spanning forest of its links, never its pairs. Families and final components are joined as
-tables, without collecting any of them. As whole families are compared, two similar sets also meet if
-they collide with a common third one.
+is a row for each member and not one for each pair; nodes that such candidate links connect are a family.
+Links are then confirmed on full sets:
+
+* Each node meets one smaller node first, the one it shares most tables with. These stars are as many as nodes,
+  and what they confirm puts nearly all members of a true group together. A star of any size is split into units.
+* Families that are one cluster by then are finished. In the others, only members outside the largest cluster are
+  compared: with each other and with that cluster, in blocks of about BLOCK shingles and NODES sets, each pair of
+  blocks a unit of its own. A unit yields a spanning forest of its links, never its pairs.
+* Families larger than one block are refined before that. Two sets of similarity 0.75 must share one of the rarest
+  quarter of their shingles, and one more, by any order of shingles; taken in the order of their frequency in
+  the family, the shingles of common boilerplate come last, and sets that only boilerplate has brought together
+  share none. Only members that share such a shingle with another cluster are compared.
+
+Families and components are joined as tables, without collecting any of them. As whole families are compared, two
+similar sets also meet if they collide with a common third one.
 
 Defined results: a null, empty or blank text has an empty set, links with nothing and is kept. Rows
 that repeat a doc_id with an equal set are one document; different sets under one doc_id are linked each
@@ -36,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import free_names, give_back, in_turn, mix64, settle, windows
+from pageloom.llm.common import discard, free_names, give_back, in_turn, mix64, settle, windows
 from pageloom.llm.components import connected_components
 
 WIDTH = 5
@@ -212,7 +219,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     groups = signed.where("n > 0").groupBy("digest").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
     # the numbers hold from here on, as the table is written and read again
     groups = settle(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = connected_components(settle(confirmed_links(groups, plain), "confirmed"))
+    labels = connected_components(confirmed_links(groups, plain))
     named = groups.select("digest", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leasts = named.groupBy("component").agg(F.min("least").alias("least")).select("component", "least.doc_id", "least.mark")
     return signed.select("doc_id", "mark", "n", "digest"), named.select("digest", "component"), leasts
@@ -232,27 +239,111 @@ def find_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
-    """(u, v): each node with the smallest node of each bucket that holds both."""
+    """(u, v, shared): each node with the smallest node of each bucket that holds both, and how many tables they share so."""
     keys = table_keys(nodes)
     full = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("key", "v")
-    return keys.join(full, "key").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    return keys.join(full, "key").where("node != v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("shared"))
+
+
+def blocks_of(n: str) -> Column:
+    """How many blocks sets with these numbers of shingles fill."""
+    return F.ceil(F.greatest(F.sum(n) / BLOCK, F.count("*") / NODES)).cast("int")
+
+
+def star_links(best: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (u, v) among best(u, v) that hold for the full sets(node, n, members)."""
+    sized = best.join(sets.select(F.col("node").alias("u"), "n"), "u")
+    parts = sized.groupBy("v").agg(blocks_of("n").alias("parts"))
+    as_member = sized.join(parts, "v").select(F.col("u").alias("node"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("centre"))
+    as_centre = parts.select(F.col("v").alias("node"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("centre"))
+    units = sets.select("node", "members").join(as_member.union(as_centre), "node")
+    return units.groupBy("v", "part").applyInArrow(confirm_star, "u bigint, v bigint")
+
+
+def confirm_star(unit: pa.Table) -> pa.Table:
+    members = unit.column("members").combine_chunks()
+    sizes, values = np.diff(members.offsets.to_numpy()), members.flatten().to_numpy()
+    node, centre = unit.column("node").to_numpy(), int(np.flatnonzero(unit.column("centre").to_numpy())[0])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    own = np.sort(values[rows == centre])
+    hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    shared = np.bincount(rows[hit], minlength=len(sizes))
+    linked = 100 * shared >= SIMILARITY * (sizes + len(own) - shared)
+    linked[centre] = False
+    return pa.table({"u": pa.array(node[linked], pa.int64()), "v": pa.array(np.full(int(linked.sum()), node[centre]), pa.int64())})
+
+
+def unfinished(families: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(node, family, cluster, inside) of the families with several clusters; inside: whether the cluster is the family's largest."""
+    placed = families.select("node", F.col("component").alias("family")).join(clusters.select("node", F.col("component").alias("cluster")), "node", "left")
+    placed = placed.withColumn("cluster", F.coalesce("cluster", "node"))
+    return with_largest(placed)
+
+
+def with_largest(placed: DataFrame) -> DataFrame:
+    """placed(node, family, cluster), without families of one cluster, and whether the cluster is the largest of its family."""
+    held = placed.groupBy("family", "cluster").agg(F.count("*").alias("held"))
+    largest = held.groupBy("family").agg(F.count("*").alias("clusters"), F.max(F.struct("held", "cluster")).alias("largest")).where("clusters > 1")
+    met = placed.join(largest.select("family", F.col("largest.cluster").alias("most")), "family")
+    return met.select("node", "family", "cluster", (F.col("cluster") == F.col("most")).alias("inside"))
+
+
+def refined(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """large(node, family, cluster) dealt into families whose members share a shingle of their rarest ones with another cluster."""
+    shingles = sets.join(large, "node").select("node", "family", "cluster", "n", F.explode("members").alias("shingle"))
+    common = shingles.groupBy("family", "shingle").agg(F.count("*").alias("held")).where("held > 1")
+    # shingles that no other member has come first, and need no row of their own: they only take places
+    met = shingles.join(common, ["family", "shingle"])
+    places = met.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("kept"), F.first("family").alias("family"), F.first("cluster").alias("cluster"))
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.size("kept"))
+    rare = places.where(prefix > 0).select("node", "family", "cluster", F.explode(F.slice("kept", F.lit(1), prefix.cast("int"))).alias("s"))
+    rare = rare.select("node", "family", "cluster", F.col("s.shingle").alias("shingle"))
+    groups = rare.groupBy("family", "shingle").agg(F.min("node").alias("v"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
+    links = rare.join(groups, ["family", "shingle"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    parts = connected_components(settle(links, "rare_links"))
+    return with_largest(large.select("node", "cluster").join(parts.select("node", F.col("component").alias("family")), "node").select("node", "family", "cluster"))
+
+
+def block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that span what similar pairs connect in placed(node, family, cluster, inside), pairs inside a largest cluster left out."""
+    sized = placed.join(sets.select("node", "n"), "node")
+    sizes = sized.groupBy("family").agg(
+        blocks_of("n").alias("blocks"),
+        F.ceil(2 * F.greatest(F.sum(F.when(~F.col("inside"), F.col("n"))) / BLOCK, F.count_if(~F.col("inside")) / NODES)).cast("int").alias("outer"),
+        F.ceil(2 * F.greatest(F.sum(F.when(F.col("inside"), F.col("n"))) / BLOCK, F.count_if("inside") / NODES)).cast("int").alias("inner"),
+    )
+    dealt = sized.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    pair = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    # a block of outer members meets the other outer blocks, and those of the largest cluster, which are numbered after them
+    outer = F.transform(numbers(F.col("outer")), lambda k: pair(F.least("block", k), F.greatest("block", k)))
+    outer = F.filter(outer, lambda p: (F.col("outer") == 1) | (p["low"] != p["high"]))
+    crossed = F.transform(numbers(F.col("inner")), lambda k: pair(F.col("block"), F.col("outer") + k))
+    inner = F.transform(numbers(F.col("outer")), lambda k: pair(k, F.col("outer") + F.col("block")))
+    units = F.when(F.col("blocks") == 1, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("inside"), inner).otherwise(F.concat(outer, crossed))
+    rows = sets.select("node", "members").join(dealt.select("node", "family", units.alias("units")), "node")
+    rows = rows.select("family", F.explode("units").alias("unit"), "node", "members").select("family", "unit.low", "unit.high", "node", "members")
+    return rows.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint")
 
 
 def confirmed_links(nodes: DataFrame, plain: DataFrame) -> DataFrame:
     """(u, v) links that connect all nodes of a family that chains of similar sets connect."""
-    families = connected_components(candidate_links(nodes.select("node", "first", "second")))
-    sized = families.join(nodes.select("node", "least", "n"), "node").select("node", F.col("least.doc_id").alias("least_id"), F.col("least.mark").alias("least_mark"), F.col("component").alias("family"), "n")
-    blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / NODES)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a block meets itself alone when the family has one block, else the other blocks one at a time
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
-    others = F.filter(others, lambda p: (F.col("blocks") == 1) | (p["low"] != p["high"]))
-    placed = placed.select("node", "least_id", "least_mark", "family", others.alias("units"))
+    links = settle(candidate_links(nodes.select("node", "first", "second")), "candidates")
+    families = connected_components(links.select("u", "v"))
+    at = families.select("node").join(nodes.select("node", F.col("least.doc_id").alias("least_id"), F.col("least.mark").alias("least_mark"), "n"), "node")
     least = plain["doc_id"].eqNullSafe(F.col("least_id")) & (plain["mark"] == F.col("least_mark"))
-    sets = plain.join(placed, least).dropDuplicates(["node"])
-    sets = with_members(sets.select("family", "units", "node", "text"), "text")
-    units = sets.select("family", F.explode("units").alias("unit"), "node", "members").select("family", "unit.low", "unit.high", "node", "members")
-    return units.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint")
+    texts = plain.join(at, least).dropDuplicates(["node"]).select("node", "n", "text")
+    sets = settle(with_members(texts, "text"), "sets")
+    best = links.groupBy("u").agg(F.max(F.struct("shared", (-F.col("v")).alias("v"))).alias("best")).select("u", (-F.col("best.v")).alias("v"))
+    stars = settle(star_links(best, sets), "stars")
+    rest = settle(unfinished(families, connected_components(stars)), "unfinished")
+    sizes = rest.join(sets.select("node", "n"), "node").groupBy("family").agg(blocks_of("n").alias("blocks"))
+    large = rest.join(sizes.where("blocks > 1"), "family", "left_semi")
+    small = rest.join(sizes.where("blocks = 1"), "family", "left_semi")
+    blocks = small if large.isEmpty() else small.unionByName(settle(refined(large, sets), "refined"))
+    found = settle(stars.union(block_links(blocks, sets)), "confirmed")
+    discard(links, sets, stars, rest)
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

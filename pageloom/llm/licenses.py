@@ -9,13 +9,14 @@ so a notice inside a longer document is found, too.
 The list of licences is fixed and short; it is broadcast only up to SMALL rows and joined by shuffle beyond.
 
 Defined results: null, empty and mark-only texts have an empty canonical form, a null digest and no licence. Repeated rows
-get equal results; of two licences with one digest the smaller name stands. Empty tables give
-empty results, and other columns pass through.
+get equal results, and rows of one doc_id (or without any) share their notices; of two licences with one digest the
+smaller name stands. Empty tables give empty results. Columns named digest, license or notices are replaced;
+all others pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import free_names
@@ -42,6 +43,9 @@ SPELLINGS = {
     "copyright owner": "copyright holder",
 }
 MARKS = r"[^\p{L}\p{N}]+"
+LINE_MARKS = r"[^\p{L}\p{N}\n]+"
+#: Every copyright line has one of these.
+NOTICED = ("copyright", "(c)", "©", "all rights reserved")
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -87,33 +91,54 @@ NOTICES = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINES, " ")
+def with_form(rows: DataFrame, text: str, form: str) -> DataFrame:
+    """rows with the canonical form of a text, in which ends of lines are still to be seen.
+
+    Each step that a later one reads twice is a column of its own, so that Spark works it out once; texts
+    without any word of a copyright line skip the search for such lines.
+    """
+    (lower,) = free_names(rows, "lower")
+    low = rows.withColumn(lower, F.lower(F.coalesce(F.col(text), F.lit(""))))
+    noticed = F.contains(F.col(lower), F.lit(NOTICED[0]))
+    for word in NOTICED[1:]:
+        noticed = noticed | F.contains(F.col(lower), F.lit(word))
+    out = F.when(noticed, F.regexp_replace(F.col(lower), COPYRIGHT_LINES, " ")).otherwise(F.col(lower))
     for spelling, usual in SPELLINGS.items():
         out = F.replace(out, F.lit(spelling), F.lit(usual))
-    return F.trim(F.regexp_replace(out, MARKS, " "))
+    return low.withColumn(form, F.regexp_replace(out, LINE_MARKS, " ")).drop(lower)
 
 
-def digest(text: Column) -> Column:
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+def with_digest(rows: DataFrame, text: str, digest: str = "digest") -> DataFrame:
+    """rows with the digest of the whole canonical form of a text, null where that is empty."""
+    (form,) = free_names(rows, "form")
+    out = with_form(rows, text, form).withColumn(form, F.trim(F.regexp_replace(F.col(form), "[ \\n]+", " ")))
+    return out.withColumn(digest, F.when(F.col(form) != "", F.sha2(F.col(form), 256))).drop(form)
 
 
 def known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """(digest, license) of licences and their texts."""
-    found = spark.createDataFrame(rows, "license string, text string")
-    found = found.select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    found = with_digest(spark.createDataFrame(rows, "license string, text string"), "text").where("digest is not null")
+    found = found.groupBy("digest").agg(F.min("license").alias("license"))
     return F.broadcast(found) if len(rows) <= SMALL else found
 
 
+def lengths(spark: SparkSession, rows: list[tuple[str, str]]) -> tuple[int, int]:
+    """The least and the greatest length of the canonical forms of texts; two numbers, whatever the list."""
+    forms = with_form(spark.createDataFrame(rows, "license string, text string"), "text", "form").select(F.length(F.trim(F.regexp_replace("form", "[ \\n]+", " "))).alias("n"))
+    least, most = forms.agg(F.min("n"), F.max("n")).first()
+    return max(least or 0, 1), most or 0
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", licenses: list[tuple[str, str]] = LICENSES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """docs with digest, license (of the whole text, or null) and notices (licences of whole lines, sorted and joined by commas, or null)."""
     spark = docs.sparkSession
     docs = docs.drop("digest", "license", "notices")
-    (own,) = free_names(docs, "own")
-    lines = docs.select(F.col(doc_id).alias(own), F.explode(F.array_distinct(F.split(F.coalesce(text, F.lit("")), "\n"))).alias("line"))
-    # the canonical form of a line is made once; lines without a known digest end here, before any shuffle
-    named = lines.withColumn("digest", digest(F.col("line"))).join(known(spark, notices), "digest")
+    own, form = free_names(docs, "own", "form")
+    # only lines as long as some notice can be one, and only these are hashed; lines without a known digest end here, before any shuffle
+    least, most = lengths(spark, notices)
+    lines = with_form(docs.select(F.col(doc_id).alias(own), F.col(text).alias("text")), "text", form)
+    lines = lines.select(own, F.explode(F.split(form, "\n")).alias("line")).withColumn("line", F.trim("line")).where(F.length("line").between(least, most))
+    named = lines.withColumn("digest", F.sha2("line", 256)).join(known(spark, notices), "digest")
     named = named.groupBy(own).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    whole = docs.withColumn("digest", digest(F.col(text))).join(known(spark, licenses + notices), "digest", "left")
+    whole = with_digest(docs, text).join(known(spark, licenses + notices), "digest", "left")
     return whole.join(named, F.col(doc_id).eqNullSafe(F.col(own)), "left").drop(own)

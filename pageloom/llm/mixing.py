@@ -1,22 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source, in the order of a hash, form blocks. A source of weight w is due one block in
-every 1 / w slots: its block k is released at slot floor(k / w) and due by slot ceil((k + 1) / w).
-Earliest deadline first over these windows fills every slot and, the weights adding up to one, keeps
-each source less than one block from its share at every slot of a phase. Weights are taken as written,
-as whole numbers over a common denominator, so nothing is rounded; the schedule repeats after as many slots
-as these numbers add up to. The driver works out one such period, or the whole phase where that is
-shorter; slots of all blocks follow by arithmetic. When a source has no blocks left, a new phase begins,
-in which the weights of the others are scaled up. Every document has exactly one slot.
-
-The driver and the joins hold a count for each source, and a row for each phase, source and slot of a
-period: few where weights have a small common denominator, and one for each block of the corpus at most.
-The rank of a document in its source comes from hash buckets of about BUCKET documents, so that no task
-holds a source.
+The documents of a source, in the order of a hash, form blocks. In an ideal mixture every source flows at a rate
+of its weight over the weights of all sources that still have documents. Block k of a source is released at the
+slot in which the ideal mixture begins it, rounded down, and due by the slot in which that ends it, rounded up.
+Earliest deadline first over these windows fills every slot, and as the ideal rates add up to one, it keeps all
+deadlines: at every slot each source is less than one block from its ideal share. Weights are taken as
+written, as whole numbers over a common denominator, and all times are whole-number arithmetic, so nothing drifts.
+Every document has exactly one slot.
+
+Blocks hold BLOCK documents, or as many more as keep the number of blocks near BLOCKS: the driver holds a count for
+each source and a slot for each block, both bounded by that number and the number of sources, whatever the corpus.
+The rank of a document in its source comes from hash buckets of about BUCKET documents, whose counts are added up
+in groups of GROUP buckets, so that no task holds a source.
 
 Defined results: null is a source of its own. Sources without a target weight get the smallest one given,
-or all the same if none is; a weight of zero or less comes after all others are used up. Repeated rows
-each have a place. Empty tables give empty results; other columns pass through.
+or all the same if none is; those with a weight of zero or less come after all others are used up, all at one rate.
+Repeated rows each have a place. Empty tables give empty results. Columns named source_block, slot, place or
+phase are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -24,37 +24,24 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageloom.llm.common import free_names
 
-MAX_SOURCES = 1000
 BLOCK = 16
-BUCKET = 4000
+#: Blocks of a schedule, about, from which on blocks become larger.
+BLOCKS = 1_000_000
+BUCKET, GROUP = 4000, 1000
 #: Rows of a table that is broadcast; a larger one is joined by a shuffle.
 SMALL = 200_000
 
 
-def shares(weights: np.ndarray, period: int) -> np.ndarray:
-    """Slots of each source in a period: largest remainders, one at least."""
-    exact = weights / weights.sum() * period
-    out = np.maximum(1, np.floor(exact).astype(int))
-    order = np.argsort(out - exact, kind="stable")
-    k = 0
-    while out.sum() < period:
-        out[order[k % len(out)]] += 1
-        k += 1
-    while out.sum() > period:
-        out[int(np.argmax(out))] -= 1
-    return out
-
-
 def whole(weights: list) -> list[int]:
     """Whole numbers in the exact ratio of positive weights, which are read as they are written."""
     exact = [Fraction(str(w)) for w in weights]
@@ -64,51 +51,70 @@ def whole(weights: list) -> list[int]:
     return [n // divisor for n in numbers]
 
 
-def edf(slots: Sequence[int], left: Sequence[int] | None = None) -> list[list[int]]:
-    """The slots that each source's blocks get in one period, all of which are filled; it ends when a source has none left."""
-    slots = [int(a) for a in slots]
-    period = sum(slots)
-    out: list[list[int]] = [[] for _ in slots]
-    waiting = [(0, s) for s in range(len(slots))]
-    ready: list[tuple[int, int]] = []
-    for t in range(period):
+class Ideal:
+    """The ideal mixture of sources of n blocks each at whole weights a: all flow at their weights until they run out.
+
+    Virtual time v is that in which source s has flowed a[s] * v blocks; it runs out at n[s] / a[s].
+    """
+
+    def __init__(self, n: list[int], a: list[int]):
+        order = sorted(range(len(n)), key=lambda s: Fraction(n[s], a[s]))
+        self.n, self.a = [n[s] for s in order], [a[s] for s in order]
+        self.ends = [x / y for x, y in zip(self.n, self.a, strict=True)]
+        self.gone = [0, *np.cumsum(np.array(self.n, object)).tolist()]
+        self.rate = [sum(self.a) - w for w in (0, *np.cumsum(np.array(self.a, object)).tolist())]
+
+    def time(self, k: int, a: int) -> tuple[int, int, int]:
+        """When a source of weight a has flowed k blocks, as (whole, numerator, denominator), after how many sources ran out."""
+        j = bisect_left(self.ends, k / a)  # nearly; then exactly
+        while j < len(self.n) and self.n[j] * a < k * self.a[j]:
+            j += 1
+        while j and self.n[j - 1] * a >= k * self.a[j - 1]:
+            j -= 1
+        return self.gone[j], self.rate[j] * k, j
+
+
+def edf(n: list[int], a: list[int]) -> tuple[list[int], list[int]]:
+    """The source of each slot, and how many sources had run out in the ideal mixture when its block was released."""
+    ideal, done, waiting, ready = Ideal(n, a), [0] * len(n), [], []
+    slots, phases = [], []
+
+    def wait(s: int, soonest: int) -> None:
+        base, part, phase = ideal.time(done[s], a[s])
+        heapq.heappush(waiting, (max(soonest, base + part // a[s]), s, phase))
+
+    for s in range(len(n)):
+        if n[s]:
+            wait(s, 0)
+    for t in range(sum(n)):
         while waiting and waiting[0][0] <= t:
-            _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(out[s]) + 1) * period // slots[s]), s))
-        _, s = heapq.heappop(ready)
-        out[s].append(t)
-        if left is not None and len(out[s]) == left[s]:
-            break
-        if len(out[s]) < slots[s]:
-            heapq.heappush(waiting, (max(t + 1, len(out[s]) * period // slots[s]), s))
-    return out
-
-
-def plan(blocks: list[int], weights: list[float]) -> tuple[list[tuple], list[tuple]]:
-    """Phases (phase, source, first block, blocks, first slot, slots a period, period) and cells (phase, source, number, slot)."""
-    left, done, start, phases, cells, number = list(blocks), [0] * len(blocks), 0, [], [], 0
-    while any(left):
-        active = [s for s, n in enumerate(left) if n and weights[s] > 0]
-        a = whole([weights[s] for s in active])
-        if not active:
-            active = [s for s, n in enumerate(left) if n]
-            a = [1] * len(active)
-        remaining = [left[s] for s in active]
-        table = edf(a, remaining)
-        length = sum(map(len, table))
-        if length < sum(a):  # a source ran out in the first period
-            end, a = length, [max(1, len(t)) for t in table]
-        else:
-            end = min((n - 1) // k * length + t[(n - 1) % k] for n, k, t in zip(remaining, a, table, strict=True)) + 1
-        for s, k, t in zip(active, a, table, strict=True):
-            n = end // length * len(t) + bisect_left(t, end % length)
-            phases.append((number, s, done[s], n, start, k, length))
-            cells += [(number, s, j, at) for j, at in enumerate(t) if j < n]
-            done[s] += n
-            left[s] -= n
-        start += end
-        number += 1
-    return phases, cells
+            _, s, phase = heapq.heappop(waiting)
+            base, part, _ = ideal.time(done[s] + 1, a[s])
+            heapq.heappush(ready, (base - (-part // a[s]), s, phase))
+        _, s, phase = heapq.heappop(ready)
+        slots.append(s)
+        phases.append(phase)
+        done[s] += 1
+        if done[s] < n[s]:
+            wait(s, t + 1)
+    return slots, phases
+
+
+def plan(blocks: list[int], weights: list) -> pa.Table:
+    """no, source_block, slot and phase of every block: weighted sources first, then those of no weight."""
+    source, phase = [], []
+    for chosen in ([s for s, w in enumerate(weights) if w > 0], [s for s, w in enumerate(weights) if not w > 0]):
+        if chosen:
+            a = whole([weights[s] for s in chosen]) if weights[chosen[0]] > 0 else [1] * len(chosen)
+            slots, gone = edf([blocks[s] for s in chosen], a)
+            first = max(phase, default=-1) + 1
+            source += [chosen[s] for s in slots]
+            phase += [first + g for g in gone]
+    source = np.array(source, np.int64)
+    order = np.argsort(source, kind="stable")
+    number = np.empty(len(source), np.int64)
+    number[order] = np.arange(len(source)) - np.searchsorted(source[order], source[order])
+    return pa.table({"no": pa.array(source, pa.int32()), "source_block": number, "slot": np.arange(len(source)), "phase": pa.array(phase, pa.int32())})
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -120,31 +126,29 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id:
     spark = docs.sparkSession
     added = ("source_block", "slot", "place", "phase")
     docs = docs.drop(*added)
-    hashed, bucket, base, rank, no, ph, first, n, start, a, length, cell, at = names = free_names(docs, "hashed", "bucket", "base", "rank", "no", "ph", "first", "n", "start", "a", "length", "cell", "at")
-    counts = sorted(((r[0], r[1]) for r in docs.groupBy(source).count().collect()), key=lambda r: (r[0] is not None, r[0]))
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"{len(counts)} sources; {MAX_SOURCES} at most")
-    weights = weights or {}
+    hashed, bucket, group, base, before, rank, no, its, its_block = free_names(docs, "hashed", "bucket", "group", "base", "before", "rank", "no", "its", "its_block")
+    counts = sorted(((r[0], r[1]) for r in docs.groupBy(source).agg(F.count("*").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0]))
+    n_docs, weights = sum(c for _, c in counts), weights or {}
+    block = max(block, -(-n_docs // BLOCKS))
     default = min(weights.values(), default=1.0)
-    phases, cells = plan([-(-c // block) for _, c in counts], [weights.get(s, default) for s, _ in counts])
-    buckets = max(1, -(-sum(c for _, c in counts) // BUCKET))
-    names_of = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(counts)], f"s {docs.schema[source].dataType.simpleString()}, `{no}` int")
+    slots = plan([-(-c // block) for _, c in counts], [weights.get(s, default) for s, _ in counts])
+    buckets = max(1, -(-n_docs // BUCKET))
+    named = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(counts)], f"`{its}` {docs.schema[source].dataType.simpleString()}, `{no}` int")
     keyed = docs.withColumn(hashed, F.xxhash64(F.col(doc_id), F.lit("mix"))).withColumn(bucket, F.pmod(F.col(hashed), F.lit(buckets)))
-    keyed = keyed.join(F.broadcast(names_of), F.col(source).eqNullSafe(F.col("s"))).drop("s") if "s" not in docs.columns else keyed.join(F.broadcast(names_of.withColumnRenamed("s", at)), F.col(source).eqNullSafe(F.col(at))).drop(at)
-    held = keyed.groupBy(no, bucket).count()
-    before = Window.partitionBy(no).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = held.select(no, bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    keyed = keyed.join(_small(named, len(counts)), F.col(source).eqNullSafe(F.col(its))).drop(its)
+    held = keyed.groupBy(no, bucket).agg(F.count("*").alias(base)).withColumn(group, F.floor(F.col(bucket) / GROUP))
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = held.groupBy(no, group).agg(F.sum(base).alias(before))
+    groups = groups.select(no, group, F.coalesce(F.sum(before).over(earlier(no, group)), F.lit(0)).alias(before))
+    bases = held.select(no, group, bucket, F.coalesce(F.sum(base).over(earlier(no, group, bucket)), F.lit(0)).alias(base))
+    bases = bases.join(groups, [no, group]).select(no, bucket, (F.col(base) + F.col(before)).alias(base))
     order = Window.partitionBy(no, bucket).orderBy(hashed, doc_id)
     ranked = keyed.withColumn(rank, F.row_number().over(order) - 1).join(_small(bases, buckets * len(counts)), [no, bucket])
-    ranked = ranked.withColumn(rank, F.col(rank) + F.col(base)).withColumn("source_block", F.floor(F.col(rank) / block).cast("long")).withColumn("place", (F.col(rank) % block).cast("int"))
-    phase_rows = spark.createDataFrame(phases, f"`{ph}` int, `{no}_` int, `{first}` bigint, `{n}` bigint, `{start}` bigint, `{a}` bigint, `{length}` bigint")
-    inside = (F.col(no) == F.col(f"{no}_")) & (F.col("source_block") >= F.col(first)) & (F.col("source_block") < F.col(first) + F.col(n))
-    timed = ranked.join(_small(phase_rows, len(phases)), inside).drop(f"{no}_")
-    timed = timed.withColumn(cell, ((F.col("source_block") - F.col(first)) % F.col(a)).cast("bigint"))
-    cell_rows = spark.createDataFrame(cells, f"`{ph}` int, `{no}` int, `{cell}` bigint, `{at}` bigint")
-    timed = timed.join(_small(cell_rows, len(cells)), [ph, no, cell])
-    slot = F.col(start) + F.floor((F.col("source_block") - F.col(first)) / F.col(a)) * F.col(length) + F.col(at)
-    return timed.withColumn("slot", slot.cast("long")).withColumn("phase", F.col(ph)).drop(*names)
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(base))
+    ranked = ranked.withColumn(its_block, F.floor(F.col(rank) / block).cast("long")).withColumn("place", (F.col(rank) % block).cast("int"))
+    timed = spark.createDataFrame(slots).select(F.col("no").alias(no), F.col("source_block").alias(its_block), "slot", "phase")
+    out = ranked.join(_small(timed, slots.num_rows), [no, its_block]).withColumnRenamed(its_block, "source_block")
+    return out.select(*docs.columns, "source_block", "place", "slot", "phase")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

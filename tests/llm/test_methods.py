@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from pageloom.llm import ann, components, minhash_dedup, mixing, packing, quality_rules, text_stats, token_files, tokens
+from pageloom.llm import ann, components, minhash_dedup, mixing, packing, quality_rules, text_stats, token_files, tokens, url_filter
 from pageloom.llm.labels import Isotonic
 
 
@@ -57,6 +59,60 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def brute_components(docs):
+    """doc_id -> the smallest doc_id that links of at least 0.75 reach."""
+    sets = {k: brute_sets(t) for k, t in docs}
+    label = {k: k for k in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+def test_boilerplate_families_are_refined(spark, monkeypatch):
+    """Texts that share three fifths of their words fall into one family; only those that share rare shingles, too, are compared."""
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(90)]
+    docs = []
+    for k in range(150):
+        docs.append((3 * k, " ".join(common + [f"o{k}x{j}" for j in range(60)])))
+        if k % 10 == 0:  # a near copy, and a near copy of that one only
+            words = docs[-1][1].split()
+            words[rng.randrange(92, 150)] = "new"
+            docs.append((3 * k + 1, " ".join(words)))
+            words[rng.randrange(92, 150)] = "newer"
+            docs.append((3 * k + 2, " ".join([*words, *(f"n{j}" for j in range(18))])))
+    monkeypatch.setattr(minhash_dedup, "NODES", 40)
+    compared = []
+    plain = minhash_dedup.block_links
+    monkeypatch.setattr(minhash_dedup, "block_links", lambda placed, sets: (compared.append(placed.count()), plain(placed, sets))[1])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.find_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs)
+    assert compared[0] <= 50
+
+
+def test_large_group_with_outsiders(spark, monkeypatch):
+    """Links between the largest cluster of a family and sets that their star did not confirm."""
+    base = [f"w{k}" for k in range(120)]
+    docs = []
+    for k in range(90):
+        own = list(base)
+        for j in range(k % 9):  # further and further from the first, by steps that are links
+            own[12 * j : 12 * j + 4] = [f"x{j}a", f"x{j}b", f"x{j}c", f"x{j}d"]
+        docs.append((k, " ".join([*own, f"y{k}"])))
+    monkeypatch.setattr(minhash_dedup, "NODES", 20)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.find_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs)
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)]
@@ -105,8 +161,10 @@ def test_word_by_word_encoding(texts):
     encoder = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert encoder.by_words
     extra = ["Ünï'S İstanbul.\nfoo, bar-. <|endoftext|>! <|ENDOFTEXT|> É½ don't x's. é́ ŉ a.b., ὈΔΥΣΣΕΎΣ"]
-    for text, ids in zip(texts + extra, encoder.many(texts + extra), strict=True):
-        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = [*texts, *extra, "".join(texts), "(It's 12.5%) a-b_c [É]+ÿ ²½ª"]
+    ids, ends = encoder.flat(pa.array(texts, pa.string()), 1)
+    for text, begin, end in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert ids[begin:end].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
     other = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not other.by_words and other.ids("a b").tolist() == other.tokenizer.encode("a b", add_special_tokens=False).ids
 
@@ -120,39 +178,56 @@ def test_sum_of_squares(lengths):
     assert len(filled) <= 2 * -(-sum(lengths) // 50) + 1
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 60), min_size=1, max_size=12))
-def test_pfair_deviation(weights):
-    slots = mixing.shares(np.array(weights, float), max(100, 2 * len(weights)))
-    table = mixing.edf(slots)
-    period = int(slots.sum())
-    assert sorted(t for own in table for t in own) == list(range(period))
-    for a, own in zip(slots, table, strict=True):
-        got = np.zeros(period)
-        got[own] = 1
-        assert np.abs(np.cumsum(got) - a / period * np.arange(1, period + 1)).max() < 1
-
-
-def test_mixture_stays_at_exact_weights():
-    cases = [([1.0] * n, [9000 + n * k for k in range(n)]) for n in (3, 6, 7, 19)]
-    cases += [([0.0005, 0.9995], [30, 40_000]), ([0.123456789, 1 / 3, 2.5], [3000, 9000, 20_000]), ([1.0, 0.0, 2.0], [50, 10, 70]), ([5.0, 1e-9], [2000, 1])]
-    for weights, blocks in cases:
-        phases, cells = mixing.plan(blocks, weights)
-        at = {}
-        for number, s, j, slot in cells:
-            at.setdefault((number, s), []).append(slot)
-        seen = []
-        for number in range(phases[-1][0] + 1):
-            rows = [p for p in phases if p[0] == number]
-            total = sum(weights[s] for _, s, *_ in rows)
-            size = sum(p[3] for p in rows)
-            for _, s, _, n, start, a, length in rows:
-                slots = np.array([k // a * length + at[number, s][k % a] for k in range(n)], int)
-                share = weights[s] / total if total else 1 / len(rows)
-                taken = np.cumsum(np.bincount(slots, minlength=size))
-                assert np.abs(taken - share * np.arange(1, size + 1)).max() < 1
-                seen.append(slots + start)
-        assert np.array_equal(np.sort(np.concatenate(seen)), np.arange(sum(blocks)))
+def ideal_shares(blocks, weights):
+    """How many blocks of each source the ideal mixture has after every slot: sources flow at their weights until they run out."""
+    n, w = np.array(blocks, float), np.array([float(x) for x in weights])
+    have, out = np.zeros(len(n)), []
+    for _ in range(sum(blocks)):
+        left = 1.0
+        while left > 1e-12:
+            open_now = have < n - 1e-9
+            if not open_now.any():
+                break
+            rate = np.where(open_now, w, 0) / w[open_now].sum()
+            step = min(left, ((n - have)[open_now] / rate[open_now]).min())
+            have, left = have + rate * step, left - step
+        out.append(have)
+    return np.array(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.sampled_from([1, 2, 7, 60, 0.1, 1 / 3, 0.123456789, 0.0005])), min_size=1, max_size=12))
+def test_pfair_deviation(sources):
+    blocks, weights = [n for n, _ in sources], [w for _, w in sources]
+    no = mixing.plan(blocks, weights).column("no").to_numpy()
+    taken = np.cumsum(no[:, None] == np.arange(len(blocks)), axis=0)
+    assert taken[-1].tolist() == blocks
+    assert np.abs(taken - ideal_shares(blocks, weights)).max() < 1 + 1e-6
+
+
+def test_mixture_keeps_its_weights(spark):
+    """Through mix itself, over all slots: the given weights, equal ones, zero weights, a source that isn't weighted, ties."""
+    for weights, sizes in (({}, [300, 500, 700]), ({"s0": 3, "s1": 1, "s2": 1, "s3": 1}, [900, 200, 300, 400]), ({"s0": 0.0005, "s1": 0.9995, "s2": 0}, [40, 900, 100]), ({"s1": 2.5, "s0": 1 / 3}, [300, 800, 0, 150])):
+        rows = [(k if k % 7 else 0, f"s{s}") for s, n in enumerate(sizes) for k in range(n)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4).collect()
+        assert len(got) == len(rows) and len({(r.slot, r.place) for r in got}) == len(rows)
+        names = sorted({r[1] for r in rows})
+        default = min(weights.values(), default=1.0)
+        given_weights = [weights.get(s, default) for s in names]
+        source_of = {r.slot: names.index(r.source) for r in got}
+        no = np.array([source_of[t] for t in range(len(source_of))])
+        blocks = np.bincount(no, minlength=len(names))
+        assert blocks.tolist() == [-(-sum(r[1] == s for r in rows) // 4) for s in names]
+        weighted = [k for k, w in enumerate(given_weights) if w > 0]
+        first = int(blocks[weighted].sum())
+        taken = np.cumsum(no[:first, None] == np.array(weighted), axis=0)
+        assert np.abs(taken - ideal_shares(blocks[weighted].tolist(), [given_weights[k] for k in weighted])).max() < 1 + 1e-6
+
+
+def test_many_sources(spark):
+    docs = spark.range(6006).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1001).alias("source"), F.lit(1).alias("S"), F.lit(2).alias("no_"), F.lit(3).alias("its"))
+    got = mixing.mix(docs, block=2).groupBy("slot").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.max("S"), F.max("no_")).collect()
+    assert len(got) == 3003 and {tuple(r)[1:] for r in got} == {(2, 1, 1, 2)}
 
 
 def test_label_model_recovers_accuracies():
@@ -181,8 +256,6 @@ def test_isotonic_is_monotone():
 def test_recall_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 16))).astype(np.float32)
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {}
     for r in ann.nearest(rows, F.col("vec_id") % 50 == 0, 10).collect():
@@ -194,3 +267,23 @@ def test_recall_against_brute_force(spark):
         s[q] = -np.inf
         hits += len(got[q] & set(np.argsort(-s)[:10].tolist()))
     assert hits / (80 * 10) >= 0.9
+
+
+def test_listed_urls(spark, monkeypatch):
+    """A filter of one word lets many wrong keys pass; the join removes them all."""
+    monkeypatch.setattr(url_filter, "MAX_WORDS", 1)
+    listed = spark.createDataFrame([(f"http://site{k}.org/page/{k}",) for k in range(300)] + [("https://User@Example.com:443/%7ea/%2fb#top",), (None,), ("no scheme",)], "url string")
+    urls = {"https://SITE7.org./page/7": "block", "http://site7.org/page/7?x": "allow", "http://site7.org/page/8": "allow", "http://example.com/~a/%2Fb": "block", "http://example.com/~a//b": "allow", "http://ok.org/page/9": "allow", "no scheme": "allow", "http://site299.org:80/page/299#a": "block"}
+    urls |= {f"http://other{k}.org/page/{k}": "allow" for k in range(200)}
+    pages = spark.createDataFrame([(u, 1, "x") for u in urls] + [(None, 1, "x")], "url string, key int, found string")
+    rules = spark.createDataFrame([("allow", "ok.org", "/"), ("block", "other3.org", "")], "verdict string, host string, path string")
+    urls["http://other3.org/page/3"] = "block"
+    got = {r.url: r.verdict for r in url_filter.judge_urls(pages, rules, listed=listed).collect()}
+    assert got == urls | {None: "allow"}
+    assert url_filter.judge_urls(pages, rules.limit(0), listed=listed.limit(0)).where("verdict = 'allow'").count() == len(got)
+
+
+def test_hosts_of_very_many_labels(spark):
+    long_host = "http://" + ".".join(["a"] * 12_000) + ".example.net/de/8/" + "b" * 100_000
+    rules = spark.createDataFrame([("allow", "net", "/de/"), ("block", "example.net", "/de/8")], "verdict string, host string, path string")
+    assert [r.rule for r in url_filter.judge_urls(spark.createDataFrame([(long_host,)], "url string"), rules).collect()] == ["example.net/de/8"]

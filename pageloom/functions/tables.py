@@ -76,6 +76,12 @@ def to_pipes(table: Column) -> Column:
     return F.array_join(F.filter(rows, lambda x: F.regexp_replace(x, r"[|\s]", "") != ""), "\n")
 
 
+def plain_text(table: Column) -> Column:
+    """Headers and rows, cells at pipes; lines without any text are left out."""
+    lines = F.transform(F.concat(F.array(table["headers"]), table["rows"]), lambda r: F.array_join(F.transform(r, lambda c: F.trim(c)), " | "))
+    return F.array_join(F.filter(lines, lambda x: F.btrim(x, F.lit(" |")) != ""), "\n")
+
+
 def list_marker(cell: Column) -> Column:
     """The cell if it is a list marker, with a dot after a bare number, letter or numeral; else empty."""
     plain = squeezed(cell)

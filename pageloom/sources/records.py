@@ -88,4 +88,5 @@ def write_text(df: DataFrame, path: str) -> None:
 
 
 def size_label(size: Column) -> Column:
-    return F.format_string("%.1f MB", size / (1024 * 1024))
+    """Megabytes to one place, half to even."""
+    return F.format_string("%.1f MB", F.bround(size / (1024 * 1024), 1))

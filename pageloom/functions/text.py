@@ -21,6 +21,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends; null counts as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def clean_line(line: Column) -> Column:
     """A line without heading marks, comments and outer pipes."""
     out = F.regexp_replace(F.coalesce(line, F.lit("")), r"^\s{0,3}#{1,6}\s*", "")

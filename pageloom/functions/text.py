@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 #: A list marker: a number, letter or roman numeral in brackets or before a dot or bracket (a fixed format).
 ORDERED = r"^(\((?:\d+|[A-Za-z]|[ivxlcdmIVXLCDM]+)\)|(?:\d+|[A-Za-z]|[ivxlcdmIVXLCDM]+)[.)])\s+"
 BULLET = r"^([•\-–*·])\s+"
-#: A page number of a contents row.
-PAGE = r"(?:\d{1,4}|[ivxlcdm]{1,12})"
+#: A page number of a contents row: figures, or a well-formed roman numeral (a fixed format).
+PAGE = r"(?:\d{1,4}|(?=[ivxlcdm]{1,12}(?:\b|$))m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
+#: White space between a title and its page, thin and zero-width blanks among it.
+GAP = r"[\s\u2002-\u200b\u202f]"
+#: The shapes of a contents row, with the groups of title and page.
+ROW_SHAPES = [(rf"(?i)^(.+?)\s*\.{{2,}}\s*({PAGE})$", 1, 2), (rf"(?i)^({PAGE}){GAP}+(\D.+)$", 2, 1), (rf"(?i)^(.+?){GAP}{{2,}}({PAGE})$", 1, 2)]
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
@@ -115,9 +119,8 @@ def roman_value(token: Column) -> Column:
 
 def contents_row(line: Column) -> Column:
     """struct(title, page) of a row with dot leaders, with its page first, or with its page last; else null."""
-    shapes = [(rf"(?i)^(.+?)\s*\.{{2,}}\s*({PAGE})$", 1, 2), (rf"(?i)^({PAGE})\s+(\D.+)$", 2, 1), (rf"(?i)^(.+?)\s{{2,}}({PAGE})$", 1, 2)]
     out = F.lit(None)
-    for pattern, title, page in reversed(shapes):
+    for pattern, title, page in reversed(ROW_SHAPES):
         cleaned = contents_text(F.regexp_extract(line, pattern, title))
         row = F.struct(cleaned.alias("title"), F.regexp_extract(line, pattern, page).alias("page"))
         out = F.when(line.rlike(pattern) & (cleaned != "") & (F.length(cleaned) <= 300), row).otherwise(out)

@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by label spreading with pointer jumping."""
+"""Connected components of a table of links, by label spreading with pointer jumping, and the roots of a forest."""
 
 from __future__ import annotations
 
@@ -44,3 +44,21 @@ def connected_components(links: DataFrame) -> DataFrame:
             discard(both)
             return labels
     raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of every node of a forest parents(node, component), component being the root above it; roots have no row.
+
+    Each round a node takes the parent of its parent, so a path of length n closes in log n rounds of one join.
+    """
+    labels = settle(parents, "parents")
+    for _ in range(MAX_ROUNDS):
+        up = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        step = labels.join(up, "component", "left").select("node", F.coalesce("far", "component").alias("component"), F.col("far").isNotNull().alias("moved"))
+        new = settle(step, "parents")
+        discard(labels)
+        labels = new.drop("moved")
+        labels.settled_at = new.settled_at
+        if new.where("moved").isEmpty():
+            return labels
+    raise RuntimeError(f"parents still change after {MAX_ROUNDS} rounds")

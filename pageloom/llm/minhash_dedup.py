@@ -12,8 +12,8 @@ is a row for each member and not one for each pair; nodes that such candidate li
 Links are then confirmed on full sets:
 
 * Each node meets one smaller node first, the one it shares most tables with. These stars are as many as nodes,
-  and what they confirm puts nearly all members of a true group together. A star of any size is split into units.
-* Families that are one cluster by then are finished. In the others, only members outside the largest cluster are
+  and what they confirm, a forest, puts nearly all members of a true group into one cluster. A star of any size is split into units.
+* From here on only candidate links between different clusters count, and families that are one cluster are finished. In the others, only members outside the largest cluster are
   compared: with each other and with that cluster, in blocks of about BLOCK shingles and NODES sets, each pair of
   blocks a unit of its own. A unit yields a spanning forest of its links, never its pairs.
 * Families larger than one block are refined before that. Two sets of similarity 0.75 must share one of the rarest
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm.common import discard, free_names, give_back, in_turn, mix64, settle, windows
-from pageloom.llm.components import connected_components
+from pageloom.llm.components import connected_components, roots
 
 WIDTH = 5
 SIDE = 10
@@ -219,7 +219,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     groups = signed.where("n > 0").groupBy("digest").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
     # the numbers hold from here on, as the table is written and read again
     groups = settle(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = connected_components(confirmed_links(groups, plain))
+    labels = linked_components(groups, plain)
     named = groups.select("digest", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leasts = named.groupBy("component").agg(F.min("least").alias("least")).select("component", "least.doc_id", "least.mark")
     return signed.select("doc_id", "mark", "n", "digest"), named.select("digest", "component"), leasts
@@ -273,11 +273,17 @@ def confirm_star(unit: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(node[linked], pa.int64()), "v": pa.array(np.full(int(linked.sum()), node[centre]), pa.int64())})
 
 
-def unfinished(families: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(node, family, cluster, inside) of the families with several clusters; inside: whether the cluster is the family's largest."""
-    placed = families.select("node", F.col("component").alias("family")).join(clusters.select("node", F.col("component").alias("cluster")), "node", "left")
-    placed = placed.withColumn("cluster", F.coalesce("cluster", "node"))
-    return with_largest(placed)
+def unfinished(links: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(node, family, cluster) of the members of clusters(node, component) that candidate links connect with other clusters.
+
+    Clusters are named by their roots, which have no row of their own.
+    """
+    of = lambda end: clusters.select(F.col("node").alias(end), F.col("component").alias(f"{end}_cluster"))
+    met = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    between = met.select(F.coalesce("u_cluster", "u").alias("u"), F.coalesce("v_cluster", "v").alias("v")).where("u != v").distinct()
+    families = connected_components(settle(between, "between")).select(F.col("node").alias("cluster"), F.col("component").alias("family"))
+    members = clusters.select("node", F.col("component").alias("cluster")).join(families, "cluster")
+    return members.select("node", "family", "cluster").union(families.select(F.col("cluster").alias("node"), "family", "cluster"))
 
 
 def with_largest(placed: DataFrame) -> DataFrame:
@@ -326,24 +332,31 @@ def block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint")
 
 
-def confirmed_links(nodes: DataFrame, plain: DataFrame) -> DataFrame:
-    """(u, v) links that connect all nodes of a family that chains of similar sets connect."""
+def linked_components(nodes: DataFrame, plain: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that chains of similar sets connect; one node of each component may have no row, and names it."""
     links = settle(candidate_links(nodes.select("node", "first", "second")), "candidates")
-    families = connected_components(links.select("u", "v"))
-    at = families.select("node").join(nodes.select("node", F.col("least.doc_id").alias("least_id"), F.col("least.mark").alias("least_mark"), "n"), "node")
+    met = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    at = met.join(nodes.select("node", F.col("least.doc_id").alias("least_id"), F.col("least.mark").alias("least_mark"), "n"), "node")
     least = plain["doc_id"].eqNullSafe(F.col("least_id")) & (plain["mark"] == F.col("least_mark"))
     texts = plain.join(at, least).dropDuplicates(["node"]).select("node", "n", "text")
     sets = settle(with_members(texts, "text"), "sets")
     best = links.groupBy("u").agg(F.max(F.struct("shared", (-F.col("v")).alias("v"))).alias("best")).select("u", (-F.col("best.v")).alias("v"))
-    stars = settle(star_links(best, sets), "stars")
-    rest = settle(unfinished(families, connected_components(stars)), "unfinished")
-    sizes = rest.join(sets.select("node", "n"), "node").groupBy("family").agg(blocks_of("n").alias("blocks"))
-    large = rest.join(sizes.where("blocks > 1"), "family", "left_semi")
-    small = rest.join(sizes.where("blocks = 1"), "family", "left_semi")
-    blocks = small if large.isEmpty() else small.unionByName(settle(refined(large, sets), "refined"))
-    found = settle(stars.union(block_links(blocks, sets)), "confirmed")
-    discard(links, sets, stars, rest)
-    return found
+    clusters = roots(star_links(best, sets).select(F.col("u").alias("node"), F.col("v").alias("component")))
+    rest = settle(with_largest(unfinished(links, clusters)), "unfinished")
+    merged = None
+    if not rest.isEmpty():
+        sizes = rest.join(sets.select("node", "n"), "node").groupBy("family").agg(blocks_of("n").alias("blocks"))
+        large = rest.join(sizes.where("blocks > 1"), "family", "left_semi")
+        small = rest.join(sizes.where("blocks = 1"), "family", "left_semi")
+        blocks = small if large.isEmpty() else small.unionByName(settle(refined(large, sets), "refined"))
+        of = lambda end: rest.select(F.col("node").alias(end), F.col("cluster").alias(f"{end}_cluster"))
+        found = block_links(blocks, sets).join(of("u"), "u").join(of("v"), "v")
+        merged = connected_components(settle(found.select(F.col("u_cluster").alias("u"), F.col("v_cluster").alias("v")).where("u != v").distinct(), "confirmed"))
+    discard(links, sets, rest)
+    if merged is None:
+        return clusters
+    of_cluster = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return clusters.join(of_cluster, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).union(merged.select("node", "component"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

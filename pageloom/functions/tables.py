@@ -13,16 +13,16 @@ from pageloom.functions.text import list_entry, squeezed
 DASH = " — "
 
 
-def cells_of(line: Column) -> Column:
-    """The cells of a line: at pipes, else at tabs, else the line."""
-    parts = F.when(F.contains(line, F.lit("|")), F.split(line, r"\|")).otherwise(F.split(line, "\t"))
+def cells_of(line: Column, tabs: bool = True) -> Column:
+    """The cells of a line: at pipes, else at tabs (if they count), else the line."""
+    parts = F.when(F.contains(line, F.lit("|")), F.split(line, r"\|")).otherwise(F.split(line, "\t") if tabs else F.array(line))
     return F.transform(parts, lambda c: F.trim(c))
 
 
-def table_of(text: Column) -> Column:
+def table_of(text: Column, tabs: bool = True) -> Column:
     """The table that the lines of a text make; rows are padded, and two or more lines begin with the headers."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = F.transform(lines, cells_of)
+    rows = F.transform(lines, lambda x: cells_of(x, tabs))
     width = F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(1)))
     padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
     named = F.transform(F.sequence(F.lit(1), width), lambda k: F.concat(F.lit("Column "), k.cast("string")))
@@ -104,3 +104,30 @@ def to_list(table: Column) -> Column:
         return F.when(parsed.isNotNull() & (marker != ""), marked).otherwise(parsed)
 
     return F.filter(F.transform(rows, entry), lambda e: e.isNotNull())
+
+
+def piped_lines(table: Column) -> Column:
+    """Headers and rows as they are, a line each, cells at pipes; lines of blanks and pipes are left out."""
+    lines = F.transform(F.concat(F.array(table["headers"]), table["rows"]), lambda r: F.array_join(r, " | "))
+    return F.array_join(F.filter(lines, lambda x: F.regexp_replace(x, r"(?U)[|\s]", "") != ""), "\n")
+
+
+def marked_lines(table: Column) -> Column:
+    """A line a row with cells joined by dashes, a first cell that is a marker put before them; without rows, the telling headers in one line."""
+    rows = F.filter(F.transform(table["rows"], lambda r: _filled(F.transform(r, lambda c: F.trim(c)))), lambda r: F.size(r) > 0)
+    heads = F.filter(F.transform(table["headers"], lambda h: F.trim(h)), lambda h: (h != "") & ~h.rlike(r"(?i)^column \d+$"))
+    used = F.when(F.size(rows) > 0, rows).otherwise(F.array(heads))
+
+    def line(row: Column) -> Column:
+        first = F.get(row, F.lit(0))
+        marked = first.rlike(r"(?i)^\(?([0-9]+|[A-Za-z]|[ivxlcdm]+)[.)]?$") & (F.size(row) > 1)
+        marker = F.when(F.contains(first, F.lit("(")) | first.rlike(r"[.)]$"), first).otherwise(F.concat(first, F.lit(".")))
+        return F.when(marked, F.concat(marker, F.lit(" "), F.array_join(F.slice(row, 2, F.greatest(F.lit(1), F.size(row))), DASH))).otherwise(F.array_join(row, DASH))
+
+    return F.array_join(F.transform(F.filter(used, lambda r: F.size(r) > 0), line), "\n")
+
+
+def bare_line(text: Column) -> Column:
+    """The lines of a text in one, without bullets and numbers before them; letters and numerals stay."""
+    lines = F.transform(F.split(text, "\r?\n"), lambda x: squeezed(F.regexp_replace(x, r"^\s*(?:[•\-–*]|\d+[.)])\s*", "")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")

@@ -23,6 +23,8 @@ ACTIONS = {
 GENESIS = "0" * 64
 #: Ids in one link of the chain window, see chain_status.
 CHAIN_RANGE = 65_536
+#: Ranges in one group of ranges.
+GROUP = 4_096
 
 
 def _looked_up(key: Column, at: int) -> Column:
@@ -73,13 +75,18 @@ def chain_status(log: DataFrame, range_size: int = CHAIN_RANGE) -> DataFrame:
     """log with chain_status: whether prev_hash is the entry_hash of the entry with the next smaller id.
 
     A window over the whole log would run in one task, so neighbours are looked up inside ranges of ids;
-    only the first entry of each range needs the last of the nearest earlier range that has any, from a table of one row a range.
+    only the first entry of each range needs the last of the nearest earlier range that has any, from a table of one row a range. That
+    table is looked up inside groups of ranges in turn, so that the one window without a key has a row for each range_size * GROUP ids.
     """
     ranged = log.withColumn("_range", F.floor(F.col("id") / range_size))
     inside = Window.partitionBy("_range").orderBy("id")
     ranged = ranged.withColumn("_before", F.lag(F.struct("id", "entry_hash")).over(inside))
     lasts = ranged.groupBy("_range").agg(F.max_by(F.struct("id", "entry_hash"), "id").alias("_last"))
-    earlier = lasts.withColumn("_earlier", F.lag("_last").over(Window.orderBy("_range"))).select("_range", "_earlier")
+    lasts = lasts.withColumn("_group", F.floor(F.col("_range") / GROUP))
+    lasts = lasts.withColumn("_near", F.lag("_last").over(Window.partitionBy("_group").orderBy("_range")))
+    groups = lasts.groupBy("_group").agg(F.max_by("_last", "_range").alias("_final"))
+    groups = groups.withColumn("_far", F.lag("_final").over(Window.orderBy("_group"))).select("_group", "_far")
+    earlier = lasts.join(groups, "_group").select("_range", F.coalesce("_near", "_far").alias("_earlier"))
     joined = ranged.join(earlier, "_range")
     before = F.coalesce("_before", "_earlier")
     own, previous = F.nullif(F.col("entry_hash"), F.lit("")), F.nullif(F.col("prev_hash"), F.lit(""))
@@ -133,6 +140,11 @@ def change_rows(changes: DataFrame) -> DataFrame:
     )
 
 
+def changed_fields(before: Column, after: Column) -> Column:
+    """The entries of the map after whose value is not that of before, null being a value, too."""
+    return F.map_filter(after, lambda k, v: ~v.eqNullSafe(F.try_element_at(before, k)))
+
+
 def snippet(text: Column, limit: int = 200) -> Column:
     """null, the text, or its beginning with its length."""
     long = F.struct(F.substring(text, 1, limit).alias("preview"), F.lit(True).alias("truncated"), F.length(text).alias("length"))

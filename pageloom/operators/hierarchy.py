@@ -5,7 +5,7 @@ lines(doc_id, page, pos, text); entries(doc_id, sequence, title, level, printed,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,6 +88,22 @@ APPENDIX = r"(?i)^appendix\s+(?:[a-z]|\d+|[ivxlcdm]+)\b"
 ALWAYS_TOP = r"(?i)^(?:appendices|glossary(?:\s+of\b.*)?|bibliography|references|index)$"
 NO_CHAPTER = r"(?i)^(?:recommendations?|introduction|summary|conclusion)"
 STEP = 7.0
+PANEL = r"(?i)^(?:recommendations?|case\s+stud(?:y|ies)(?:\s+\d+)?|example|note)$"
+NUMBERED_BODY = r"^\s*(\d+(?:\.\d+){1,4})[.)]?\s+(\S.+)$"
+NO_BODY = r"(?i)^(?:(?:figure|table)\s+\d+\s*[:.]|(?:isbn|issn|©|copyright)\b|(?:published|printed|ordered)\s+by\b|report\s+(?:january|february|march|april|may|june|july|august|september|october|november|december)\b)"
+
+
+def heading_classes(title: Column) -> dict[str, Column]:
+    """What the words of a heading say of it: panels, numbered headings of the body and their depth, and lines that are no headings of a body."""
+    number = F.regexp_extract(title, NUMBERED_BODY, 1)
+    return {
+        "is_panel": title.rlike(PANEL),
+        "is_body": ~title.rlike(NO_BODY),
+        "is_appendix": title.rlike(APPENDIX),
+        "always_top": title.rlike(ALWAYS_TOP),
+        "body_number": F.nullif(number, F.lit("")),
+        "depth": F.when(number != "", F.size(F.split(number, r"\."))),
+    }
 
 
 def outline_levels(entries: DataFrame) -> DataFrame:

@@ -33,22 +33,15 @@ def section_table(sectioned: DataFrame) -> DataFrame:
     return sectioned.groupBy("doc_id", "section").agg(F.coalesce(F.min(heads)["text"], F.lit("Front matter")).alias("title"), F.min("page").alias("page"), F.count("*").alias("blocks"))
 
 
-def close_levels(levels: Column, first: int = 1) -> Column:
-    """Levels 2 to 5 in order, none more than one deeper than the level before."""
+def heading_close_up(headings: DataFrame, keys: list[str], order: str, level: str, first: int = 1) -> DataFrame:
+    """The closed-up level of each heading, one row each: levels 2 to 5, none more than one deeper than the level before.
 
-    def step(done: Column, level: Column) -> Column:
-        before = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(first))
-        return F.concat(done, F.array(F.least(F.greatest(F.lit(2), F.least(F.lit(5), level)), before + 1)))
-
-    return F.aggregate(levels, F.array().cast("array<int>"), step)
-
-
-def heading_close_up(headings: DataFrame, keys: list[str], order: str, level: str) -> DataFrame:
-    """The closed-up level of each heading, one row each."""
-    ordered = headings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).cast("int").alias("l")))).alias("h"))
-    closed = ordered.withColumn("c", close_levels(F.transform("h", lambda x: x["l"])))
-    pairs = F.explode(F.arrays_zip(F.transform("h", lambda x: x["o"]).alias("o"), F.col("c").alias("c"))).alias("z")
-    return closed.select(*keys, pairs).select(*keys, F.col("z.o").alias(order), F.col("z.c").alias("level"))
+    The n-th level less n is the least of all levels so far, each less its own place, and of the first level; so a running minimum closes all gaps.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = headings.select(*keys, order, F.greatest(F.lit(2), F.least(F.lit(5), F.col(level).cast("int"))).alias("level"), F.row_number().over(w).alias("n"))
+    least = F.min(F.col("level") - F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(*keys, order, (F.least(least, F.lit(first)) + F.col("n")).alias("level"))
 
 
 def unique_slugs(titles: DataFrame, keys: list[str], order: str, title: str) -> DataFrame:

@@ -57,6 +57,39 @@ def deleted(records: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return records.join(ids.select(key), key, "left_anti")
 
 
+#: Artifacts that stay whatever else goes, and those that are made on approval.
+KEPT = "source.pdf"
+GENERATED = ("publication.json", "schema.jsonld", "structured.json", "accessible.html")
+
+
+def artifacts_deleted(artifacts: DataFrame, ids: DataFrame, patterns: tuple[str, ...] = GENERATED) -> DataFrame:
+    """artifacts(document_id, name, value) without those of ids(document_id) whose names fit a pattern, in which * stands for any characters.
+
+    The source is never deleted, and patterns with path separators are refused.
+    """
+    if any("/" in p or "\\" in p for p in patterns):
+        raise ValueError("artifact patterns are names, not paths")
+    fits = F.lit(False)
+    for p in patterns:
+        fits = fits | F.col("name").like(p.replace("%", r"\%").replace("_", r"\_").replace("*", "%"))
+    gone = artifacts.where(fits & (F.col("name") != KEPT)).join(ids.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "name")
+    return artifacts.join(gone, ["document_id", "name"], "left_anti")
+
+
+def finished(records: DataFrame, outputs: DataFrame, steps: int = 8) -> DataFrame:
+    """records(id, title, publisher, job_state, job_step, job_message, job_ms) once their processing has ended: outputs(id, title, publisher, seconds).
+
+    Titles and publishers that were found replace those of the record; documents without output stay as they are.
+    """
+    own = outputs.select("id", F.nullif("title", F.lit("")).alias("_title"), F.nullif("publisher", F.lit("")).alias("_publisher"), F.greatest(F.lit(1), F.bround(F.col("seconds") * 1000, 0)).cast("bigint").alias("_ms"), F.lit(True).alias("_hit"))
+    met, hit = records.join(own, "id", "left"), F.col("_hit").isNotNull()
+    set_to = lambda value, column: F.when(hit, value).otherwise(F.col(column))
+    return met.withColumns({
+        "title": F.coalesce("_title", "title"), "publisher": F.coalesce("_publisher", "publisher"), "job_ms": set_to(F.col("_ms"), "job_ms"),
+        "job_state": set_to(F.lit("complete"), "job_state"), "job_step": set_to(F.lit(steps), "job_step"), "job_message": set_to(F.lit("Ready for review"), "job_message"),
+    }).select(*records.columns)
+
+
 def with_artifact(records: DataFrame, artifacts: DataFrame, name: str, default: str = "[]") -> DataFrame:
     """records with the JSON artifact of a name(document_id, name, value), or the default."""
     own = artifacts.where(F.col("name") == name).select(F.col("document_id").alias("id"), F.col("value").alias(name))

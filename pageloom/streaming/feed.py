@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from pageloom.operators.audit import chain_status
 from pageloom.operators.telemetry import LEAST_RATE, NEW, OLD, STARTUP_SHARE
 
 RATES = "group_id bigint, seconds_per_page double, startup_seconds double, samples bigint"
@@ -29,6 +31,28 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
 
 
+def append_checked(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends audit entries with their chain status; the first of a batch is held against the last of what is there.
+
+    A batch that is tried again writes the same folder, so that entries are there once. Entries must come in the order of their ids, batch after batch.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = f"{path}/batch={number}"
+        before = None
+        if number:
+            done = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
+            before = done.orderBy(F.desc("id")).limit(1).select(*batch.columns)  # one row
+        rows = batch if before is None else batch.unionByName(before)
+        checked = chain_status(rows)
+        if before is not None:
+            checked = checked.join(before.select("id"), "id", "left_anti")
+        checked.write.mode("overwrite").parquet(own)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _round(x: float, places: int) -> float:
     return round(x, places)
 

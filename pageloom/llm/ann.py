@@ -186,12 +186,12 @@ def best_of(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found to each row of vectors that is_query marks."""
+    """query_id, rank, vec_id and score of the k nearest found to each row of vectors that is_query marks, and how many rows it was compared with."""
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, searched bigint")
     dim, n = sizes[0]
     rows = rows.where(F.size("vector") == dim)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
@@ -209,15 +209,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
         counts[leaf] = held
     groups = grouped(counts, ROWS)
     n_groups = int(groups.max()) + 1
-    n_blocks = np.maximum(1, -(-np.bincount(groups, counts, n_groups).astype(np.int64) // ROWS))
+    held_by = np.bincount(groups, counts, n_groups).astype(np.int64)
+    n_blocks = np.maximum(1, -(-held_by // ROWS))
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("group", T.IntegerType()), T.StructField("block", T.IntegerType())])))
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("group", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("searched", T.LongType())])))
     def units_of(column: pa.Array) -> pa.Array:
         out = []
         for q in _matrix(column, dim):
             visited = dict.fromkeys(int(groups[leaf]) for leaf in tree.walk(q, visits, counts, k + 1))
-            out.append([{"group": g, "block": b} for g in visited for b in range(int(n_blocks[g]))])
-        return pa.array(out, pa.list_(pa.struct([("group", pa.int32()), ("block", pa.int32())])))
+            searched = int(held_by[list(visited)].sum())
+            out.append([{"group": g, "block": b, "searched": searched} for g in visited for b in range(int(n_blocks[g]))])
+        return pa.array(out, pa.list_(pa.struct([("group", pa.int32()), ("block", pa.int32()), ("searched", pa.int64())])))
 
     asked = placed.where("asks").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vector", units_of("vector").alias("units"))
     asked = settle(asked.select("query_id", "vector", F.explode("units").alias("unit")).select("query_id", "vector", "unit.*"), "asked")
@@ -233,18 +235,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
 
     def unit(asked_here: pa.Table, held_here: pa.Table) -> pa.Table:
         if not asked_here.num_rows or not held_here.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "searched": pa.array([], pa.int64())})
         held_here = held_here.sort_by("vec_id")
         own = asked_here.column("query_id").to_numpy()
         at, found, score = best_of(_matrix(asked_here.column("vector"), dim), own, _matrix(held_here.column("vector"), dim), held_here.column("vec_id").to_numpy(), k)
-        return pa.table({"query_id": own[at], "vec_id": found, "score": score})
+        return pa.table({"query_id": own[at], "vec_id": found, "score": score, "searched": asked_here.column("searched").to_numpy()[at]})
 
     keys = ["group", "block", "part"]
     found = (
-        left.select(*keys, "query_id", "vector")
+        left.select(*keys, "query_id", "vector", "searched")
         .groupBy(*keys)
         .cogroup(right.select(*keys, "vec_id", "vector").groupBy(*keys))
-        .applyInArrow(unit, "query_id bigint, vec_id bigint, score double")
+        .applyInArrow(unit, "query_id bigint, vec_id bigint, score double, searched bigint")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "searched")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 LIBC = ctypes.CDLL(None)
+#: Where a session on one machine remembers the folder that it was given.
+SET_HERE = "_pageloom_shared"
 #: The white space that separates words, as characters.
 WORD_GAPS = " \t\n\x0b\x0c\r"
 #: Odd multipliers for the places of a window, from the golden ratio.
@@ -25,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all machines share: spark.checkpoint.dir. Where it is unset, one is set for a session on one machine, and no other runs."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, SET_HERE, None)
     if not found:
-        found = "/tmp/pageloom-shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="pageloom-")
         spark.sparkContext.setCheckpointDir(found)
+        setattr(spark, SET_HERE, found)
     return found.rstrip("/")
 
 

@@ -181,3 +181,25 @@ def test_pipeline_stages(spark, tmp_path, make):
         assert out.columns == docs.columns, name
         docs = out
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[:3] == ["doc_id", "piece", "start"]
+
+
+def test_very_long_texts_of_scans_and_sources(spark):
+    """A text of 3 MB with a notice in its midst, a source name of 1 MB, repeated rows and ties."""
+    long_text = "word and more words here\n" * 60_000 + "Released under the MIT License.\n" + "x" * 1_500_000
+    docs = spark.createDataFrame([(1, long_text), (1, long_text), (2, "MIT")], "doc_id long, text string")
+    assert [r.notices for r in licenses.scan(docs).orderBy("doc_id").collect()] == ["MIT", "MIT", None]
+    sources = spark.createDataFrame([(1, "s" * 1_000_000), (1, "s" * 1_000_000), (1, None), (2, "")], "doc_id long, source string")
+    rows = mixing.mix(sources, block=1).collect()
+    assert len(rows) == 4 and {r.slot for r in rows} == {0, 1, 2, 3}
+
+
+def test_texts_beyond_a_slice(spark):
+    """Texts longer than what is encoded at one time, next to empty ones."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    big = " ".join(f"Word{k}, of{k % 7}!" for k in range(900_000))
+    docs = spark.createDataFrame([(1, ""), (2, big), (3, None), (4, big[:50])], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in packing.cut(docs, public_tokenizers.path(TOKENIZER), END_ID).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    n = len(Tokenizer.from_file(public_tokenizers.path(TOKENIZER)).encode(big, add_special_tokens=False).ids)
+    assert got[1] == got[3] == 1 and got[2] == n + 1 and got[4] > 1

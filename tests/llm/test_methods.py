@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -287,3 +288,23 @@ def test_hosts_of_very_many_labels(spark):
     long_host = "http://" + ".".join(["a"] * 12_000) + ".example.net/de/8/" + "b" * 100_000
     rules = spark.createDataFrame([("allow", "net", "/de/"), ("block", "example.net", "/de/8")], "verdict string, host string, path string")
     assert [r.rule for r in url_filter.judge_urls(spark.createDataFrame([(long_host,)], "url string"), rules).collect()] == ["example.net/de/8"]
+
+
+def test_recall_where_the_tree_prunes(spark, tmp_path):
+    """100,000 clustered vectors: at least nine in ten of the nearest are found, though a query meets a small share of the rows."""
+    rng = np.random.default_rng(8)
+    n, dim, k = 100_000, 16, 10
+    x = (rng.normal(size=(600, dim))[rng.integers(0, 600, n)] + 0.25 * rng.normal(size=(n, dim))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    got, searched = {}, {}
+    for r in ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 500 == 0, k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        searched[r.query_id] = r.searched
+    y, hits = x.astype(np.float64), 0
+    for q in range(0, n, 500):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argpartition(-s, k)[:k].tolist()))
+    assert hits / (len(got) * k) >= 0.9
+    assert np.mean(list(searched.values())) < 0.35 * n
+    print("recall", hits / (len(got) * k), "share of rows", np.mean(list(searched.values())) / n)

@@ -1,16 +1,28 @@
 """Whole queries over the small tables against plain versions of what they have to return."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
+from pageloom.llm import quality_rules, text_stats, toxicity
+from pageloom.llm.labels import fold
+from pageloom.llm.op2_query import op2_toxicity
+from pageloom.llm.op4_query import op4_quality_rules
+from pageloom.llm.op5_query import op5_mixing
+from pageloom.llm.op6_query import op6_quality_classifier
 from pageloom.llm.op7_query import op7_packing
 from pageloom.llm.op9_query import op9_token_files
 
 SF = "/root/testdata/sf0.001"
+#: Large enough for a share of held-out documents that says something.
+LARGER = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +56,91 @@ def test_packing_query(spark, encoded):
             at += length
         assert at <= 4096
     assert len(sequences) <= 1.03 * -(-sum(r.length for r in rows) // 4096)
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def base_of(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, by the plainest means."""
+    words = words_of(text)
+    grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    held = Counter(grams)
+    inside = {k + j for k, g in enumerate(grams) if held[g] > 1 for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if words_of(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality_rules_query(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in op4_quality_rules(spark, SF).collect()}
+    assert len(got) == len(rows)
+    stats = spark.createDataFrame([(r.doc_id, text_stats.stats_of(r.text)) for r in rows], quality_rules.T.StructType([quality_rules.T.StructField("doc_id", quality_rules.T.LongType()), quality_rules.T.StructField("stats", quality_rules.STATISTICS)]))
+    patterns = {r[0]: r[1] for r in stats.select("doc_id", quality_rules.vote_pattern(F.col("stats"))).collect()}
+    held = Counter(patterns.values())
+    votes = np.array([[int(v) for v in p] for p in held], np.int64)
+    model = quality_rules.expectation_maximisation(votes, np.array(list(held.values())))
+    good = dict(zip(held, model.posterior(votes), strict=True))
+    for r in rows:
+        n, chars, symbols, lines, repeats = base_of(r.text)
+        row = got[r.doc_id]
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (n, chars, symbols, lines, repeats)
+        failed = n < 10 or 100 * repeats > 20 * n
+        assert row.base_failed == failed and row.posterior == pytest.approx(good[patterns[r.doc_id]])
+        assert row.kept == (not failed and good[patterns[r.doc_id]] >= 0.5)
+
+
+def held_out(spark, query, label, folds, remainder):
+    """AUC and accuracy of a classifier's query over the labelled documents that it didn't learn from."""
+    rows = query(spark, LARGER)
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    assert rows.count() == docs.count()
+    aside = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % folds == remainder
+    met = rows.where(aside).join(spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", F.col(label).alias("y")), "doc_id").where("y is not null").collect()
+    assert met and all(r.held_out and 0 <= r.score <= 1 for r in met)
+    pos, neg = [r.score for r in met if r.y], [r.score for r in met if not r.y]
+    wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+    return wins / (len(pos) * len(neg)), sum(r.predicted == r.y for r in met) / len(met)
+
+
+def test_toxicity_on_documents_held_out(spark):
+    area, right = held_out(spark, op2_toxicity, "toxic", 5, 0)
+    assert area >= 0.97 and right >= 0.97
+
+
+def test_quality_on_documents_held_out(spark):
+    area, right = held_out(spark, op6_quality_classifier, "quality", 4, 2)
+    assert area >= 0.98 and right >= 0.97
+
+
+def test_mixing_query(spark):
+    """With equal weights, every source that has blocks left has as many as any other, but for one."""
+    rows = op5_mixing(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert Counter(r.source for r in rows) == Counter(r.source for r in docs.select("source").collect()) and len({(r.slot, r.place) for r in rows}) == len(rows)
+    source_of = {r.slot: r.source for r in rows}
+    assert set(source_of) == set(range(len(source_of)))
+    left, taken = Counter(source_of.values()), Counter()
+    for slot in range(len(source_of)):
+        taken[source_of[slot]] += 1
+        fair = [taken[s] for s in left if taken[s] < left[s]]
+        assert not fair or max(fair) - min(fair) <= 2
+
+
+def test_pipeline(spark, encoded):
+    """Each stage's decisions by plain means, the fitted models apart: the documents that stay, and their pieces."""
+    from tests.llm.test_methods import brute_components
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    good = {r.doc_id for r in op4_quality_rules(spark, SF).where("kept").select("doc_id").collect()}
+    kept = docs.where(F.col("doc_id").isin(*good))
+    scorer = toxicity.fit(kept, spark.read.parquet(f"{SF}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
+    clean = sorted(d for d in good if scorer.scores([text[d]])[0] < 0.5)
+    component = brute_components([(d, text[d]) for d in clean])
+    expected = {d for d in clean if component[d] == d}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    ids = dict(encoded)
+    pieces = {(d, at // 4096, at, len(ids[d][at : at + 4096]), zlib.crc32(ids[d][at : at + 4096].tobytes())) for d in expected for at in range(0, len(ids[d]), 4096)}
+    assert len(rows) == len(pieces) and {tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in rows} == pieces

@@ -6,14 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.common import discard, settle, table
-from pageloom.llm.packing import CAPACITY, cut, pack
+from pageloom.llm.packing import CAPACITY, cut, in_file_order, pack
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    pieces = settle(cut(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), END_ID, CAPACITY), "pieces")
+def pack_documents(docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """The packed pieces of docs(doc_id, text); ordered keeps to the order of the files that docs stand in, if they do."""
+    placed = in_file_order(docs) if ordered else None
+    rows = docs.select("doc_id", "text") if placed is None else placed
+    pieces = settle(cut(rows, public_tokenizers.path(TOKENIZER), END_ID, CAPACITY), "pieces")
     packed = pack(pieces, CAPACITY)
     discard(pieces)  # packing has written all rounds
     return packed

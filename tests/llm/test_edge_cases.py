@@ -117,6 +117,26 @@ def test_packing_in_rounds(spark):
     assert len(rows) == 3000 and len({r.sequence_id for r in rows}) <= 1.03 * -(-total // 100)
 
 
+def test_packing_in_order(spark, tmp_path, monkeypatch):
+    """Documents in files are packed in stretches of their order; others can't be placed."""
+    monkeypatch.setattr(packing, "RANGE", 300)
+    docs = spark.range(0, 2400, 1, 3).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("the old house "), (F.col("id") * 7 % 400).cast("int")), F.col("id").cast("string")).alias("text"))
+    assert packing.in_file_order(docs.where("doc_id < 5").select((F.col("doc_id") + 0).alias("doc_id"), "text").union(docs.limit(1))) is None
+    docs.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    places = {r.doc_id: r.place for r in packing.in_file_order(stored).collect()}
+    assert sorted(places.values()) == list(range(2400)) and all(places[k] == k for k in range(0, 2400, 97))
+    rows = pack_documents(stored, ordered=True).collect()
+    assert {r.doc_id for r in rows} == set(range(2400)) and "place" not in rows[0]
+    spans, total = {}, 0
+    for r in rows:
+        spans.setdefault(r.sequence_id, []).append(places[r.doc_id])
+        total += r.length
+    assert len(spans) <= 1.04 * -(-total // 4096)
+    firsts = [min(v) // 300 for _, v in sorted(spans.items()) if max(v) // 300 == min(v) // 300]
+    assert len(firsts) > 0.7 * len(spans) and firsts == sorted(firsts)
+
+
 def test_token_files(spark, tmp_path):
     import public_tokenizers
 

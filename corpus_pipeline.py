@@ -43,8 +43,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
-    return pack_documents(docs)
+    """The pieces of all documents, packed into sequences; stretches of the mixture are packed apart, and sequences numbered in its order."""
+    return pack_documents(docs, ordered=True)
 
 
 STAGES = [("quality rules", quality_rules), ("toxicity", toxicity), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

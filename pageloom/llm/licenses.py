@@ -81,6 +81,22 @@ LICENSES = [
     ("Zlib", "zlib License\n" + ZLIB),
     ("Apache-2.0", APACHE_HEADER),
 ]
+#: Longer licences by the digest of the canonical form of their whole text, as the Free Software Foundation, the Apache Software Foundation,
+#: Creative Commons and Mozilla give it out (fixed values).
+DIGESTS = [
+    ("Apache-2.0", "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f"),
+    ("GFDL-1.3", "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"),
+    ("LGPL-2.0", "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c"),
+    ("LGPL-2.1", "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+]
 #: One-line notices: (licence, text).
 NOTICES = [
     *[("MIT", f"{verb} under the MIT License.") for verb in ("Released", "Licensed", "Distributed")],
@@ -115,11 +131,13 @@ def with_digest(rows: DataFrame, text: str, digest: str = "digest") -> DataFrame
     return out.withColumn(digest, F.when(F.col(form) != "", F.sha2(F.col(form), 256))).drop(form)
 
 
-def known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license) of licences and their texts."""
-    found = with_digest(spark.createDataFrame(rows, "license string, text string"), "text").where("digest is not null")
+def known(spark: SparkSession, rows: list[tuple[str, str]], digests: list[tuple[str, str]] = ()) -> DataFrame:
+    """(digest, license) of licences and their texts, and of those whose digest is given."""
+    found = with_digest(spark.createDataFrame(rows, "license string, text string"), "text").where("digest is not null").select("digest", "license")
+    if digests:
+        found = found.union(spark.createDataFrame([(d, name) for name, d in digests], "digest string, license string"))
     found = found.groupBy("digest").agg(F.min("license").alias("license"))
-    return F.broadcast(found) if len(rows) <= SMALL else found
+    return F.broadcast(found) if len(rows) + len(digests) <= SMALL else found
 
 
 def lengths(spark: SparkSession, rows: list[tuple[str, str]]) -> tuple[int, int]:
@@ -129,7 +147,7 @@ def lengths(spark: SparkSession, rows: list[tuple[str, str]]) -> tuple[int, int]
     return max(least or 0, 1), most or 0
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", licenses: list[tuple[str, str]] = LICENSES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", licenses: list[tuple[str, str]] = LICENSES, notices: list[tuple[str, str]] = NOTICES, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
     """docs with digest, license (of the whole text, or null) and notices (licences of whole lines, sorted and joined by commas, or null)."""
     spark = docs.sparkSession
     docs = docs.drop("digest", "license", "notices")
@@ -140,5 +158,5 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", licenses:
     lines = lines.select(own, F.explode(F.split(form, "\n")).alias("line")).withColumn("line", F.trim("line")).where(F.length("line").between(least, most))
     named = lines.withColumn("digest", F.sha2("line", 256)).join(known(spark, notices), "digest")
     named = named.groupBy(own).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    whole = with_digest(docs, text).join(known(spark, licenses + notices), "digest", "left")
+    whole = with_digest(docs, text).join(known(spark, licenses + notices, digests), "digest", "left")
     return whole.join(named, F.col(doc_id).eqNullSafe(F.col(own)), "left").drop(own)

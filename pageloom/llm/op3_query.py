@@ -24,8 +24,9 @@ def _oracle() -> str:
     quoted = lambda rows: ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in rows)
     digest = lambda text: f"CASE WHEN {_canonical(text)} <> '' THEN sha256({_canonical(text)}) END"
     known = lambda rows: f"SELECT {digest('t')} AS digest, min(n) AS license FROM (VALUES {quoted(rows)}) k(n, t) GROUP BY 1"
+    listed = ", ".join(f"('{n}', '{d}')" for n, d in licenses.DIGESTS)
     return f"""
-WITH whole AS ({known(licenses.LICENSES + licenses.NOTICES)}),
+WITH whole AS (SELECT digest, min(license) AS license FROM ({known(licenses.LICENSES + licenses.NOTICES)} UNION ALL SELECT d, n FROM (VALUES {listed}) k(n, d)) GROUP BY 1),
 notice AS ({known(licenses.NOTICES)}),
 lines AS (SELECT doc_id, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents),
 named AS (

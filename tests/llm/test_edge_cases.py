@@ -189,6 +189,9 @@ def test_license_scan(spark):
     assert got[0][:3] == (1, "MIT", None) and got[3] == (3, None, None, True) and got[4] == (4, None, None, True)
     assert all(g[2] == "MIT" for g in got[1:3])
     assert licenses.scan(docs.limit(0)).count() == 0
+    own = spark.createDataFrame([(1, "A licence of our own.")], "doc_id long, text string")
+    digest = licenses.with_digest(own, "text").first().digest
+    assert [r.license for r in licenses.scan(own, digests=[("Own-1.0", digest)]).collect()] == ["Own-1.0"]
 
 
 @pytest.mark.parametrize("make", [odd_docs, empty_docs])

@@ -61,6 +61,40 @@ def list_runs(items: DataFrame, keys: list[str], order: str, style: str, nested:
     return items.withColumn("run", F.sum(breaks).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
 
 
+def published_lists(items: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The blocks that items(keys, order, text, marker, enumerated, level) of lists make: one row each, type `list` or `paragraph`.
+
+    An item without marker that begins with a number such as 1.2 is a paragraph with that number, and ends the list before it. A top-level item of the other
+    style than the list's first ends it, too; nested ones don't. A list has its style, the number it starts with, and its items in order.
+    """
+    number = F.regexp_extract("text", r"(?s)^(\d+(?:\.\d+)+)\s+.+$", 1)
+    bare = F.trim(F.coalesce("marker", F.lit(""))) == ""
+    rows = items.withColumns({"_par": bare & (number != ""), "_style": F.when(F.coalesce("enumerated", F.lit(False)), "ordered").otherwise("unordered"), "_level": F.greatest(F.lit(0), F.coalesce("level", F.lit(0)))})
+    w = Window.partitionBy(*keys).orderBy(order)
+    so_far = lambda spec: spec.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_part", F.sum(F.col("_par").cast("int")).over(so_far(w))).withColumn("_first", F.coalesce(F.lag("_par").over(w), F.lit(True)))
+    inner = Window.partitionBy(*keys, "_part").orderBy(order)
+    anchor = F.when(~F.col("_par") & ((F.col("_level") == 0) | F.col("_first")), F.col("_style"))
+    before = F.last(anchor, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1))
+    breaks = ~F.col("_par") & (F.col("_level") == 0) & before.isNotNull() & (before != F.col("_style"))
+    rows = rows.withColumn("_run", F.sum((F.coalesce(breaks, F.lit(False)) | F.col("_par") | F.col("_first")).cast("int")).over(so_far(w)))
+    value = F.nullif(F.regexp_extract("marker", r"^\(?(\d+)[.)]$", 1), F.lit("")).cast("int")
+    entry = F.when(F.col("text") != "", F.struct(F.col(order).alias("ord"), "text", F.coalesce("marker", F.lit("")).alias("marker"), F.col("_level").alias("level"), F.coalesce("enumerated", F.lit(False)).alias("ordered"), value.alias("value")))
+    start = F.when(F.col("_style") == "ordered", F.struct(F.col(order).alias("o"), F.coalesce(F.nullif(value, F.lit(0)), F.lit(1)).alias("start")))
+    each = rows.groupBy(*keys, "_run").agg(
+        F.min(order).alias(order),
+        F.bool_or("_par").alias("_par"),
+        F.min_by("text", order).alias("_text"),
+        F.min_by("_style", order).alias("style"),
+        F.min(start)["start"].alias("start"),
+        F.array_sort(F.collect_list(entry)).alias("items"),
+    )
+    kept = each.where(F.col("_par") | (F.size("items") > 0))
+    paragraph = lambda value: F.when(F.col("_par"), value)
+    listed = lambda value: F.when(~F.col("_par"), value)
+    return kept.select(*keys, order, F.when(F.col("_par"), "paragraph").otherwise("list").alias("type"), paragraph(F.regexp_extract("_text", r"(?s)^\d+(?:\.\d+)+\s+(.+)$", 1)).alias("text"), paragraph(F.regexp_extract("_text", r"(?s)^(\d+(?:\.\d+)+)\s+.+$", 1)).alias("number"), listed(F.col("style")).alias("style"), listed(F.col("start")).alias("start"), listed(F.col("items")).alias("items"))
+
+
 def interpolated_order(rows: DataFrame) -> DataFrame:
     """rows(doc_id, ord, page, seq) with a sort position: seq, or one estimated from the pages of rows that have one.
 

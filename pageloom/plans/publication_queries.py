@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.operators import publication
+from pageloom.operators import publication, rendering
 from pageloom.plans.inputs import table
 from pageloom.plans.layout_queries import HEADINGS, _headings
 
@@ -137,7 +137,34 @@ def figure_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publication.figure_sources(figures, rows)
 
 
-QUERIES = {f.__name__: f for f in (summary_sources, publication_summaries, display_titles, reader_sections, major_headings, publication_cells, boxed_content, figures_captioned, publication_validation, citation_identifiers, json_ld_graph, footnote_targets, figure_sources)}
+def published_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as list entries of orders: ordered, unordered and nested ones, and numbered paragraphs between them."""
+    k = F.col("l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), ((F.col("l_linenumber") * 1000000 + k) * 1000 + F.col("l_suppkey")).alias("ord"), F.when(k % 5 == 0, F.concat(F.lit("1.2 Words "), k.cast("string"))).otherwise(F.concat(F.lit("Item "), k.cast("string"))).alias("text"),
+        F.when(k % 5 == 0, "").when(k % 2 == 0, F.concat((k % 9).cast("string"), F.lit("."))).otherwise("•").alias("marker"), ((k % 5 > 0) & (k % 2 == 0)).alias("enumerated"), (k % 3).cast("int").alias("level"),
+    )
+    made = publication.published_lists(rows, ["doc_id"], "ord")
+    return made.select("doc_id", "ord", "type", "text", "number", "style", "start", F.array_join(F.transform("items", lambda x: F.concat(x["level"].cast("string"), x["marker"], x["text"])), "|").alias("items"))
+
+
+def cell_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    cell = lambda text, heads, side, rows, cols: F.struct(text.alias("text"), rows.cast("int").alias("row_span"), cols.cast("int").alias("col_span"), heads.alias("column_header"), side.alias("row_header"))
+    no, one = F.lit(False), F.lit(1)
+    grid = F.array(F.array(cell(F.col("p_brand"), k % 2 == 0, no, one, k % 3)), F.array(cell(F.col("p_name"), no, k % 5 == 0, k % 4, one), cell(F.lit("<&>"), no, no, one, one)))
+    return table(spark, sf_dir, "part").select("p_partkey", rendering.cell_grid(grid, F.when(k % 7 == 0, F.col("p_type")).otherwise(" ")).alias("html"))
+
+
+def nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markup of the published lists of orders, with links to one footnote."""
+    k = F.col("l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), ((F.col("l_linenumber") * 1000000 + k) * 1000 + F.col("l_suppkey")).alias("ord"), F.concat(F.lit("Item text 3 "), k.cast("string")).alias("text"), F.lit("").alias("marker"), (k % 2 == 0).alias("enumerated"), (k % 3).cast("int").alias("level"))
+    notes = F.array(F.struct(F.lit("3").alias("number"), F.lit("footnote-3").alias("note")))
+    return publication.published_lists(rows, ["doc_id"], "ord").select("doc_id", "ord", rendering.nested_list("items", "style", "start", notes).alias("html"))
+
+
+QUERIES = {f.__name__: f for f in (summary_sources, publication_summaries, display_titles, reader_sections, major_headings, publication_cells, boxed_content, figures_captioned, publication_validation, citation_identifiers, json_ld_graph, footnote_targets, figure_sources, published_lists, cell_grids, nested_lists)}
 
 _SOURCES = f"""
 WITH b AS (SELECT *, trim(text) AS t, CASE WHEN label LIKE 'section_header_%' THEN label[16]::INT END AS level,
@@ -212,4 +239,18 @@ UNION ALL SELECT doc_id, 'WebSite', 'https://host.example/#website', 'Press One'
 UNION ALL SELECT doc_id, 'BreadcrumbList', page || '#breadcrumb', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p""",
     "footnote_targets": "SELECT l_orderkey AS doc_id, (l_partkey % 3)::VARCHAR AS number, min_by('Footnote-' || (l_partkey % 3) || CASE WHEN l_suppkey % 2 = 0 THEN '-' || l_linenumber ELSE '' END, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey) AS note_id FROM lineitem WHERE l_partkey % 4 > 0 GROUP BY 1, 2",
     "figure_sources": "SELECT o_orderkey AS doc_id, 'figure-1' AS figure, 'b' || l_linenumber AS source_block_id, l_linenumber AS page, l_partkey AS bounds, sha256('b' || l_linenumber)[1:16] AS image_key FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = o_custkey % 7",
+    "published_lists": """
+WITH i AS (SELECT l_orderkey AS doc_id, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey AS ord, l_partkey AS k, l_partkey % 5 = 0 AS par, l_partkey % 2 = 0 AS o, l_partkey % 3 AS level FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM (SELECT DISTINCT * FROM i)),
+f AS (SELECT a.*, (SELECT max(b.n) FROM n b WHERE b.doc_id = a.doc_id AND b.n < a.n AND b.par) AS after_par FROM n a),
+g AS (SELECT a.*, (SELECT max_by(b.o, b.n) FROM f b WHERE b.doc_id = a.doc_id AND b.n < a.n AND b.n > coalesce(a.after_par, 0) AND (b.level = 0 OR b.n = coalesce(b.after_par, 0) + 1)) AS was FROM f a),
+r AS (SELECT *, sum(CASE WHEN par OR n = coalesce(after_par, 0) + 1 OR level = 0 AND was IS NOT NULL AND was <> o THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM g)
+SELECT doc_id, min(ord) AS ord, CASE WHEN bool_or(par) THEN 'paragraph' ELSE 'list' END AS type, CASE WHEN bool_or(par) THEN 'Words ' || min(k) END AS text, CASE WHEN bool_or(par) THEN '1.2' END AS number,
+       CASE WHEN NOT bool_or(par) THEN CASE WHEN min_by(o, n) THEN 'ordered' ELSE 'unordered' END END AS style, CASE WHEN NOT bool_or(par) THEN min_by(CASE WHEN k % 9 = 0 THEN 1 ELSE k % 9 END, n) FILTER (o) END::INT AS start,
+       CASE WHEN NOT bool_or(par) THEN string_agg(level || CASE WHEN o THEN (k % 9) || '.' ELSE '•' END || 'Item ' || k, '|' ORDER BY n) END AS items
+FROM r GROUP BY doc_id, run""",
+    "cell_grids": """
+SELECT k AS p_partkey, '<table>' || CASE WHEN k % 7 = 0 THEN '<caption>' || p_type || '</caption>' ELSE '' END || '<tr><' || CASE WHEN k % 2 = 0 THEN 'th scope="col"' ELSE 'td' END || CASE WHEN k % 3 = 2 THEN ' colspan="2"' ELSE '' END || '>' || p_brand || CASE WHEN k % 2 = 0 THEN '</th>' ELSE '</td>' END
+  || '</tr><tr><' || CASE WHEN k % 5 = 0 THEN 'th scope="row"' ELSE 'td' END || CASE WHEN k % 4 > 1 THEN ' rowspan="' || (k % 4) || '"' ELSE '' END || '>' || p_name || CASE WHEN k % 5 = 0 THEN '</th>' ELSE '</td>' END || '<td>&lt;&amp;&gt;</td></tr></table>' AS html
+FROM (SELECT *, p_partkey AS k FROM part)""",
 }

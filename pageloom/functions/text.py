@@ -95,6 +95,25 @@ def marker_number(marker: Column) -> Column:
     return F.nullif(F.regexp_extract(marker, r"^\(?(\d+)[.)]$", 1), F.lit("")).cast("int")
 
 
+def published_entry(line: Column) -> Column:
+    """struct(text, marker, enumerated, level, value) of a line as publications take it: no level, blanks as they are, and the number of the marker."""
+    raw = stripped(F.replace(line, F.lit("\t"), F.lit("  ")))
+    ordered, bullet = F.regexp_extract(raw, ORDERED, 1), F.regexp_extract(raw, BULLET, 1)
+    marker = F.when(ordered != "", ordered).otherwise(bullet)
+    text = stripped(F.substring(raw, F.length(marker) + 1, F.length(raw)))
+    return F.when(text != "", F.struct(text.alias("text"), marker.alias("marker"), (ordered != "").alias("enumerated"), F.lit(0).alias("level"), marker_number(marker).alias("value")))
+
+
+def shown_entry(line: Column) -> Column:
+    """struct(text, marker, ordered, value) of a line as the review page shows it: a bracket may stand on either side, and any number in the marker counts."""
+    raw = stripped(line)
+    numbered, plain = r"(?i)^(\(?(?:\d+|[A-Za-z]|[ivxlcdm]+)[.)])\s+(.+)$", r"^([•\-–*])\s+(.+)$"
+    ordered, bullet = F.regexp_extract(raw, numbered, 1), F.regexp_extract(raw, plain, 1)
+    text = F.when(ordered != "", stripped(F.regexp_extract(raw, numbered, 2))).when(bullet != "", stripped(F.regexp_extract(raw, plain, 2))).otherwise(raw)
+    value = F.nullif(F.regexp_extract(ordered, r"(\d+)", 1), F.lit("")).cast("int")
+    return F.when(text != "", F.struct(text.alias("text"), F.when(ordered != "", ordered).otherwise(bullet).alias("marker"), (ordered != "").alias("ordered"), value.alias("value")))
+
+
 def list_entries(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\r?\n"), list_entry), lambda e: e.isNotNull())
 

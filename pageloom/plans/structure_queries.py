@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.functions import geometry, tables
+from pageloom.functions import geometry, tables, text
 from pageloom.operators import audit, blocks, contents, hierarchy, metadata, sequential
 from pageloom.plans.inputs import RECORDS_SQL, duck, records, table
 from pageloom.plans.layout_queries import BOX_SQL, _boxes
@@ -169,7 +169,25 @@ def list_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(levels.alias("levels")).select("l_orderkey", _tree("levels").alias("tree"))
 
 
-QUERIES = {f.__name__: f for f in (page_entries, heading_classes, exclusion_reasons, changed_fields, callouts_by_page, table_twins, file_information, metadata_payload, dates_with_fallbacks, record_upserts, finished_records, deleted_artifacts, assembled_blocks, outline_in_blocks, without_local_contents, heading_styles, list_trees)}
+def list_item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as list items in two columns that are far apart; those of some parts have no box."""
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("list").alias("list_id"), (F.col("l_linenumber") % 2 + 1).alias("page"), ((F.col("l_linenumber") * 1000000 + k) * 1000 + s).alias("ord"), F.when(k % 5 > 0, k % 2 * 300 + k % 7).alias("l"), F.when(k % 5 > 0, s % 50).alias("t"), F.lit(595).alias("page_width"))
+    return sequential.list_order(rows).select("doc_id", "ord", "place").distinct()
+
+
+def list_entry_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked lines as publications and as the review page take them."""
+    k = F.col("p_partkey")
+    line = F.concat(F.lit("  "), F.element_at(F.array(*[F.lit(m) for m in MARKS]), (k % len(MARKS) + 1).cast("int")), F.when(k % 13 == 0, "").otherwise(F.col("p_name")), F.lit(" \t"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.published_entry(line).alias("p"), text.shown_entry(line).alias("s"))
+    return rows.select("p_partkey", F.col("p.text").alias("text"), F.col("p.marker").alias("marker"), F.col("p.value").alias("value"), F.col("s.text").alias("shown_text"), F.col("s.marker").alias("shown_marker"), F.col("s.value").alias("shown_value"))
+
+
+MARKS = ("12. ", "(3) ", "(4. ", "iv) ", "• ", "· ", "no ")
+
+
+QUERIES = {f.__name__: f for f in (page_entries, heading_classes, exclusion_reasons, changed_fields, callouts_by_page, table_twins, file_information, metadata_payload, dates_with_fallbacks, record_upserts, finished_records, deleted_artifacts, assembled_blocks, outline_in_blocks, without_local_contents, heading_styles, list_trees, list_item_order, list_entry_variants)}
 
 _NTH = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem"
 _CLAIMED = f"b0 AS (SELECT doc_id, page, concat_ws('-', l_linenumber, l_partkey, t::INT) AS id, (ord * 1000 + t)::BIGINT AS o, l_partkey % 3 = 0 AS heads, l_partkey % 100 / 100 AS sure, (l + r) / 2 AS x, (t + b) / 2 AS y, NULL::BIGINT AS under FROM ({BOX_SQL}))"
@@ -232,4 +250,11 @@ SELECT doc_id, count(*) AS blocks FROM y WHERE g <> 2 AND NOT (g = 0 AND before
 WITH x AS ({BOX_SQL}), i AS (SELECT *, concat_ws('-', l_linenumber, l_partkey, t::INT) AS ref FROM x WHERE l_linenumber % 2 = 1), c AS (SELECT * FROM x WHERE l_linenumber % 2 = 0)
 SELECT DISTINCT i.doc_id, i.ref, round_even(max(c.l_partkey % 40 / 3) * 2, 0) / 2 AS size FROM i JOIN c ON c.doc_id = i.doc_id AND c.page = i.page
 WHERE greatest(0, least(i.r, c.r) - greatest(i.l, c.l)) * greatest(0, least(i.b, c.b) - greatest(i.t, c.t)) >= 0.16 * least((i.r - i.l) * (i.b - i.t), (c.r - c.l) * (c.b - c.t)) GROUP BY 1, 2, i.ord""",
+    "list_item_order": """
+WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 + 1 AS page, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey AS ord, l_partkey % 5 = 0 AS bare, l_partkey % 2 AS side, l_partkey % 2 * 300 + l_partkey % 7 AS l, l_suppkey % 50 AS t FROM lineitem)
+SELECT DISTINCT doc_id, ord, (row_number() OVER (PARTITION BY doc_id ORDER BY page, bare, CASE WHEN NOT bare THEN side END, CASE WHEN NOT bare THEN t END, CASE WHEN NOT bare THEN l END, ord) - 1)::INT AS place FROM i""",
+    "list_entry_variants": """
+WITH p AS (SELECT p_partkey, p_partkey % 7 AS g, p_partkey % 13 = 0 AS bare, ['12.', '(3)', '(4.', 'iv)', '•', '·', 'no'][p_partkey % 7 + 1] AS m, p_name FROM part)
+SELECT p_partkey, CASE WHEN bare THEN m WHEN g IN (2, 6) THEN m || ' ' || p_name ELSE p_name END AS text, CASE WHEN bare OR g IN (2, 6) THEN '' ELSE m END AS marker, CASE WHEN NOT bare THEN CASE g WHEN 0 THEN 12 WHEN 1 THEN 3 END END AS value,
+       CASE WHEN bare THEN m WHEN g IN (5, 6) THEN m || ' ' || p_name ELSE p_name END AS shown_text, CASE WHEN bare OR g IN (5, 6) THEN '' ELSE m END AS shown_marker, CASE WHEN NOT bare THEN CASE g WHEN 0 THEN 12 WHEN 1 THEN 3 WHEN 2 THEN 4 END END AS shown_value FROM p""",
 }

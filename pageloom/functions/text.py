@@ -118,6 +118,12 @@ def list_entries(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\r?\n"), list_entry), lambda e: e.isNotNull())
 
 
+def bare_lines(text: Column) -> Column:
+    """The lines of a text without bullets before them, empty ones left out."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: stripped(F.regexp_replace(x, r"^[•\-–]\s*", "")))
+    return F.filter(lines, lambda x: x != "")
+
+
 def single_line(text: Column) -> Column:
     """All lines in one, without their list markers."""
     return F.array_join(F.transform(list_entries(text), lambda e: e["text"]), " ")

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.functions import display
+from pageloom.functions import display, geometry
+from pageloom.functions.text import bare_lines
 from pageloom.operators import blocks, rendering, review
 from pageloom.sources import records
 from pageloom.streaming import feed, jobs
@@ -58,3 +59,10 @@ def test_names_and_levels(spark):
     assert row.select(blocks.list_level(F.col("a"), F.col("b"), F.col("c"))).first()[0] == 0 and row.select(blocks.list_level(F.col("a"), F.col("c"))).first()[0] == 3
     with pytest.raises(ValueError):
         records.artifacts_deleted(row, row, ("../x",))
+
+
+def test_measures_of_lines(spark):
+    row = spark.createDataFrame([("• a\n\n- b \n c", 5.0, 842.0), (None, 5.0, 0.0)], "text string, t double, height double")
+    b = geometry.box(F.lit(0), F.col("t"), F.lit(1), F.lit(15))
+    got = [tuple(r) for r in row.select(bare_lines(F.col("text")), geometry.middle(b), geometry.top_ratio(b, F.col("height"))).collect()]
+    assert got == [(["a", "b", "c"], 10.0, 5 / 842), ([], 10.0, 1.0)]

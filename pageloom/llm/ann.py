@@ -2,13 +2,14 @@
 
 The tree is fitted on a bounded sample of SAMPLE vectors (those of smallest hash) and has at most
 MAX_LEAVES leaves; every vector is then placed in a leaf by descending from the root. A query walks the
-tree with a priority queue of nodes, best inner product with the centre first, and visits leaves in that
-order. How many it visits is calibrated: on queries drawn from the sample the number is widened until
+tree with a priority queue of nodes and visits leaves in that order. The best bin is that with the largest inner product to be
+hoped for: that with its centre, and SPREAD times the query's length times the root mean square distance of its vectors from the centre, as
+the nearest are seldom at a centre; for nodes that are no leaves it is INNER times as much, as their leaves lie further out. How many it visits is calibrated: on queries drawn from the sample the number is widened until
 the recall against brute force over the sample reaches TARGET; a query goes on until it has met more
 rows than it needs, so that no answer is short. Only the sample and the tree come to the driver.
 
-Neighbouring leaves are stored together in groups of about ROWS vectors, and a visit to a leaf searches its
-whole group, which answers once. A leaf larger than that is a group of its own, split by a hash into blocks of about ROWS vectors; the
+Neighbouring leaves are stored together in groups of about ROWS vectors. A query goes to each group that has a leaf for it, is compared with its
+leaves there and no others, and gets one answer. A leaf larger than that is a group of its own, split by a hash into blocks of about ROWS vectors; the
 queries of a group are split into blocks of QUERIES. Each pair of blocks is one unit of work, so a leaf
 that holds a third of all rows, or thousands of equal vectors, is spread over tasks. A unit returns its best k of each query; the best k of
 those are chosen by a window whose limit is applied before the shuffle.
@@ -35,19 +36,21 @@ from pageloom.llm.common import settle
 
 SAMPLE = 20_000
 MAX_LEAVES = 4096
-LEAF_ROWS = 800
+LEAF_ROWS = 200
 BRANCHES = 8
 TARGET = 0.97
 TRIALS = 200
 ROWS = 4096
 QUERIES = 1024
+SPREAD, INNER = 0.5, 1.0
 
 
 @dataclass(frozen=True)
 class Tree:
-    """children[node] is (first, last) of its child nodes, or (leaf, -1); centres has a row for each node."""
+    """children[node] is (first, last) of its child nodes, or (leaf, -1); centres has a row for each node, and radii how far its vectors lie from it."""
 
     centres: np.ndarray
+    radii: np.ndarray
     children: np.ndarray
     n_leaves: int
 
@@ -66,7 +69,8 @@ class Tree:
 
     def walk(self, query: np.ndarray, visits: int, rows: np.ndarray, enough: int) -> list[int]:
         """Leaves in best-bin-first order: `visits` of them, and more until they hold `enough` rows."""
-        score = self.centres @ query
+        spread = np.where(self.children[:, 1] < 0, SPREAD, INNER)
+        score = self.centres @ query + spread * np.sqrt(query @ query) * self.radii
         heap, out, met = [(-score[0], 0)], [], 0
         while heap and (len(out) < visits or met < enough):
             _, node = heapq.heappop(heap)
@@ -98,7 +102,8 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 def fit_tree(x: np.ndarray, leaves: int, seed: int = 7) -> Tree:
     """Splits the largest leaf again until there are enough leaves or none can be split."""
     rng = np.random.default_rng(seed)
-    centres, children = [x.mean(0) if len(x) else np.zeros(1)], [[0, -1]]
+    spread = lambda part: float(np.sqrt(((part - part.mean(0)) ** 2).sum(1).mean())) if len(part) else 0.0
+    centres, radii, children = [x.mean(0) if len(x) else np.zeros(1)], [spread(x)], [[0, -1]]
     open_leaves = [(-len(x), 0, np.arange(len(x)))]
     n_leaves = 1
     while open_leaves and n_leaves < leaves:
@@ -114,13 +119,14 @@ def fit_tree(x: np.ndarray, leaves: int, seed: int = 7) -> Tree:
             part = rows[labels == j]
             heapq.heappush(open_leaves, (-len(part), len(centres), part))
             centres.append(x[part].mean(0))
+            radii.append(spread(x[part]))
             children.append([0, -1])
         n_leaves += n_new - 1
     number = 0
     for c in children:
         if c[1] < 0:
             c[0], number = number, number + 1
-    return Tree(np.array(centres), np.array(children, np.int64), number)
+    return Tree(np.array(centres), np.array(radii), np.array(children, np.int64), number)
 
 
 def calibrate(tree: Tree, x: np.ndarray, k: int, target: float = TARGET, trials: int = TRIALS) -> int:
@@ -164,7 +170,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def best_of(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of the k best of each query, ties to the smaller id; ids ascend."""
+    """(query row, vec_id, score) of the k best of each query, ties to the smaller id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     norms = np.sqrt((x * x).sum(1).max())
     for low in range(0, len(queries), 64):
@@ -209,17 +215,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
         counts[leaf] = held
     groups = grouped(counts, ROWS)
     n_groups = int(groups.max()) + 1
-    held_by = np.bincount(groups, counts, n_groups).astype(np.int64)
-    n_blocks = np.maximum(1, -(-held_by // ROWS))
+    n_blocks = np.maximum(1, -(-np.bincount(groups, counts, n_groups).astype(np.int64) // ROWS))
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("group", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("searched", T.LongType())])))
+    unit_type = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("leaves", T.ArrayType(T.IntegerType())), T.StructField("searched", T.LongType())])
+
+    @F.arrow_udf(T.ArrayType(unit_type))
     def units_of(column: pa.Array) -> pa.Array:
         out = []
         for q in _matrix(column, dim):
-            visited = dict.fromkeys(int(groups[leaf]) for leaf in tree.walk(q, visits, counts, k + 1))
-            searched = int(held_by[list(visited)].sum())
-            out.append([{"group": g, "block": b, "searched": searched} for g in visited for b in range(int(n_blocks[g]))])
-        return pa.array(out, pa.list_(pa.struct([("group", pa.int32()), ("block", pa.int32()), ("searched", pa.int64())])))
+            visited: dict[int, list[int]] = {}
+            for leaf in tree.walk(q, visits, counts, k + 1):
+                visited.setdefault(int(groups[leaf]), []).append(leaf)
+            searched = sum(int(counts[leaves].sum()) for leaves in visited.values())
+            out.append([{"group": g, "block": b, "leaves": leaves, "searched": searched} for g, leaves in visited.items() for b in range(int(n_blocks[g]))])
+        return pa.array(out, pa.list_(pa.struct([("group", pa.int32()), ("block", pa.int32()), ("leaves", pa.list_(pa.int32())), ("searched", pa.int64())])))
 
     asked = placed.where("asks").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vector", units_of("vector").alias("units"))
     asked = settle(asked.select("query_id", "vector", F.explode("units").alias("unit")).select("query_id", "vector", "unit.*"), "asked")
@@ -236,16 +245,30 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
     def unit(asked_here: pa.Table, held_here: pa.Table) -> pa.Table:
         if not asked_here.num_rows or not held_here.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "searched": pa.array([], pa.int64())})
-        held_here = held_here.sort_by("vec_id")
-        own = asked_here.column("query_id").to_numpy()
-        at, found, score = best_of(_matrix(asked_here.column("vector"), dim), own, _matrix(held_here.column("vector"), dim), held_here.column("vec_id").to_numpy(), k)
+        held_here = held_here.sort_by("leaf")
+        own, queries = asked_here.column("query_id").to_numpy(), _matrix(asked_here.column("vector"), dim)
+        x, ids, leaf = _matrix(held_here.column("vector"), dim), held_here.column("vec_id").to_numpy(), held_here.column("leaf").to_numpy()
+        here, starts = np.unique(leaf, return_index=True)
+        wanted = asked_here.column("leaves").combine_chunks()
+        who, of = np.repeat(np.arange(len(own)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
+        parts = []
+        for number, low, high in zip(here.tolist(), starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True):
+            asking = who[of == number]
+            if len(asking):
+                row, found, score = best_of(queries[asking], own[asking], x[low:high], ids[low:high], k)
+                parts.append((asking[row], found, score))
+        at, found, score = (np.concatenate(p) if parts else np.zeros(0, np.int64) for p in (zip(*parts, strict=True) if parts else ((), (), ())))
+        order = np.lexsort((found, -score, at))
+        at, found, score = at[order], found[order], score[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        at, found, score = at[best], found[best], score[best]
         return pa.table({"query_id": own[at], "vec_id": found, "score": score, "searched": asked_here.column("searched").to_numpy()[at]})
 
     keys = ["group", "block", "part"]
     found = (
-        left.select(*keys, "query_id", "vector", "searched")
+        left.select(*keys, "query_id", "vector", "leaves", "searched")
         .groupBy(*keys)
-        .cogroup(right.select(*keys, "vec_id", "vector").groupBy(*keys))
+        .cogroup(right.select(*keys, "leaf", "vec_id", "vector").groupBy(*keys))
         .applyInArrow(unit, "query_id bigint, vec_id bigint, score double, searched bigint")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

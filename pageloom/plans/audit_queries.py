@@ -134,7 +134,7 @@ ORACLES = {
     "audit_actor_options": f"SELECT DISTINCT actor_email FROM ({LOG}) WHERE coalesce(actor_email, '') <> ''",
     "audit_history_uploads": f"SELECT document_id, coalesce(json_extract_string(detail, '$.file_name'), 'Unknown file') AS file_name, json_extract_string(detail, '$.pages')::BIGINT AS pages, created_at AS uploaded_at FROM ({LOG}) WHERE action = 'upload'",
     "audit_join_documents": f"SELECT l.id, l.document_id, r.title, r.file_name FROM ({LOG}) l LEFT JOIN ({RECORDS}) r ON r.id = l.document_id",
-    "audit_change_rows": "SELECT o_orderkey AS id, 'title' AS field, o_orderpriority AS before_value, lower(o_orderpriority) AS after_value FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'citations', NULL, o_custkey::VARCHAR FROM orders WHERE o_orderkey % 3 = 0",
+    "audit_change_rows": "SELECT o_orderkey AS id, 'title' AS field, o_orderpriority AS before_value, lower(o_orderpriority) AS after_value FROM orders UNION ALL SELECT o_orderkey, 'citations', NULL, o_custkey::VARCHAR FROM orders",
     "audit_snippets": "SELECT doc_id, left(text, 200) AS preview, length(text) > 200 AS truncated, length(text)::BIGINT AS length FROM documents",
     "audit_counts_by_action": f"SELECT action, CASE action {TONES} ELSE 'neutral' END AS tone, count(*) AS events, count(DISTINCT actor_id) AS actors FROM ({LOG}) GROUP BY 1, 2",
     "scope_own_documents": f"SELECT id, uploaded_by, coalesce(uploaded_by = '', true) OR uploaded_by = 'user7' AS may_change, true AS valid_id FROM ({RECORDS}) WHERE uploaded_by IS NULL OR uploaded_by = 'user7'",

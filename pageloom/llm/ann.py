@@ -169,13 +169,19 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def best_of(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of the k best of each query, ties to the smaller id."""
+def best_of(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, spans: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of the k best of each query, ties to the smaller id.
+
+    spans has, for stretches of x, which queries are compared with them, in ascending order.
+    """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     norms = np.sqrt((x * x).sum(1).max())
     for low in range(0, len(queries), 64):
         q = queries[low : low + 64]
-        rough = q @ x.T
+        rough = np.full((len(q), len(x)), -np.inf)
+        for asking, begin, end in spans:
+            here = asking[slice(*np.searchsorted(asking, (low, low + 64)))]
+            rough[here - low, begin:end] = queries[here] @ x[begin:end].T
         rough[own[low : low + 64, None] == ids[None, :]] = -np.inf
         kth = np.partition(rough, max(0, rough.shape[1] - k), axis=1)[:, max(0, rough.shape[1] - k)]
         slack = 1e-12 * norms * np.sqrt((q * q).sum(1)) * x.shape[1]
@@ -251,17 +257,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
         here, starts = np.unique(leaf, return_index=True)
         wanted = asked_here.column("leaves").combine_chunks()
         who, of = np.repeat(np.arange(len(own)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
-        parts = []
-        for number, low, high in zip(here.tolist(), starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True):
-            asking = who[of == number]
-            if len(asking):
-                row, found, score = best_of(queries[asking], own[asking], x[low:high], ids[low:high], k)
-                parts.append((asking[row], found, score))
-        at, found, score = (np.concatenate(p) if parts else np.zeros(0, np.int64) for p in (zip(*parts, strict=True) if parts else ((), (), ())))
-        order = np.lexsort((found, -score, at))
-        at, found, score = at[order], found[order], score[order]
-        best = np.arange(len(at)) - np.searchsorted(at, at) < k
-        at, found, score = at[best], found[best], score[best]
+        spans = [(np.sort(who[of == number]), low, high) for number, low, high in zip(here.tolist(), starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True)]
+        at, found, score = best_of(queries, own, x, ids, k, spans)
         return pa.table({"query_id": own[at], "vec_id": found, "score": score, "searched": asked_here.column("searched").to_numpy()[at]})
 
     keys = ["group", "block", "part"]

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each hold QUERIES and ORACLES.
-MODULES = ("op1_query", "op2_query", "op3_query", "op4_query", "op5_query", "op6_query", "op7_query", "op8_query", "op9_query", "op10_query")
+MODULES = ("op1_query", "op2_query", "op3_query", "op4_query", "op5_query", "op6_query", "op7_query", "op8_query", "op9_query", "op10_query", "op11_query", "op12_query", "op13_query")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

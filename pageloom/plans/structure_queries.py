@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.functions import geometry, tables, text
-from pageloom.operators import audit, blocks, contents, hierarchy, metadata, sequential
+from pageloom.operators import audit, blocks, contents, contents_rows, hierarchy, metadata, sequential
 from pageloom.plans.inputs import RECORDS_SQL, duck, records, table
 from pageloom.plans.layout_queries import BOX_SQL, _boxes
 from pageloom.sources import records as stored
@@ -16,16 +16,24 @@ from pageloom.sources import records as stored
 RECORDS = duck(RECORDS_SQL)
 
 
+#: Line items as lines of contents pages, an order a page, in six layouts: dotted rows; pages apart on the right; pages apart on the left; titles
+#: that wrap, the page on their last line; two columns with pages apart; chapters without a page above dotted rows, some of which go on below.
+CONTENTS_SQL = """
+SELECT doc_id, nth, lay, pos, text, l, t, l + 5.0 * length(text) AS r, t + 10.0 AS b FROM (
+  SELECT doc_id, nth, lay, 2 * nth AS pos, 80.0 + 40.0 * (CASE WHEN lay = 4 THEN floor((nth - 1) / 2) ELSE nth END) + CASE WHEN lay = 3 AND k % 2 = 0 THEN 12.0 ELSE 0.0 END AS t,
+         CASE lay WHEN 2 THEN 120.0 WHEN 4 THEN 60.0 + 270.0 * ((nth - 1) % 2) ELSE 70.0 END AS l,
+         CASE WHEN lay IN (0, 3) THEN 'Topic ' || k || ' of law ..... ' || nth WHEN lay = 5 AND nth % 3 = 1 THEN 'Chapter ' || nth || ': Law ' || k WHEN lay = 5 THEN 'Topic ' || k || ' ..... ' || nth ELSE 'Topic ' || k || ' of law' END AS text
+  FROM items
+  UNION ALL
+  SELECT doc_id, nth, lay, 2 * nth - 1 AS pos, 80.0 + 40.0 * (CASE WHEN lay = 4 THEN floor((nth - 1) / 2) ELSE nth END) + CASE WHEN lay = 5 THEN 13.0 ELSE 0.0 END AS t,
+         CASE lay WHEN 1 THEN 500.0 WHEN 2 THEN 60.0 WHEN 4 THEN 250.0 + 270.0 * ((nth - 1) % 2) ELSE 75.0 END AS l, CASE WHEN lay IN (3, 5) THEN 'On part ' || k || ' and' ELSE CAST(nth AS STRING) END AS text
+  FROM items WHERE lay IN (1, 2, 4) OR (lay = 3 AND k % 2 = 0) OR (lay = 5 AND nth % 3 = 2 AND k % 2 = 0)) x"""
+
+
 def contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as contents pages: a row for each line item, in one of the three layouts; in the second its page stands apart on the right, in the third on the left."""
-    o, n, k = F.col("l_orderkey"), F.col("nth"), F.col("l_partkey")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(_by_order()).alias("nth"))
-    title = F.concat(F.lit("Topic "), k.cast("string"), F.lit(" of law"))
-    page = n.cast("string")
-    top = 80.0 + 25.0 * n
-    line = lambda text, left, pos: F.struct(text.alias("text"), F.lit(float(left)).alias("l"), top.alias("t"), (F.lit(float(left)) + 5.0 * F.length(text)).alias("r"), (top + 10).alias("b"), F.lit(10.0).alias("size"), pos.alias("pos"))
-    rows = F.when(o % 3 == 0, F.array(line(F.concat(title, F.lit(" ..... "), page), 70, 2 * n))).when(o % 3 == 1, F.array(line(title, 70, 2 * n), line(page, 500, 2 * n + 1))).otherwise(F.array(line(page, 60, 2 * n), line(title, 120, 2 * n + 1)))
-    return items.select(o.alias("doc_id"), F.lit(1).alias("page"), F.explode(rows).alias("x")).select("doc_id", "page", "x.*", F.lit(False).alias("prominent"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("k"), F.row_number().over(_by_order()).alias("nth"), (F.col("l_orderkey") % 6).alias("lay"))
+    lines = spark.sql(CONTENTS_SQL.replace("FROM items", "FROM {items}"), items=items)
+    return lines.select("doc_id", F.lit(1).alias("page"), "pos", "text", *"ltrb", F.lit(10.0).alias("size"), F.lit(False).alias("prominent"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
 
 
 def _by_order():
@@ -35,7 +43,7 @@ def _by_order():
 
 
 def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contents.page_entries(contents_lines(spark, sf_dir)).select("doc_id", "ord", "title", "printed", "level")
+    return contents_rows.page_entries(contents_lines(spark, sf_dir)).select("doc_id", "ord", "title", "printed", "level")
 
 
 def heading_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +211,18 @@ e AS (SELECT b3.*, under = o AS is_head, (SELECT any_value(id) FROM b3 z WHERE z
 SELECT e.doc_id, e.page, CASE WHEN is_head THEN 'box-section:' ELSE '' END || id AS block_id, CASE WHEN e.under <> o THEN 'box-section:' || head_id END AS parent, CASE WHEN is_head THEN 'box_section' WHEN heads THEN 'section_header_3' ELSE 'text' END AS label,
        CASE WHEN e.under IS NULL OR is_head THEN (count(*) FILTER (e.under IS NULL OR is_head) OVER (PARTITION BY e.doc_id, e.page ORDER BY o) - 1)::INT END AS place, CASE WHEN is_head THEN h.sure ELSE e.sure END AS confidence
 FROM e LEFT JOIN h ON h.doc_id = e.doc_id AND h.page = e.page AND h.under = e.under""",
-    "page_entries": f"SELECT l_orderkey AS doc_id, (nth - 1)::INT AS ord, 'Topic ' || l_partkey || ' of law' AS title, nth::VARCHAR AS printed, 2 AS level FROM ({_NTH})",
+    "page_entries": f"""
+WITH items AS (SELECT l_orderkey AS doc_id, l_partkey AS k, nth, l_orderkey % 6 AS lay FROM ({_NTH})),
+lines AS ({duck(CONTENTS_SQL)}),
+parts AS (SELECT *, (t + b) / 2 AS m, regexp_full_match(text, '[0-9]{{1,4}}') AS alone, nullif(regexp_extract(text, '^(.+?) *[.]{{2,}} *([0-9]+)$', 1), '') AS title, regexp_extract(text, '^(.+?) *[.]{{2,}} *([0-9]+)$', 2) AS printed FROM lines),
+paired AS (SELECT n.doc_id, n.text AS printed, arg_min(x.text, abs(CASE WHEN n.l < 160 THEN x.l - n.r ELSE n.l - x.r END)) AS title, min(least(x.l, n.l)) FILTER (n.l < 160) AS led, arg_min(x.l, abs(n.l - x.r)) AS l, n.t
+           FROM parts n JOIN parts x ON x.doc_id = n.doc_id AND n.alone AND NOT x.alone AND x.title IS NULL AND abs(x.m - n.m) <= 4.8 AND CASE WHEN n.l < 160 THEN x.l >= n.r - 3 ELSE x.r <= n.l + 3 END GROUP BY n.doc_id, n.pos, n.text, n.l, n.t),
+texts AS (SELECT * FROM parts WHERE NOT alone AND title IS NULL AND text NOT LIKE 'Topic %'),
+whole AS (SELECT p.doc_id, p.printed, concat_ws(' ', u.text, p.title, d.text) AS title, p.l, coalesce(u.t, p.t) AS t
+          FROM parts p LEFT JOIN texts u ON u.doc_id = p.doc_id AND p.t - u.b BETWEEN -2 AND 3.5 LEFT JOIN texts d ON d.doc_id = p.doc_id AND d.t - p.b BETWEEN -2 AND 5.5 AND d.text NOT LIKE 'Chapter %' WHERE p.title IS NOT NULL),
+opened AS (SELECT doc_id, NULL AS printed, text AS title, l, t FROM texts WHERE text LIKE 'Chapter %'),
+every AS (SELECT doc_id, printed, title, coalesce(led, l) AS l, t FROM paired UNION ALL SELECT * FROM whole UNION ALL SELECT * FROM opened)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY l > 200, t, l) - 1)::INT AS ord, title, printed, CASE WHEN title LIKE 'Chapter %' THEN 1 ELSE 2 END AS level FROM every""",
     "heading_classes": """
 WITH t AS (SELECT p_partkey, p_partkey % 8 AS g FROM part)
 SELECT p_partkey, g = 1 AS is_panel, g NOT IN (3, 6) AS is_body, g = 4 AS is_appendix, g = 5 AS always_top, CASE g WHEN 2 THEN '1.2.3' WHEN 7 THEN '2.1' END AS body_number, CASE g WHEN 2 THEN 3 WHEN 7 THEN 2 END AS depth FROM t""",

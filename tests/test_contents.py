@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import contents_row
-from pageloom.operators import contents
+from pageloom.operators import contents, contents_rows
 
 LINES = "doc_id long, page int, pos int, text string, l double, t double, r double, b double, size double, prominent boolean, page_width double, page_height double"
 BOX = "struct<l:double,t:double,r:double,b:double>"
@@ -27,7 +27,7 @@ def test_rows_with_words_that_look_like_numerals(spark):
 
 def test_rows_on_one_line_and_wrapped_ones(spark):
     rows = [(1, 2, "Contents", 70, 60, 18, True), (1, 2, "Preface ........ iv", 70, 100, 11, False), (1, 2, "Chapter 1: A title that is so long that", 70, 130, 11, True), (1, 2, "it goes on here ........ 3", 70, 143, 11, False), (1, 2, "Background ........ 5", 90, 170, 11, False), (1, 2, "and what follows", 90, 183, 11, False), (1, 2, "Chapter 2: Reform", 70, 230, 11, True), (1, 2, "page foot 77", 70, 820, 9, False)]
-    assert entries_of(contents.page_entries(lines_of(spark, rows))) == [("Preface", "iv", 1), ("Chapter 1: A title that is so long that it goes on here", "3", 1), ("Background and what follows", "5", 2), ("Chapter 2: Reform", None, 1)]
+    assert entries_of(contents_rows.page_entries(lines_of(spark, rows))) == [("Preface", "iv", 1), ("Chapter 1: A title that is so long that it goes on here", "3", 1), ("Background and what follows", "5", 2), ("Chapter 2: Reform", None, 1)]
 
 
 def test_pages_that_stand_apart_from_titles(spark):
@@ -35,7 +35,7 @@ def test_pages_that_stand_apart_from_titles(spark):
     rows = [(1, 1, "Contents", 70, 60, 18, True)] + [x for k, (title, page) in enumerate(after) for x in ((1, 1, title, 70, 100 + 30 * k, 11, False), (1, 1, str(page), 500, 100 + 30 * k, 11, False))]
     before = [x for k, (title, page) in enumerate(after) for x in ((2, 1, str(page), 60, 100 + 30 * k, 11, False), (2, 1, title, 120, 101 + 30 * k, 11, False))]
     two_columns = [x for k in range(3) for c in (0, 1) for x in ((3, 1, f"Topic {'ab'[c]}{k} of law", 60 + 270 * c, 100 + 30 * k, 10, False), (3, 1, str(10 * c + k + 1), 250 + 270 * c, 100 + 30 * k, 10, False))]
-    got = contents.page_entries(lines_of(spark, rows + before + two_columns))
+    got = contents_rows.page_entries(lines_of(spark, rows + before + two_columns))
     assert entries_of(got.where("doc_id < 3")) == 2 * [(title, str(page), 2) for title, page in after]
     assert entries_of(got.where("doc_id = 3")) == [(f"Topic {'ab'[c]}{k} of law", str(10 * c + k + 1), 2) for c in (0, 1) for k in range(3)]
 
@@ -53,7 +53,7 @@ def test_chapter_pages_and_their_outline(spark):
     chapters = contents.chapter_pages(lines, entries)
     found = [(r.number, r.page, r.title) for r in chapters.orderBy("number").collect()]
     assert found == [(1, 5, "Chapter 1: The first topic and its parts"), (2, 9, "Chapter 2: The second topic"), (3, 14, "Chapter 3: Options for all of us"), (4, 20, "Chapter 4: Added later")]
-    local = contents.local_entries(contents.page_entries(lines), lines, chapters)
+    local = contents.local_entries(contents_rows.page_entries(lines), lines, chapters)
     assert [(r.number, r.title) for r in local.orderBy("number", "place").collect()] == [(1, "Background"), (1, "New matters"), (2, "Early law"), (2, "Late law")]
     outline = contents.with_chapters(entries, chapters)
     rows = [(r.title, r.level, r.target) for r in outline.orderBy("sequence").collect()]
@@ -104,3 +104,24 @@ def test_heading_styles(spark):
     items = spark.createDataFrame([(1, 1, "i", (0.0, 0.0, 100.0, 20.0)), (1, 1, "j", (0.0, 50.0, 100.0, 70.0))], f"doc_id long, page int, ref string, box {BOX}")
     spans = spark.createDataFrame([(1, 1, (0.0, 0.0, 40.0, 20.0), 14.2, "Serif", 0), (1, 1, (40.0, 0.0, 90.0, 20.0), 14.2, "Serif-Bold", 0), (1, 1, (0.0, 18.0, 100.0, 40.0), 30.0, "Big", 16)], f"doc_id long, page int, box {BOX}, size double, font string, flags int")
     assert [tuple(r) for r in contents.heading_styles(items, spans).collect()] == [(1, "i", 14.0, "Serif-Bold", 0)]
+
+
+def test_pages_and_titles_pair_by_cost():
+    line = lambda kind, title, left, top, printed=None, starts=False, ends=False: contents_rows.Line(kind, title, printed, starts, ends, False, left, top, left + 5 * len(title), top + 10)
+    found = lambda *lines: [(x[0], x[1]) for x in contents_rows.entries_of(list(lines), 595.0)]
+    numbers = [line("page", str(k), 500, 100 + 30 * k) for k in range(3)]
+    # the title at the number's height wins over a nearer one that is lower
+    assert found(*numbers, line("text", "Right", 430, 100), line("text", "Lower but nearer to the page number", 300, 103)) == [("Right", "0")]
+    # a line between two rows goes with the nearer one, and with the upper one if both are as near
+    upper, lower = line("row", "Upper", 70, 100, "1"), line("row", "Lower", 70, 126, "2")
+    assert found(upper, line("text", "near", 70, 111), lower) == [("Upper near", "1"), ("Lower", "2")]
+    assert found(upper, line("text", "even", 70, 113), line("row", "Lower", 70, 126, "2")) == [("Upper even", "1"), ("Lower", "2")]
+    # text with a number of its own goes to the row below, wherever it is nearer
+    assert found(upper, line("text", "2. Own", 70, 112, starts=True), line("row", "Lower", 70, 125, "2")) == [("Upper", "1"), ("2. Own Lower", "2")]
+    # four lines above at most, and none across a gap or far aside
+    tall = [line("text", f"w{k}", 70, 100 + 12 * k) for k in range(5)]
+    assert found(*tall, line("row", "End", 70, 160, "9"))[-1] == ("w1 w2 w3 w4 End", "9")
+    assert found(line("text", "aside", 140, 100), line("row", "End", 70, 112, "9")) == [("End", "9")]
+    # an open line below which text goes on, and one that a row takes
+    assert found(line("open", "Chapter 1: A", 70, 100), line("text", "long one", 70, 113), line("row", "Topic", 90, 140, "3")) == [("Chapter 1: A long one", None), ("Topic", "3")]
+    assert found(line("open", "Chapter 1: A", 70, 100), line("row", "long one", 70, 112, "3")) == [("Chapter 1: A long one", "3")]

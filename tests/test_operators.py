@@ -109,11 +109,20 @@ def test_sequential_functions():
     assert sequential.linked_footnotes("Law.1 See page 2, 1st and 3.1 & 2 2", {"1": "footnote-1", "2": "n2"}).count("<sup") == 2
 
 
-def test_callouts():
-    made = [{"block_id": b, "order": k, "label": label, "text": t, "confidence": c, "x": 5.0, "y": y} for k, (b, label, t, c, y) in enumerate([("before", "text", "x", 0.9, 100.0), ("heading", "section_header_3", "Case study", 0.8, 10.0), ("in", "text", "inside", 0.6, 20.0)])]
-    got = sequential.grouped_callouts(made, [{"l": 0, "t": 0, "r": 10, "b": 50}])
-    assert [(r["block_id"], r["parent"], r["order"]) for r in got] == [("before", None, 0), ("box-section:heading", None, 1), ("in", "box-section:heading", None)]
-    assert got[1]["confidence"] == 0.6
+def test_callouts(spark):
+    blocks = [("before", "text", "x", 0.9, 100.0, False), ("heading", "section_header_3", "Case study", 0.8, 10.0, False), ("outline", "section_header_1", "Chapter 1", 0.1, 15.0, True), ("in", "text", "inside", 0.6, 20.0, None), ("later", "section_header_3", "One of them", 0.5, 60.0, False)]
+    made = spark.createDataFrame([(1, 1, b, k, label, t, c, 5.0, y, d) for k, (b, label, t, c, y, d) in enumerate(blocks)], "doc_id long, page int, block_id string, order long, label string, text string, confidence double, x double, y double, toc_derived boolean")
+    # the second region holds nothing that the first leaves but one heading; the third has a heading and something after it
+    regions = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 10.0, 50.0), (1, 1, 1, 0.0, 0.0, 10.0, 70.0)], "doc_id long, page int, region long, l double, t double, r double, b double")
+    got = {r.block_id: (r.parent, r.label, r.place, r.confidence) for r in sequential.page_callouts(made, regions).collect()}
+    assert got == {"before": (None, "text", 0, 0.9), "box-section:heading": (None, "box_section", 1, 0.6), "outline": (None, "section_header_1", 2, 0.1), "in": ("box-section:heading", "text", None, 0.6), "later": (None, "section_header_3", 3, 0.5)}
+    assert sequential.page_callouts(made, regions.limit(0)).where("parent is not null").count() == 0
+
+
+def test_regions_take_blocks_in_turn():
+    claim = lambda region, block, heads=False, named=True: (1, 1, region, block, heads, named)
+    claims = [claim(0, "a"), claim(0, "b", True), claim(1, "b", True), claim(1, "c"), claim(1, "d", True), claim(2, "c"), claim(2, "d", True), claim(2, "e"), claim(3, "f", True, False), claim(3, "g")]
+    assert [x[2:] for x in sequential.taken_by_regions(claims)] == [("b", "b"), ("c", "b"), ("d", "b")]
 
 
 def test_greedy_match(spark):

@@ -16,13 +16,14 @@ those are chosen by a window whose limit is applied before the shuffle.
 
 Defined results: vectors that are null, empty or zero, that hold null or non-finite components, or whose
 length is not the most frequent one (the larger of a tie) take no part. Scores are sums in double precision,
-component after component; ties go to the smaller vec_id. Rows that repeat a vec_id are all candidates, but never
+component after component, which may overflow to an infinity; ties go to the smaller vec_id, and sums that are NaN come last. Rows that repeat a vec_id are all candidates, but never
 of a query of that vec_id; a query repeated answers once. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,8 @@ TRIALS = 200
 ROWS = 4096
 QUERIES = 1024
 SPREAD, INNER = 0.5, 1.0
+#: Components beyond this are scaled for the tree.
+HUGE = 1e100
 
 
 @dataclass(frozen=True)
@@ -175,17 +178,26 @@ def best_of(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray
     spans has, for stretches of x, which queries are compared with them, in ascending order.
     """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _best_of(queries, own, x, ids, k, spans, out)
+
+
+def _best_of(queries, own, x, ids, k, spans, out):
     norms = np.sqrt((x * x).sum(1).max())
     for low in range(0, len(queries), 64):
         q = queries[low : low + 64]
-        rough = np.full((len(q), len(x)), -np.inf)
+        rough, met = np.full((len(q), len(x)), -np.inf), np.zeros((len(q), len(x)), bool)
         for asking, begin, end in spans:
             here = asking[slice(*np.searchsorted(asking, (low, low + 64)))]
             rough[here - low, begin:end] = queries[here] @ x[begin:end].T
-        rough[own[low : low + 64, None] == ids[None, :]] = -np.inf
+            met[here - low, begin:end] = True
+        met &= own[low : low + 64, None] != ids[None, :]
+        rough[~met] = -np.inf
         kth = np.partition(rough, max(0, rough.shape[1] - k), axis=1)[:, max(0, rough.shape[1] - k)]
         slack = 1e-12 * norms * np.sqrt((q * q).sum(1)) * x.shape[1]
-        row, col = np.nonzero((rough >= (kth - slack)[:, None]) & (rough > -np.inf))
+        # where a product or the slack has overflowed, rough scores decide nothing and all rows are scored
+        unsure = ~np.isfinite(slack) | (met & ~np.isfinite(rough)).any(1)
+        row, col = np.nonzero(met & (unsure[:, None] | (rough >= (kth - slack)[:, None])))
         exact = np.zeros(len(row))
         for d in range(x.shape[1]):
             exact += q[row, d] * x[col, d]
@@ -201,19 +213,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
     """query_id, rank, vec_id and score of the k nearest found to each row of vectors that is_query marks, and how many rows it was compared with."""
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
+    largest = F.max(F.array_max(F.transform("vector", lambda v: F.abs(v).cast("double"))))
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), largest.alias("largest")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, searched bigint")
-    dim, n = sizes[0]
+    dim, n, largest = sizes[0]
+    # the tree sees huge vectors smaller, as their squares would overflow; a power of two changes no order
+    scale = 2.0 ** -math.frexp(largest)[1] if largest > HUGE else 1.0
     rows = rows.where(F.size("vector") == dim)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
-    x = _matrix(sample.column("vector"), dim)
+    x = _matrix(sample.column("vector"), dim) * scale
     tree = fit_tree(x, min(MAX_LEAVES, max(1, n // LEAF_ROWS), max(1, len(x) // 16)))
     visits = calibrate(tree, x, k)
 
     @F.arrow_udf(T.IntegerType())
     def leaf_of(column: pa.Array) -> pa.Array:
-        return pa.array(tree.place(_matrix(column, dim)), pa.int32())
+        return pa.array(tree.place(_matrix(column, dim) * scale), pa.int32())
 
     placed = settle(rows.withColumn("leaf", leaf_of("vector")), "placed")
     counts = np.zeros(tree.n_leaves, np.int64)
@@ -228,7 +243,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
     @F.arrow_udf(T.ArrayType(unit_type))
     def units_of(column: pa.Array) -> pa.Array:
         out = []
-        for q in _matrix(column, dim):
+        for q in _matrix(column, dim) * scale:
             visited: dict[int, list[int]] = {}
             for leaf in tree.walk(q, visits, counts, k + 1):
                 visited.setdefault(int(groups[leaf]), []).append(leaf)
@@ -268,5 +283,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
         .cogroup(right.select(*keys, "leaf", "vec_id", "vector").groupBy(*keys))
         .applyInArrow(unit, "query_id bigint, vec_id bigint, score double, searched bigint")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "searched")

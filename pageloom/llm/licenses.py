@@ -9,7 +9,7 @@ so a notice inside a longer document is found, too.
 The list of licences is fixed and short; it is broadcast only up to SMALL rows and joined by shuffle beyond.
 
 Defined results: null, empty and mark-only texts have an empty canonical form, a null digest and no licence. Repeated rows
-get equal results, and rows of one doc_id (or without any) share their notices; of two licences with one digest the
+get equal results; notices are those of a row's own text, whatever its id; of two licences with one digest the
 smaller name stands. Empty tables give empty results. Columns named digest, license or notices are replaced;
 all others pass through.
 """
@@ -151,12 +151,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", licenses:
     """docs with digest, license (of the whole text, or null) and notices (licences of whole lines, sorted and joined by commas, or null)."""
     spark = docs.sparkSession
     docs = docs.drop("digest", "license", "notices")
-    own, form = free_names(docs, "own", "form")
+    own, raw, mine, form = free_names(docs, "own", "raw", "mine", "form")
+    raw_digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     # only lines as long as some notice can be one, and only these are hashed; lines without a known digest end here, before any shuffle
     least, most = lengths(spark, notices)
-    lines = with_form(docs.select(F.col(doc_id).alias(own), F.col(text).alias("text")), "text", form)
-    lines = lines.select(own, F.explode(F.split(form, "\n")).alias("line")).withColumn("line", F.trim("line")).where(F.length("line").between(least, most))
+    lines = with_form(docs.select(F.col(doc_id).alias(own), raw_digest.alias(raw), F.col(text).alias("text")), "text", form)
+    lines = lines.select(own, raw, F.explode(F.split(form, "\n")).alias("line")).withColumn("line", F.trim("line")).where(F.length("line").between(least, most))
     named = lines.withColumn("digest", F.sha2("line", 256)).join(known(spark, notices), "digest")
-    named = named.groupBy(own).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    whole = with_digest(docs, text).join(known(spark, licenses + notices, digests), "digest", "left")
-    return whole.join(named, F.col(doc_id).eqNullSafe(F.col(own)), "left").drop(own)
+    named = named.groupBy(own, raw).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
+    whole = with_digest(docs.withColumn(mine, raw_digest), text).join(known(spark, licenses + notices, digests), "digest", "left")
+    return whole.join(named, F.col(doc_id).eqNullSafe(F.col(own)) & (F.col(mine) == F.col(raw)), "left").drop(own, raw, mine)

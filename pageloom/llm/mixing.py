@@ -14,7 +14,8 @@ The rank of a document in its source comes from hash buckets of about BUCKET doc
 in groups of GROUP buckets, so that no task holds a source.
 
 Defined results: null is a source of its own. Sources without a target weight get the smallest one given,
-or all the same if none is; those with a weight of zero or less come after all others are used up, all at one rate.
+or all the same if none is, and so do those whose weight is NaN; sources of an infinite weight come before all others, and those with a
+weight of zero or less after all others are used up, all at one rate among themselves.
 Repeated rows each have a place. Empty tables give empty results. Columns named source_block, slot, place or
 phase are replaced; all others pass through.
 """
@@ -101,11 +102,13 @@ def edf(n: list[int], a: list[int]) -> tuple[list[int], list[int]]:
 
 
 def plan(blocks: list[int], weights: list) -> pa.Table:
-    """no, source_block, slot and phase of every block: weighted sources first, then those of no weight."""
+    """no, source_block, slot and phase of every block: sources of infinite weight first, then weighted ones, then those of no weight."""
     source, phase = [], []
-    for chosen in ([s for s, w in enumerate(weights) if w > 0], [s for s, w in enumerate(weights) if not w > 0]):
+    of_rank = [0 if w == math.inf else 1 if w > 0 else 2 for w in weights]
+    for rank in range(3):
+        chosen = [s for s, r in enumerate(of_rank) if r == rank]
         if chosen:
-            a = whole([weights[s] for s in chosen]) if weights[chosen[0]] > 0 else [1] * len(chosen)
+            a = whole([weights[s] for s in chosen]) if rank == 1 else [1] * len(chosen)
             slots, gone = edf([blocks[s] for s in chosen], a)
             first = max(phase, default=-1) + 1
             source += [chosen[s] for s in slots]
@@ -128,9 +131,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id:
     docs = docs.drop(*added)
     hashed, bucket, group, base, before, rank, no, its, its_block = free_names(docs, "hashed", "bucket", "group", "base", "before", "rank", "no", "its", "its_block")
     counts = sorted(((r[0], r[1]) for r in docs.groupBy(source).agg(F.count("*").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0]))
-    n_docs, weights = sum(c for _, c in counts), weights or {}
+    n_docs, weights = sum(c for _, c in counts), {s: w for s, w in (weights or {}).items() if w == w}  # without NaN
     block = max(block, -(-n_docs // BLOCKS))
-    default = min(weights.values(), default=1.0)
+    default = min((w for w in weights.values() if w != math.inf), default=1.0)
     slots = plan([-(-c // block) for _, c in counts], [weights.get(s, default) for s, _ in counts])
     buckets = max(1, -(-n_docs // BUCKET))
     named = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(counts)], f"`{its}` {docs.schema[source].dataType.simpleString()}, `{no}` int")

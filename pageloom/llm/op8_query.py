@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageloom.llm.common import table
 from pageloom.llm.url_filter import judge_urls
@@ -36,5 +37,20 @@ WITH parts AS (
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM parts"""
 
 
-QUERIES = {"op8_url_filter": op8_url_filter}
-ORACLES = {"op8_url_filter": _oracle()}
+def url_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by the same rules and a list of URLs: those of casino hosts, written otherwise than on the pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.contains("url", F.lit("casino"))).select(F.concat(F.upper(F.regexp_extract("url", "^[^:]*://[^/?#]*", 0)), F.lit(":443"), F.regexp_extract("url", "^[^:]*://[^/?#]*([^#]*)", 1), F.lit("#listed")).alias("url"))
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return judge_urls(pages, rules, listed=listed).select("page_id", "rule", "verdict")
+
+
+QUERIES = {"op8_url_filter": op8_url_filter, "url_blocklist": url_blocklist}
+ORACLES = {
+    "op8_url_filter": _oracle(),
+    "url_blocklist": f"""
+WITH judged AS ({_oracle()}),
+forms AS (SELECT page_id, url LIKE '%casino%' AS listed, regexp_replace(regexp_replace(url, '#.*$', '', 's'), '^[a-z]+://', '') AS form FROM pages)
+SELECT judged.page_id, rule, CASE WHEN rule IS NULL AND form IN (SELECT form FROM forms WHERE listed) THEN 'block' ELSE verdict END AS verdict
+FROM judged JOIN forms ON forms.page_id = judged.page_id""",
+}

@@ -52,7 +52,7 @@ def canonical_url(url: Column) -> Column:
     rest = lambda p: F.substring(p, F.lit(3), F.length(p))
     resolved = lambda p: F.when(~p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), p)).when(plain(p).rlike("^[A-Za-z0-9._~-]$"), F.concat(plain(p), rest(p))).otherwise(F.concat(F.lit("%"), code(p), rest(p)))
     text = F.array_join(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(resolved(p))), "")
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host_of(text), "^[^@]*@", ""), ":(80|443)?$", ""), "\\.$", "")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host_of(text), "^(?s:.*)@", ""), ":(80|443)?$", ""), "\\.$", "")
     tail = F.regexp_extract(text, r"^(?s:.*?)://[^/?#]*((?s:.*))$", 1)
     return F.when(F.contains(url, F.lit("://")), F.concat(host, F.when(F.startswith(tail, F.lit("/")), tail).otherwise(F.concat(F.lit("/"), tail))))
 

@@ -157,6 +157,11 @@ def test_mixing(spark):
     assert len(rows) == 10 and {r.slot for r in rows} == set(range(max(r.slot for r in rows) + 1))
     assert all(r.s == 1 and r.hashed == 2 for r in rows)
     assert mixing.mix(empty_docs(spark)).count() == 0
+    weights = {"a": float("inf"), "b": float("nan"), None: 3.0, "c": 0.5}
+    no = mixing.plan([2, 3, 3], [weights["a"], 0.5, 3.0]).column("no").to_pylist()
+    assert no[:2] == [0, 0] and sorted(no[2:]) == [1, 1, 1, 2, 2, 2] and no[2:5].count(2) >= 2
+    first = mixing.mix(docs, weights, block=2).where("slot < 2").collect()
+    assert {r.source for r in first} == {"a"}
 
 
 def test_url_filter(spark):
@@ -177,6 +182,10 @@ def test_nearest(spark):
     assert {r.query_id for r in got} == {0, 5, 10, 15, 20, 25}
     best = [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: (r.query_id, r["rank"])) if r.query_id == 5]
     assert best == [(1, 2, 5.0), (2, 8, 5.0), (3, 11, 5.0), (4, 14, 5.0)]
+    huge = [(k, [1e-200 * (k + 1), 1e-210]) for k in range(100)] + [(200, [1e200, 1.0]), (210, [1e308, -1.0])]
+    found = ann.nearest(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
+    assert len(found) == 6 * 20 and {r.query_id for r in found} == {0, 20, 40, 60, 80, 200}
+    assert [r.vec_id for r in found if r["rank"] == 1] == [210] * 6 and {r.score for r in found if r.query_id == 200 and r["rank"] == 1} == {float("inf")}
     few = ann.nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"), F.lit(True), 20).collect()
     assert len(few) == 6
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True), 3).count() == 0
@@ -184,10 +193,11 @@ def test_nearest(spark):
 
 def test_license_scan(spark):
     variant = "Copyright (c) 2020 Somebody\n\n" + licenses.MIT.upper().replace(",", " ;").replace("SUBLICENSE", "sub-licence")
-    docs = spark.createDataFrame([(1, variant), (2, "Text.\n  released under the MIT licence!\nMore."), (3, None), (4, "..."), (2, "other")], "doc_id long, text string").withColumn("license", F.lit("old"))
+    docs = spark.createDataFrame([(1, variant), (2, "Text.\n  released under the MIT licence!\nMore."), (3, None), (4, "..."), (2, "other"), (None, "Released under the MIT License."), (None, "just a poem")], "doc_id long, text string").withColumn("license", F.lit("old"))
     got = [(r.doc_id, r.license, r.notices, r.digest is None) for r in licenses.scan(docs).orderBy("doc_id", "text").collect()]
-    assert got[0][:3] == (1, "MIT", None) and got[3] == (3, None, None, True) and got[4] == (4, None, None, True)
-    assert all(g[2] == "MIT" for g in got[1:3])
+    assert got == [(None, "MIT", "MIT", False), (None, None, None, False), (1, "MIT", None, False), (2, None, "MIT", False), (2, None, None, False), (3, None, None, True), (4, None, None, True)]
+    clashing = docs.withColumns({c: F.lit(1) for c in ("own", "raw", "mine", "form", "lower", "line")})
+    assert licenses.scan(clashing).where("own = 1 and raw = 1 and mine = 1 and notices = 'MIT'").count() == 2
     assert licenses.scan(docs.limit(0)).count() == 0
     own = spark.createDataFrame([(1, "A licence of our own.")], "doc_id long, text string")
     digest = licenses.with_digest(own, "text").first().digest

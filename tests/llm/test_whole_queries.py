@@ -15,12 +15,14 @@ from pageloom.llm import quality_rules, text_stats, toxicity
 from pageloom.llm.labels import fold
 from pageloom.llm.op2_query import op2_toxicity
 from pageloom.llm.op4_query import op4_quality_rules
-from pageloom.llm.op5_query import op5_mixing
+from pageloom.llm.op5_query import WEIGHTS, op5_mixing
 from pageloom.llm.op6_query import op6_quality_classifier
 from pageloom.llm.op7_query import op7_packing
 from pageloom.llm.op9_query import op9_token_files
 
 SF = "/root/testdata/sf0.001"
+#: Large enough for several blocks of each source.
+SEVERAL_BLOCKS = "/root/testdata/sf0.01"
 #: Large enough for a share of held-out documents that says something.
 LARGER = "/root/testdata/sf0.1"
 
@@ -115,17 +117,20 @@ def test_quality_on_documents_held_out(spark):
 
 
 def test_mixing_query(spark):
-    """With equal weights, every source that has blocks left has as many as any other, but for one."""
-    rows = op5_mixing(spark, SF).collect()
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    from tests.llm.test_methods import ideal_shares
+
+    """At every slot each source is less than one block from the share that its target weight gives it, and far from equal shares."""
+    rows = op5_mixing(spark, SEVERAL_BLOCKS).collect()
+    docs = spark.read.parquet(f"{SEVERAL_BLOCKS}/documents.parquet")
     assert Counter(r.source for r in rows) == Counter(r.source for r in docs.select("source").collect()) and len({(r.slot, r.place) for r in rows}) == len(rows)
     source_of = {r.slot: r.source for r in rows}
     assert set(source_of) == set(range(len(source_of)))
-    left, taken = Counter(source_of.values()), Counter()
-    for slot in range(len(source_of)):
-        taken[source_of[slot]] += 1
-        fair = [taken[s] for s in left if taken[s] < left[s]]
-        assert not fair or max(fair) - min(fair) <= 2
+    names = sorted(set(source_of.values()))
+    no = np.array([names.index(source_of[t]) for t in range(len(source_of))])
+    blocks, taken = np.bincount(no).tolist(), np.cumsum(no[:, None] == np.arange(len(names)), axis=0)
+    given = [WEIGHTS.get(s, min(WEIGHTS.values())) for s in names]
+    assert np.abs(taken - ideal_shares(blocks, given)).max() < 1 + 1e-6
+    assert np.abs(taken - ideal_shares(blocks, [1.0] * len(names))).max() > 1.05
 
 
 def test_pipeline(spark, encoded):

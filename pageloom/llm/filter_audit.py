@@ -16,6 +16,7 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pageloom.llm.common import settle
 
@@ -36,8 +37,12 @@ def text_failures(text: Column) -> dict[str, Column]:
 
 
 def with_repeats(flagged: DataFrame, doc: str, digest: str, name: str) -> DataFrame:
-    """flagged with a column for whether a smaller id has the same digest. Only digests with several ids are joined, one row each."""
+    """flagged with a column for whether a smaller id has the same digest. Only digests with several ids are joined, one row each.
+
+    These are settled, so that the join meets them as a shuffle of its own and adaptive execution can split a digest that many rows share.
+    """
     firsts = flagged.groupBy(F.col(digest).alias("first_digest")).agg(F.min(doc).alias("first_id"), F.max(doc).alias("last_id")).where("first_id < last_id").drop("last_id")
+    firsts = settle(firsts, "audit_firsts")
     met = flagged.join(firsts, F.col(digest) == F.col("first_digest"), "left")
     return met.withColumn(name, F.coalesce(F.col(doc) > F.col("first_id"), F.lit(False))).drop("first_digest", "first_id")
 
@@ -72,8 +77,7 @@ def replay(flagged: DataFrame, filters: str, marks: list[str]) -> DataFrame:
         *[count(gone & F.col(m)).alias(f"{m}_lost") for m in marks],
     )
     letter = F.substring("filter_order", F.col("step"), F.lit(1))
-    shares = counted.groupBy(F.col("part").alias("of_part"), letter.alias("letter")).agg(F.sum("removed").alias("shapley"))
-    return counted.join(shares, (F.col("part") == F.col("of_part")) & (letter == F.col("letter"))).drop("of_part", "letter")
+    return counted.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", letter)))
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -69,7 +69,12 @@ def find_windows(docs: DataFrame, grams: DataFrame, lengths: list[int], broadcas
     alone = docs.select(*KEY, F.size("words").cast("long").alias("n_words"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("gram_id"))
     if not lengths:
         return alone
-    return alone.unionByName(exploded(lengths).hint("shuffle_merge").join(grams.hint("shuffle_merge"), same).select(*out))
+    # only places and hashes are shuffled; the words are fetched again for the few texts that a hash is found in
+    places = exploded(lengths).select(*KEY, "at", "width", "probe").hint("shuffle_merge").join(grams.select(F.col("hash").alias("probe")).distinct().hint("shuffle_merge"), "probe")
+    likely = places.groupBy(F.col("doc_id").alias("place_id"), F.col("digest").alias("place_digest")).agg(F.collect_set(F.struct("at", "width", "probe")).alias("places"))
+    met = docs.join(likely, F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.col("digest") == F.col("place_digest")))
+    runs = met.select(*KEY, F.size("words").cast("long").alias("n_words"), F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["probe"].alias("probe"), F.array_join(F.slice("words", p["at"], p["width"]), " ").alias("run")))).alias("p")).select(*KEY, "n_words", "p.*")
+    return alone.unionByName(runs.join(grams, (F.col("probe") == F.col("hash")) & (F.col("run") == F.col("gram"))).select(*KEY, "n_words", "at", "length", "gram_id"))
 
 
 def merged_spans(hits: DataFrame) -> DataFrame:

@@ -93,21 +93,36 @@ def filter_items(items: DataFrame, status: str | None = None, kind: str | None =
     return items
 
 
-def apply_patches(items: DataFrame, patches: DataFrame) -> DataFrame:
+def merged_patches(patches: DataFrame, order: str = "ord", content: tuple[str, ...] = ("type", "corrected_text", "corrected_table")) -> DataFrame:
+    """One row for each item of patches(doc_id, item_id, status and content columns), as if they came one after another in the order of a column.
+
+    Each column has the last value given. A patch without a status that changes content sets the status `edited`. Without such a column, patches come in the order
+    of their values.
+    """
+    held = [c for c in content if c in patches.columns]
+    step = F.col(order) if order in patches.columns else F.struct("status", *held)
+    changes = F.lit(False)
+    for c in held:
+        changes = changes | F.col(c).isNotNull()
+    status = F.coalesce("status", F.when(changes, F.lit("edited")))
+    last = lambda value: F.max_by(value, F.when(value.isNotNull(), step))
+    return patches.groupBy("doc_id", "item_id").agg(last(status).alias("status"), *[last(F.col(c)).alias(c) for c in held])
+
+
+def apply_patches(items: DataFrame, patches: DataFrame, order: str = "ord") -> DataFrame:
     """items with patches(doc_id, item_id, status, type, corrected_text) laid over them.
 
-    A given status stands; otherwise an item with changed content becomes `edited`. removed follows from the status, and a
-    correction made before stands where a patch has none. A document's patches are applied only if items exist for all of them.
+    Several patches of an item are merged in the order of a column. A given status stands; otherwise an item with changed content becomes `edited`. removed
+    follows from the status, and a correction made before stands where a patch has none. A document's patches are applied only if items exist for all of them.
     """
     refused = unknown_ids(items, patches).select("doc_id").distinct()
-    patches = patches.join(refused, "doc_id", "left_anti")
-    p = patches.select("doc_id", "item_id", F.col("status").alias("new_status"), F.col("type").alias("new_type"), F.col("corrected_text").alias("new_text"), F.lit(True).alias("patched"))
+    patches = merged_patches(patches.join(refused, "doc_id", "left_anti"), order)
+    p = patches.select("doc_id", "item_id", F.col("status").alias("new_status"), F.col("type").alias("new_type"), F.col("corrected_text").alias("new_text"))
     met = items.join(p, ["doc_id", "item_id"], "left")
-    edited = F.col("patched") & (F.col("new_type").isNotNull() | F.col("new_text").isNotNull())
-    status = F.coalesce("new_status", F.when(edited, F.lit("edited")), F.col("status"))
+    status = F.coalesce("new_status", "status")
     before = F.col("corrected_text") if "corrected_text" in items.columns else F.lit(None).cast("string")
     out = met.withColumns({"status": status, "type": F.coalesce("new_type", "type"), "corrected_text": F.coalesce("new_text", before)})
-    return out.withColumn("removed", F.col("status") == "removed").drop("new_status", "new_type", "new_text", "patched")
+    return out.withColumn("removed", F.col("status") == "removed").drop("new_status", "new_type", "new_text")
 
 
 def patched_content(target: Column, original: Column, text: Column, table: Column, block_text: Column, block_table: Column, block_entries: Column) -> Column:

@@ -35,12 +35,14 @@ def read_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
     return spark.read.format(kind).load(path)
 
 
-def upserted(records: DataFrame, changes: DataFrame, key: str = "id", stamp: Column | None = None) -> DataFrame:
+def upserted(records: DataFrame, changes: DataFrame, key: str = "id", stamp: Column | None = None, order: str = "ord") -> DataFrame:
     """records with changes laid over them, and new keys added; a null in a change leaves the field as it is.
 
-    Several changes of one key in one call are merged in no fixed order; give one row a key.
+    Several changes of one key are merged first, in the order of a column of changes, or of their values if there is no such column: each field has the last value given.
     """
-    changed = [c for c in changes.columns if c != key]
+    changed = [c for c in changes.columns if c not in (key, order)]
+    step = F.col(order) if order in changes.columns else F.struct(*changed)
+    changes = changes.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), step)).alias(c) for c in changed])
     met = records.join(changes.select(key, *[F.col(c).alias(f"_{c}") for c in changed], F.lit(True).alias("_hit")), key, "full")
     out = met.select(key, *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in records.columns if c != key], "_hit")
     if stamp is not None and "updated_at" in out.columns:

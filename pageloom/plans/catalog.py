@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "audit_chain_status"
 #: Modules that hold QUERIES and ORACLES dictionaries.
-MODULES = ("audit_queries", "review_queries", "text_queries", "layout_queries", "sequential_queries", "rendering_queries", "display_queries", "publication_queries", "structure_queries", "edit_queries")
+MODULES = ("audit_queries", "review_queries", "text_queries", "layout_queries", "sequential_queries", "rendering_queries", "display_queries", "publication_queries", "structure_queries", "edit_queries", "outline_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

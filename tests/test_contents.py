@@ -125,3 +125,64 @@ def test_pages_and_titles_pair_by_cost():
     # an open line below which text goes on, and one that a row takes
     assert found(line("open", "Chapter 1: A", 70, 100), line("text", "long one", 70, 113), line("row", "Topic", 90, 140, "3")) == [("Chapter 1: A long one", None), ("Topic", "3")]
     assert found(line("open", "Chapter 1: A", 70, 100), line("row", "long one", 70, 112, "3")) == [("Chapter 1: A long one", "3")]
+
+
+OUTLINE = "doc_id long, sequence long, title string, level int, printed string, target long"
+
+
+def test_chapters_are_laid_over_the_outline_in_turn(spark):
+    entries = [(1, 0, "Preface", 1, None, 1), (1, 1, "Water rights and the law", 2, None, 10), (1, 2, "Index", 1, None, 40), (2, 0, "Other", 1, None, 5), (3, 0, "3. Land", 2, None, 30)]
+    # the second chapter is like what the first has put in, which is a candidate by now; the last one names its row by number alone
+    chapters = [(1, 1, 20, "Chapter 1: A wholly new topic"), (1, 2, 21, "Chapter 2: A wholly new topic"), (1, 3, 12, "Chapter 3: Water rights and the laws"), (3, 3, 29, "Chapter 3: Sea and sky")]
+    got = contents.with_chapters(spark.createDataFrame(entries, OUTLINE), spark.createDataFrame(chapters, "doc_id long, number int, page int, title string"))
+    rows = [(r.doc_id, r.sequence, r.title, r.level, r.target) for r in got.orderBy("doc_id", "sequence").collect()]
+    assert rows == [(1, 0, "Preface", 1, 1), (1, 1, "Water rights and the law", 1, 12), (1, 2, "Chapter 1: A wholly new topic", 1, 21), (1, 3, "Index", 1, 40), (2, 0, "Other", 1, 5), (3, 0, "3. Land", 1, 29)]
+    # against each chapter on its own: nothing put in is a candidate, and rows stay where they were
+    assert contents.with_chapters(spark.createDataFrame(entries, OUTLINE), spark.createDataFrame([], "doc_id long, number int, page int, title string")).count() == 5
+
+
+def test_folds_against_plain_steps(spark):
+    import random
+
+    from pageloom.operators.sequential import similarity
+
+    r = random.Random(2)
+    words = "law of water land sea air rights duty courts juries".split()
+    title = lambda: " ".join(r.choice(words) for _ in range(r.randint(2, 4)))
+    for _ in range(60):
+        entries = [(1, False, k, 0, {title()}, None, r.choice((1, 2, 3)), r.choice((None, 3 * k, 3 * k + 1))) for k in range(r.randint(0, 7))]
+        chapters = sorted([(1, True, r.randint(1, 20), n, {title()}, n, 1, None) for n in range(1, r.randint(2, 6))], key=lambda c: c[2:4])
+        outline = [[k, e[4], e[5], e[6], e[7]] for k, e in enumerate(entries)]
+        for c in chapters:
+            page = c[2]
+            ranked = []
+            for row in outline:
+                away = abs(row[4] - page) if row[4] is not None else 999
+                if away <= 2 or row[2] == c[5]:
+                    ranked.append(similarity(c[4], row[1]) + (0.35 if row[2] == c[5] else 0) - 0.04 * away)
+                else:
+                    ranked.append(-9)
+            if ranked and max(ranked) >= 0.55:
+                outline[ranked.index(max(ranked))][3:] = [1, page]
+            else:
+                at = [k for k, row in enumerate(outline) if row[4] is not None and row[4] > page]
+                outline.insert(at[0] if at else len(outline), [("new", c[3]), c[4], c[5], 1, page])
+        got = contents.lifts(entries + [(*c[:7], c[2]) for c in chapters])
+        assert [(x[4], x[5], x[3]) for x in got] == [(row[3], row[4], isinstance(row[0], tuple)) for row in outline]
+
+
+def test_local_headings_once(spark):
+    entries = [(1, 0, "Chapter 1: Law", 1, None, 5), (1, 1, "Early law", 3, None, 6), (1, 2, "Chapter 2: Sea", 1, None, 9)]
+    chapters = [(1, 1, 5), (1, 2, 9)]
+    local = [(1, 1, 0, "Same heading", "6"), (1, 1, 1, "Same heading", "7"), (1, 1, 2, "Early law", "6"), (1, 1, 3, "The same heading", "8"), (1, 2, 0, "Same heading", "9")]
+    got = contents.with_local_entries(spark.createDataFrame(entries, OUTLINE), spark.createDataFrame(chapters, "doc_id long, number int, page int"), spark.createDataFrame(local, "doc_id long, number int, place int, title string, printed string"))
+    assert [(r.title, r.level, r.printed) for r in got.orderBy("sequence").collect()] == [("Chapter 1: Law", 1, None), ("Early law", 2, None), ("Same heading", 2, "6"), ("The same heading", 2, "8"), ("Chapter 2: Sea", 1, None), ("Same heading", 2, "9")]
+
+
+def test_warnings_of_outlines(spark):
+    docs = spark.createDataFrame([(1, 10), (2, 10), (3, 0), (4, None), (5, 3)], "doc_id long, pages int")
+    pages = spark.createDataFrame([(1, 2), (1, 3)], "doc_id long, page int")
+    entries = spark.createDataFrame([(1, 1), (5, 2)], "doc_id long, level int")
+    chapters = spark.createDataFrame([(2, 1)], "doc_id long, number int")
+    got = {r.doc_id: r.warnings for r in contents.outline_warnings(docs, pages, entries, chapters).collect()}
+    assert got == {1: [], 2: [contents.NO_CONTENTS], 3: [contents.NO_PAGES], 4: [contents.NO_PAGES], 5: [contents.NO_CONTENTS, contents.NO_CHAPTERS]}

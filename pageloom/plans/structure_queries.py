@@ -11,6 +11,7 @@ from pageloom.functions import geometry, tables, text
 from pageloom.operators import audit, blocks, contents, contents_rows, hierarchy, metadata, sequential
 from pageloom.plans.inputs import RECORDS_SQL, duck, records, table
 from pageloom.plans.layout_queries import BOX_SQL, _boxes
+from pageloom.sources import layouts
 from pageloom.sources import records as stored
 
 RECORDS = duck(RECORDS_SQL)
@@ -46,6 +47,28 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents_rows.page_entries(contents_lines(spark, sf_dir)).select("doc_id", "ord", "title", "printed", "level")
 
 
+#: Line items as parts of a layout: members of a list, texts, and texts that are left out.
+PARTS_SQL = "SELECT l_orderkey AS doc_id, l_partkey AS k, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS n FROM {lineitem}"
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts as JSON, an order each, read again and made into blocks: texts, a list, and a table with a caption, a header row in every other one and all cells in its grid in every third."""
+    parts = spark.sql(PARTS_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+    prov = lambda top: F.array(F.struct(F.lit(1).alias("page_no"), F.struct(F.lit(10.0).alias("l"), top.cast("double").alias("t"), F.lit(90.0).alias("r"), (top - 5).cast("double").alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin")).alias("bbox")))
+    ref = F.concat(F.lit("#/texts/"), F.col("n").cast("string"))
+    text = F.struct("n", ref.alias("self_ref"), F.when(F.col("k") % 4 == 0, "list_item").otherwise("text").alias("label"), F.concat(F.lit(" Part "), F.col("k").cast("string")).alias("text"), F.when(F.col("k") % 8 == 0, "1.").alias("marker"), (F.col("k") % 8 == 0).alias("enumerated"), (F.col("k") % 3).cast("int").alias("level"), prov(800 - 20 * F.col("n")).alias("prov"), F.struct((F.col("k") % 4 == 3).cast("string").alias("exclude_from_output")).alias("meta"))
+    cell = F.struct("n", F.lit(0).alias("start_col_offset_idx"), F.col("n").alias("start_row_offset_idx"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("text"), ((F.col("doc_id") % 2 == 0) & (F.col("n") == 0)).alias("column_header"))
+    held = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(text)).alias("texts"), F.array_sort(F.collect_list(cell)).alias("cells"), F.array_sort(F.collect_list(F.when(F.col("k") % 4 == 0, F.struct("n", ref.alias("$ref"))))).alias("children"), F.count("*").alias("size"))
+    grid = F.when(F.col("doc_id") % 3 == 0, F.array("cells"))
+    shape = F.struct(F.when(F.col("doc_id") % 5 == 0, F.col("size") + 1).cast("int").alias("num_rows"), F.lit(2).alias("num_cols"), F.when(grid.isNull(), F.col("cells")).alias("table_cells"), grid.alias("grid"))
+    made = held.select("doc_id", F.concat(F.lit("order_"), F.col("doc_id").cast("string")).alias("name"), "texts", F.when(F.size("children") > 0, F.array(F.struct(F.lit("#/groups/0").alias("self_ref"), F.lit("list").alias("label"), "children"))).alias("groups"), F.array(F.struct(F.lit("#/tables/0").alias("self_ref"), F.lit("table").alias("label"), prov(F.lit(100.0)).alias("prov"), F.array(F.struct(F.lit("#/texts/0").alias("$ref"))).alias("captions"), shape.alias("data"))).alias("tables"), F.create_map(F.lit("1"), F.struct(F.struct(F.lit(595.0).alias("width"), F.when(F.col("doc_id") % 7 > 0, 842.0).otherwise(0.0).alias("height")).alias("size"))).alias("pages"))
+    read = layouts.typed(made.select("doc_id", F.to_json(F.struct(*made.columns[1:])).alias("json")))
+    sure = parts.select("doc_id", ref.alias("ref"), (F.col("k") % 10 / 10).alias("confidence"))
+    found = layouts.layout_blocks(read, sure, parts.select("doc_id", ref.alias("ref")).limit(0))
+    flat = lambda c, f: F.array_join(F.transform(c, f), "~")
+    return found.select("doc_id", "ord", "block_id", "label", "text", "confidence", "table_data.caption", flat("table_data.headers", lambda h: h).alias("headers"), F.size("table_data.rows").alias("rows"), flat("list_entries", lambda e: F.concat_ws(":", e["marker"], e["text"], e["level"].cast("string"))).alias("entries"), "bounds.t", "bounds.b")
+
+
 def heading_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     forms = [F.col("p_name"), F.lit("Recommendations"), F.concat(F.lit("1.2.3 "), "p_name"), F.concat(F.lit("Figure "), k.cast("string"), F.lit(": x")), F.lit("Appendix IV Lists"), F.lit("Glossary of terms"), F.lit("Published by us"), F.lit("2.1) Law")]
@@ -195,7 +218,7 @@ def list_entry_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKS = ("12. ", "(3) ", "(4. ", "iv) ", "• ", "· ", "no ")
 
 
-QUERIES = {f.__name__: f for f in (page_entries, heading_classes, exclusion_reasons, changed_fields, callouts_by_page, table_twins, file_information, metadata_payload, dates_with_fallbacks, record_upserts, finished_records, deleted_artifacts, assembled_blocks, outline_in_blocks, without_local_contents, heading_styles, list_trees, list_item_order, list_entry_variants)}
+QUERIES = {f.__name__: f for f in (page_entries, layout_blocks, heading_classes, exclusion_reasons, changed_fields, callouts_by_page, table_twins, file_information, metadata_payload, dates_with_fallbacks, record_upserts, finished_records, deleted_artifacts, assembled_blocks, outline_in_blocks, without_local_contents, heading_styles, list_trees, list_item_order, list_entry_variants)}
 
 _NTH = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem"
 _CLAIMED = f"b0 AS (SELECT doc_id, page, concat_ws('-', l_linenumber, l_partkey, t::INT) AS id, (ord * 1000 + t)::BIGINT AS o, l_partkey % 3 = 0 AS heads, l_partkey % 100 / 100 AS sure, (l + r) / 2 AS x, (t + b) / 2 AS y, NULL::BIGINT AS under FROM ({BOX_SQL}))"
@@ -223,6 +246,18 @@ whole AS (SELECT p.doc_id, p.printed, concat_ws(' ', u.text, p.title, d.text) AS
 opened AS (SELECT doc_id, NULL AS printed, text AS title, l, t FROM texts WHERE text LIKE 'Chapter %'),
 every AS (SELECT doc_id, printed, title, coalesce(led, l) AS l, t FROM paired UNION ALL SELECT * FROM whole UNION ALL SELECT * FROM opened)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY l > 200, t, l) - 1)::INT AS ord, title, printed, CASE WHEN title LIKE 'Chapter %' THEN 1 ELSE 2 END AS level FROM every""",
+    "layout_blocks": f"""
+WITH p AS ({PARTS_SQL.replace("{lineitem}", "lineitem")}),
+x AS (SELECT *, 'Part ' || k AS word, n::DOUBLE AS rank FROM p),
+m AS (SELECT * FROM x WHERE k % 4 = 0),
+b AS (SELECT doc_id, rank, '#/texts/' || n AS block_id, 'text' AS label, word AS text, k % 10 / 10 AS confidence, NULL AS entries, 42 + 20 * n AS t, 47 + 20 * n AS b FROM x WHERE k % 4 IN (1, 2)
+      UNION ALL SELECT doc_id, min(n) - 0.25, '#/groups/0', 'list', string_agg(CASE WHEN k % 8 = 0 THEN '1. ' ELSE '• ' END || word, chr(10) ORDER BY n), min(k % 10 / 10), string_agg(CASE WHEN k % 8 = 0 THEN '1.' ELSE '' END || ':' || word || ':' || k % 3, '~' ORDER BY n), 42 + 20 * min(n), 47 + 20 * max(n) FROM m GROUP BY 1
+      UNION ALL SELECT DISTINCT doc_id, -1, '#/synthetic/document-title', 'title', 'order ' || doc_id, 1, NULL, NULL, NULL FROM p),
+tab AS (SELECT doc_id, 1000 AS rank, count(*) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_rows, list('c' || k ORDER BY n) AS cs, arg_min(k, n) AS first_k FROM p GROUP BY 1),
+tb AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN cs[1] || '~' ELSE 'Column 1~Column 2' END AS headers, [c || ' | ' FOR c IN cs] AS ls FROM tab)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS ord, block_id, label, text, confidence::DOUBLE AS confidence, caption, headers, rows, entries, CASE WHEN doc_id % 7 > 0 THEN t END::DOUBLE AS t, CASE WHEN doc_id % 7 > 0 THEN b END::DOUBLE AS b FROM (
+  SELECT doc_id, rank, block_id, label, text, confidence, NULL AS caption, NULL AS headers, NULL AS rows, entries, t, b FROM b
+  UNION ALL SELECT doc_id, rank, '#/tables/0', 'table', CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Column 1 | Column 2' || chr(10) END || array_to_string(ls, chr(10)), NULL, 'Part ' || first_k, headers, n_rows - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END, NULL, 742, 747 FROM tb) q""",
     "heading_classes": """
 WITH t AS (SELECT p_partkey, p_partkey % 8 AS g FROM part)
 SELECT p_partkey, g = 1 AS is_panel, g NOT IN (3, 6) AS is_body, g = 4 AS is_appendix, g = 5 AS always_top, CASE g WHEN 2 THEN '1.2.3' WHEN 7 THEN '2.1' END AS body_number, CASE g WHEN 2 THEN 3 WHEN 7 THEN 2 END AS depth FROM t""",

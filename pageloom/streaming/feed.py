@@ -31,26 +31,30 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
 
 
+#: The status of an entry that comes after entries of later ids have been checked.
+LATE = "late"
+
+
 def append_checked(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends audit entries with their chain status; the first of a batch is held against the last of what is there.
+    """Appends audit entries with their chain status; the first of a batch is held against the last of the batches before it.
 
-    A batch that is tried again writes the same folder, so that entries are there once. Entries must come in the order of their ids, batch after batch.
+    The state of the chain is one row, the last entry, which each batch leaves in a folder of its own beside the checkpoint for the next; no batch reads what
+    is in the table. An entry whose id is not beyond that row's is `late`: it is kept, and the chain goes on without it. A batch that is tried again
+    reads and writes the same folders, so that entries are there once.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = f"{path}/batch={number}"
-        before = None
-        if number:
-            done = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
-            before = done.orderBy(F.desc("id")).limit(1).select(*batch.columns)  # one row
-        rows = batch if before is None else batch.unionByName(before)
-        checked = chain_status(rows)
-        if before is not None:
-            checked = checked.join(before.select("id"), "id", "left_anti")
-        checked.write.mode("overwrite").parquet(own)
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark, state = batch.sparkSession, f"{checkpoint}/chain"
+        last = spark.read.schema(batch.schema).parquet(f"{state}/{number - 1}").first() if number else None  # one row at most
+        rows = batch if last is None else batch.where(F.col("id") > last.id)
+        link = rows if last is None else rows.unionByName(spark.createDataFrame([last], batch.schema))
+        checked = chain_status(link) if last is None else chain_status(link).where(F.col("id") > last.id)
+        if last is not None:
+            checked = checked.unionByName(batch.where(F.col("id") <= last.id).withColumn("chain_status", F.lit(LATE)))
+        checked.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        link.orderBy(F.desc("id")).limit(1).write.mode("overwrite").parquet(f"{state}/{number}")
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
 
 
 def _round(x: float, places: int) -> float:

@@ -38,6 +38,22 @@ def test_checked_audit_stream(spark, tmp_path):
     assert got == [(k, "broken" if k == 7 else "linked") for k in range(12)]
 
 
+def test_chain_state_over_restarts_and_late_entries(spark, tmp_path):
+    """Each start goes on from the row that the last batch has left; the table that has been written isn't read, and late entries are told."""
+    schema = "id long, entry_hash string, prev_hash string"
+    batches = [[0, 1, 2], [3, 5], [4, 6], [], [7]]
+    for n, ids in enumerate(batches):
+        rows = [(k, f"h{k}", "0" * 64 if k == 0 else f"h{3 if k == 5 else 5 if k == 6 else k - 1}") for k in ids]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={n}"))
+        stream = feed.follow(spark, str(tmp_path / "in" / "part=*"), spark.createDataFrame([], schema).schema)
+        feed.append_checked(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+        if n == 1:  # what is in the table is no part of the state
+            (tmp_path / "out" / "batch=0").rename(tmp_path / "moved")
+    (tmp_path / "moved").rename(tmp_path / "out" / "batch=0")
+    got = [(r.id, r.chain_status) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("id").collect()]
+    assert got == [(k, "late" if k == 4 else "linked") for k in range(8)]
+
+
 def test_patches_of_unknown_items_are_refused(spark):
     items = spark.createDataFrame([(1, "a", "text", "pending"), (2, "a", "text", "pending")], "doc_id long, item_id string, type string, status string")
     patches = spark.createDataFrame([(1, "a", None, None, "new"), (1, "zz", "accepted", None, None), (2, "a", "accepted", None, None)], "doc_id long, item_id string, status string, type string, corrected_text string")

@@ -174,7 +174,7 @@ def title_case(titles):
 
 
 def normal_title(title: Column, organisation: str) -> Column:
-    """A title without addresses, publisher, kind of report and dates, its words in title case."""
+    """A title without addresses, publisher, kind of report and dates, its words in title case (fixed patterns)."""
     out = F.regexp_replace(clean_line(title), r"(?i)^.*?(?:https?://|www\.)\S+\s+", "")
     out = F.regexp_replace(out, rf"(?i)\s*/\s*{organisation}\b.*$", "")
     out = F.regexp_replace(out, rf"(?i)\s*[|\-–—:]?\s*(?:final\s+)?report(?:\s+\d+)?(?:\s*[|\-–—]?\s*{MONTHS}\s+\d{{4}})?\s*$", "")
@@ -184,6 +184,7 @@ def normal_title(title: Column, organisation: str) -> Column:
 
 
 def valid_title(title: Column) -> Column:
+    # what no title says, and how long titles are (fixed values)
     barred = r"(?i)(?:microsoft\s+word|\.doc\b|@|www\.|isbn|copyright|\bthis report\b|\breflects the law\b|\bestablished under\b|\bfinal report view\b)"
     return words_in(title).between(1, 18) & F.length(title).between(5, 180) & ~title.rlike(barred)
 

@@ -120,7 +120,7 @@ def metadata_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     one = lambda name, value, page, score: F.struct(F.lit(name).alias("field"), value.alias("value"), page.cast("int").alias("page"), F.lit("rule").alias("method"), score.alias("confidence"))
     found = rows.select(k.alias("doc_id"), F.explode(F.array(one("title", F.col("o_orderpriority"), k % 8 + 1, F.lit(0.9)), one("publisher", F.lit("Press "), F.when(k % 2 == 0, 2), k % 10 / 10))).alias("f")).select("doc_id", "f.*")
-    made = metadata.metadata_payload(rows.where("o_orderkey % 4 > 0").select(k.alias("doc_id")), found)
+    made = metadata.metadata_payload(rows.select(k.alias("doc_id")), found)
     shown = [F.concat_ws("|", *[F.col(f"fields.{f}.{c}").cast("string") for c in ("band", "page", "evidence", "source")]).alias(f) for f in ("title", "publisher", "citations")]
     return made.select("doc_id", F.map_values("metadata").alias("v"), "metadata", "fields").select("doc_id", F.size("v").alias("values"), F.col("metadata.publisher").alias("press"), *shown)
 
@@ -274,7 +274,7 @@ SELECT k AS p_partkey, 'Column 1 | Size' || CASE WHEN k % 5 > 0 THEN chr(10) ||
     "metadata_payload": """
 SELECT o_orderkey AS doc_id, 5 AS values, 'Press' AS press, 'high|' || (k % 8 + 1) || '|Rule-based extraction matched “' || o_orderpriority || '”.|Extracted text · page ' || (k % 8 + 1) || ' · rule' AS title,
        CASE WHEN k % 10 >= 8 THEN 'high' WHEN k % 10 >= 6 THEN 'med' ELSE 'low' END || '|' || CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END || '|Rule-based extraction matched “Press”.|Extracted text · ' || CASE WHEN k % 2 = 0 THEN 'page 2' ELSE 'pages 1–8' END || ' · rule' AS publisher,
-       'low|1|No value matched the configured metadata rules.|Extracted text · pages 1–8 · not_found' AS citations FROM (SELECT *, o_orderkey AS k FROM orders) WHERE k % 4 > 0""",
+       'low|1|No value matched the configured metadata rules.|Extracted text · pages 1–8 · not_found' AS citations FROM (SELECT *, o_orderkey AS k FROM orders)""",
     "dates_with_fallbacks": """
 SELECT k AS doc_id, CASE WHEN k % 4 = 0 THEN '2011-05' WHEN k % 3 = 1 THEN (1990 + k % 20)::VARCHAR ELSE '2007' END AS value, CASE WHEN k % 4 = 0 OR k % 3 = 1 THEN 1 END AS page,
        CASE WHEN k % 4 = 0 THEN 'subject' WHEN k % 3 = 1 THEN 'copyright_year' ELSE 'file_name' END AS method, CASE WHEN k % 4 = 0 THEN 0.88 WHEN k % 3 = 1 THEN 0.82 ELSE 0.45 END::DOUBLE AS confidence

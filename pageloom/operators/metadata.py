@@ -39,11 +39,11 @@ DATES = [
     (r"©[^\n]*?\b((?:19|20)\d{2})\b", "copyright_year", 0.82),
     (r"(?<!\d)((?:19|20)\d{2})(?!\d)", "file_name", 0.45),
 ]
-#: Citation patterns by kind, in order, and what a line must hold for each (fixed values).
+#: Citation patterns by kind, in order, and what a line must hold for each: in small letters where the pattern takes any case, else as it stands (fixed values).
 CITATIONS = {
     "isbn": (r"(?i)\bISBN\s*:?[ \t]*((?:97[89][ \t-]*)?[0-9X](?:[0-9X \t-]{8,20}[0-9X]))", ("isbn",)),
     "series": (r"(?i)\bSeries\s*:\s*(Report[^.;]*)", ("series",)),
-    "legislation": (r"\b([A-Z][A-Za-z'’&-]*(?:[ \t]+[A-Z][A-Za-z'’&-]*)*[ \t]+Act[ \t]+(?:19|20)\d{2}(?:[ \t]+\([A-Za-z]{2,4}\))?)", ("act ", "act\t")),
+    "legislation": (r"\b([A-Z][A-Za-z'’&-]*(?:[ \t]+[A-Z][A-Za-z'’&-]*)*[ \t]+Act[ \t]+(?:19|20)\d{2}(?:[ \t]+\([A-Za-z]{2,4}\))?)", ("Act 1", "Act 2", "Act\t", "Act  ")),
     "case": (r"\b([A-Z][A-Za-z'’.-]+[ \t]+v[ \t]+[A-Z][A-Za-z'’.-]+(?:[ \t]+\[(?:19|20)\d{2}\][ \t]+[A-Z0-9][A-Za-z0-9 ]{1,20}[ \t]+\d+)?)", (" v ", "\tv", " v\t")),
 }
 #: Words of an author that is an authority (fixed values).
@@ -140,7 +140,8 @@ def citations(lines: DataFrame, most: int = 50, organisation: str | None = None)
             found = F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
         prefix = {"isbn": "ISBN ", "series": "Series: "}.get(kind, "")
         rows = F.transform(found, lambda v: F.struct(F.lit(no).alias("no"), F.lit(kind).alias("kind"), F.concat(F.lit(prefix), F.trim(v)).alias("value")))
-        return F.when(holds(F.lower("line"), words), rows).otherwise(F.array().cast("array<struct<no:int,kind:string,value:string>>"))
+        told = F.lower("line") if pattern.startswith("(?i)") else F.col("line")
+        return F.when(holds(told, words), rows).otherwise(F.array().cast("array<struct<no:int,kind:string,value:string>>"))
 
     rows = [matches(no, kind, *rule) for no, (kind, rule) in enumerate(CITATIONS.items())]
     found = lines.select("doc_id", "page", "pos", F.explode(F.concat(*rows)).alias("c")).select("doc_id", "page", "pos", "c.*")

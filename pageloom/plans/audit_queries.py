@@ -94,9 +94,9 @@ def approval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages made up of the page of an order and words of five kinds."""
-    words = F.element_at(F.array(*[F.lit(w) for w in MESSAGES]), (F.col("o_orderkey") % len(MESSAGES) + 1).cast("int"))
-    message = F.concat(F.lit("Page "), F.col("o_custkey").cast("string"), F.lit(": "), words)
+    """Messages made up of the page of an order and two pieces, of which the kind that stands first in the rules counts; some orders have none."""
+    piece = lambda k: F.element_at(F.array(*[F.lit(w) for w in MESSAGES]), (k % len(MESSAGES) + 1).cast("int"))
+    message = F.when(F.col("o_custkey") % 17 > 0, F.concat(F.lit("Page "), F.col("o_custkey").cast("string"), F.lit(": "), piece(F.col("o_orderkey")), F.lit(" / "), piece(F.col("o_custkey"))))
     return table(spark, sf_dir, "orders").select("o_orderkey", scope.error_class(message).alias("kind"))
 
 
@@ -141,7 +141,11 @@ ORACLES = {
     "document_search": f"SELECT id, title, file_name FROM ({RECORDS}) WHERE coalesce(state, 'idle') = 'idle' AND contains(lower(title || ' ' || file_name || ' ' || coalesce(uploaded_by, '')), 'machinery-1')",
     "workflow_unlock": f"SELECT id, {_DONE} AS review_open, {_DONE} AS metadata_open, {_DONE} AS approval_open, {_DONE} AND (metadata_confirmed OR approved_at IS NOT NULL) AS preview_open FROM ({RECORDS})",
     "approval_gate": f"SELECT id, CASE WHEN record_key % 2 > 0 THEN 'open_review_items' WHEN NOT metadata_confirmed THEN 'metadata_not_confirmed' WHEN trim(title) = '' OR trim(publisher) = '' THEN 'title_or_publisher_missing' END AS reason FROM ({RECORDS})",
-    "error_class": "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'memory' WHEN 1 THEN 'password' WHEN 2 THEN 'damaged' WHEN 3 THEN 'network' WHEN 4 THEN 'unsupported' WHEN 5 THEN 'other' WHEN 6 THEN 'password' ELSE 'damaged' END AS kind FROM orders",
+    "error_class": f"""
+WITH w AS (SELECT {list(MESSAGES)!r} AS w),
+m AS (SELECT o_orderkey, CASE WHEN o_custkey % 17 > 0 THEN lower('Page ' || o_custkey || ': ' || w[o_orderkey % 8 + 1] || ' / ' || w[o_custkey % 8 + 1]) END AS m FROM orders, w)
+SELECT o_orderkey, CASE WHEN m LIKE '%out of memory%' THEN 'memory' WHEN m LIKE '%password%' OR m LIKE '%encrypted%' THEN 'password' WHEN m LIKE '%xref%' OR m LIKE '%truncated%' THEN 'damaged'
+       WHEN m LIKE '%socket%' OR m LIKE '%network%' OR m LIKE '%timed out%' THEN 'network' WHEN m LIKE '%not a pdf%' THEN 'unsupported' ELSE 'other' END AS kind FROM m""",
     "eta_estimate": f"SELECT o_orderkey, s AS seconds, CASE WHEN s >= 3600 THEN (s // 3600) || ' hr ' || (s % 3600 // 60) || ' min ' || (s % 60) || ' sec' WHEN s >= 60 THEN (s // 60) || ' min ' || (s % 60) || ' sec' ELSE s || ' sec' END AS shown FROM (SELECT o_orderkey, {_ETA} AS s FROM orders)",
     "stage_progress": "SELECT l_orderkey, l_linenumber, greatest(l_linenumber * 10, least(l_quantity * 2, l_linenumber * 10 + 20))::DOUBLE AS progress, greatest(1, ceil(90.5 - l_quantity * 2))::BIGINT AS remaining FROM lineitem",
     "ewma_rate": """

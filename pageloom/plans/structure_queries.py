@@ -72,7 +72,7 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heading_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     forms = [F.col("p_name"), F.lit("Recommendations"), F.concat(F.lit("1.2.3 "), "p_name"), F.concat(F.lit("Figure "), k.cast("string"), F.lit(": x")), F.lit("Appendix IV Lists"), F.lit("Glossary of terms"), F.lit("Published by us"), F.lit("2.1) Law")]
-    title = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    title = F.concat(F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int")), F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise(""))
     return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(name) for name, c in hierarchy.heading_classes(title).items()])
 
 
@@ -259,8 +259,11 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS ord,
   SELECT doc_id, rank, block_id, label, text, confidence, NULL AS caption, NULL AS headers, NULL AS rows, entries, t, b FROM b
   UNION ALL SELECT doc_id, rank, '#/tables/0', 'table', CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Column 1 | Column 2' || chr(10) END || array_to_string(ls, chr(10)), NULL, 'Part ' || first_k, headers, n_rows - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END, NULL, 742, 747 FROM tb) q""",
     "heading_classes": """
-WITH t AS (SELECT p_partkey, p_partkey % 8 AS g FROM part)
-SELECT p_partkey, g = 1 AS is_panel, g NOT IN (3, 6) AS is_body, g = 4 AS is_appendix, g = 5 AS always_top, CASE g WHEN 2 THEN '1.2.3' WHEN 7 THEN '2.1' END AS body_number, CASE g WHEN 2 THEN 3 WHEN 7 THEN 2 END AS depth FROM t""",
+WITH t AS (
+  SELECT p_partkey, [p_name, 'Recommendations', '1.2.3 ' || p_name, 'Figure ' || p_partkey || ': x', 'Appendix IV Lists', 'Glossary of terms', 'Published by us', '2.1) Law'][p_partkey % 8 + 1] || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_size ELSE '' END AS t FROM part),
+n AS (SELECT *, lower(t) AS low, regexp_extract(t, '^([0-9]+([.][0-9]+)+)[.)]? +[^ ].*$', 1) AS number FROM t)
+SELECT p_partkey, regexp_full_match(low, 'recommendations?|case stud(y|ies)( [0-9]+)?|example|note') AS is_panel, NOT regexp_matches(low, '^((figure|table) [0-9]+ *[:.]|(published|printed|ordered) by )') AS is_body, regexp_matches(low, '^appendix ([a-z]|[0-9]+|[ivxlcdm]+) ') AS is_appendix,
+       regexp_full_match(low, 'appendices|glossary( of .*)?|bibliography|references|index') AS always_top, nullif(number, '') AS body_number, CASE WHEN number <> '' THEN len(string_split(number, '.')) END::INT AS depth FROM n""",
     "exclusion_reasons": f"""
 SELECT CASE WHEN r > 83 OR b > 73 THEN 'text positioned outside the visible PDF page' WHEN l_partkey % 5 = 0 THEN 'repeated decorative fragment' WHEN l_partkey % 3 = 0 THEN 'watermark or decorative background text' ELSE 'none' END AS reason, count(*) AS items
 FROM ({BOX_SQL}) GROUP BY 1""",

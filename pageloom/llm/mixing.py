@@ -38,7 +38,7 @@ from pageloom.llm.common import free_names
 BLOCK = 16
 #: Blocks of a schedule, about, from which on blocks become larger.
 BLOCKS = 1_000_000
-BUCKET, GROUP = 4000, 1000
+BUCKET, GROUP = 500, 1000
 #: Rows of a table that is broadcast; a larger one is joined by a shuffle.
 SMALL = 200_000
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm import text_stats
-from pageloom.llm.common import free_names, in_turn
+from pageloom.llm.common import free_names, in_turn, settle
 
 #: A vote; SILENT is that of a rule which a text is too short for, and is no evidence, while abstaining is.
 GOOD, BAD, ABSTAIN, SILENT = 1, 0, 2, 3
@@ -153,8 +153,11 @@ def judge(df: DataFrame, stats: Column, model: LabelModel, threshold: float = 0.
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that pass the base rules and have a posterior of the threshold or more, columns unchanged."""
+    """The rows of docs that pass the base rules and have a posterior of the threshold or more, columns unchanged.
+
+    The statistics of a text are worked out once: the rows are settled with them, the model is fitted to the table and judges it.
+    """
     stats, pattern = free_names(docs, "stats_now", "votes_now")
-    model = fit(docs.select(text_statistics(F.col(text)).alias(stats)).select(vote_pattern(F.col(stats)).alias(pattern)), pattern)
-    judged = docs.withColumn(stats, text_statistics(F.col(text)))
+    judged = settle(docs.withColumn(stats, text_statistics(F.col(text))), "rule_statistics")
+    model = fit(judged.select(vote_pattern(F.col(stats)).alias(pattern)), pattern)
     return judged.where(judge(judged, F.col(stats), model, threshold)["kept"]).drop(stats)

@@ -17,20 +17,23 @@ def connected_components(links: DataFrame) -> DataFrame:
     which keeps the components and leaves far fewer links between hubs. Then every node each round takes the smallest label among its own, its neighbours' and its label's own
     label, so a path of length n closes in about log n rounds. Minima are combined before the shuffle,
     and the joins meet one label row a node, so a node with very many links only makes a join side
-    that adaptive execution can split. Labels are written to the shared folder after each round.
+    that adaptive execution can split. Labels are written to the shared folder after each round, and none of
+    them is broadcast: that would pass through the driver two or three times a round.
     """
     downward = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     lowest = downward.groupBy("u").agg(F.min("v").alias("low"))
     hubs = downward.join(lowest, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-    fewer = lowest.select("u", F.col("low").alias("v")).union(hubs)
+    # written before it is doubled: a plan holds whatever it uses twice two times, and all of that is the driver's
+    fewer = settle(lowest.select("u", F.col("low").alias("v")).union(hubs), "fewer")
     both = settle(fewer.union(fewer.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    discard(fewer)
     labels = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     for _ in range(MAX_ROUNDS):
-        heard = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("m"))
+        heard = both.join(labels.select(F.col("node").alias("v"), "component").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("m"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
         step = (
-            labels.join(jump, "component", "left")
-            .join(heard, "node", "left")
+            labels.join(jump.hint("merge"), "component", "left")
+            .join(heard.hint("merge"), "node", "left")
             .select("node", F.col("component").alias("before"), F.least("component", "far", "m").alias("component"))
         )
         new = settle(step, "labels")
@@ -54,7 +57,7 @@ def roots(parents: DataFrame) -> DataFrame:
     labels = settle(parents, "parents")
     for _ in range(MAX_ROUNDS):
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        step = labels.join(up, "component", "left").select("node", F.coalesce("far", "component").alias("component"), F.col("far").isNotNull().alias("moved"))
+        step = labels.join(up.hint("merge"), "component", "left").select("node", F.coalesce("far", "component").alias("component"), F.col("far").isNotNull().alias("moved"))
         new = settle(step, "parents")
         discard(labels)
         labels = new.drop("moved")

@@ -221,7 +221,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     groups = signed.where("n > 0").groupBy("digest").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
     # the numbers hold from here on, as the table is written and read again
     groups = settle(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = linked_components(groups, plain)
+    labels = settle(linked_components(groups, plain), "components")
     named = groups.select("digest", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leasts = named.groupBy("component").agg(F.min("least").alias("least")).select("component", "least.doc_id", "least.mark")
     return signed.select("doc_id", "mark", "n", "digest"), named.select("digest", "component"), leasts
@@ -253,10 +253,9 @@ def blocks_of(n: str) -> Column:
 
 
 def star_links(best: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (u, v) among best(u, v) that hold for the full sets(node, n, members)."""
-    sized = best.join(sets.select(F.col("node").alias("u"), "n"), "u")
-    parts = sized.groupBy("v").agg(blocks_of("n").alias("parts"))
-    as_member = sized.join(parts, "v").select(F.col("u").alias("node"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("centre"))
+    """The links (u, v) among best(u, v, n) that hold for the full sets(node, n, members); n is the size of u's set."""
+    parts = best.groupBy("v").agg(blocks_of("n").alias("parts"))
+    as_member = best.join(parts, "v").select(F.col("u").alias("node"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("centre"))
     as_centre = parts.select(F.col("v").alias("node"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("centre"))
     units = sets.select("node", "members").join(as_member.union(as_centre), "node")
     return units.groupBy("v", "part").applyInArrow(confirm_star, "u bigint, v bigint")
@@ -307,22 +306,24 @@ def refined(large: DataFrame, sets: DataFrame) -> DataFrame:
     places = met.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("kept"), F.first("family").alias("family"), F.first("cluster").alias("cluster"))
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.size("kept"))
     rare = places.where(prefix > 0).select("node", "family", "cluster", F.explode(F.slice("kept", F.lit(1), prefix.cast("int"))).alias("s"))
-    rare = rare.select("node", "family", "cluster", F.col("s.shingle").alias("shingle"))
+    rare = settle(rare.select("node", "family", "cluster", F.col("s.shingle").alias("shingle")), "rare")
     groups = rare.groupBy("family", "shingle").agg(F.min("node").alias("v"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
     links = rare.join(groups, ["family", "shingle"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
-    parts = connected_components(settle(links, "rare_links"))
-    return with_largest(large.select("node", "cluster").join(parts.select("node", F.col("component").alias("family")), "node").select("node", "family", "cluster"))
+    links = settle(links, "rare_links")
+    parts = connected_components(links)
+    placed = settle(large.select("node", "cluster").join(parts.select("node", F.col("component").alias("family")), "node").select("node", "family", "cluster"), "placed")
+    discard(rare, links, parts)
+    return with_largest(placed)
 
 
 def block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) that span what similar pairs connect in placed(node, family, cluster, inside), pairs inside a largest cluster left out."""
-    sized = placed.join(sets.select("node", "n"), "node")
-    sizes = sized.groupBy("family").agg(
+    """Links (u, v) that span what similar pairs connect in placed(node, family, cluster, inside, n), pairs inside a largest cluster left out."""
+    sizes = placed.groupBy("family").agg(
         blocks_of("n").alias("blocks"),
         F.ceil(2 * F.greatest(F.sum(F.when(~F.col("inside"), F.col("n"))) / BLOCK, F.count_if(~F.col("inside")) / NODES)).cast("int").alias("outer"),
         F.ceil(2 * F.greatest(F.sum(F.when(F.col("inside"), F.col("n"))) / BLOCK, F.count_if("inside") / NODES)).cast("int").alias("inner"),
     )
-    dealt = sized.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    dealt = placed.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
     pair = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
     numbers = lambda n: F.sequence(F.lit(0), n - 1)
     # a block of outer members meets the other outer blocks, and those of the largest cluster, which are numbered after them
@@ -331,9 +332,12 @@ def block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
     crossed = F.transform(numbers(F.col("inner")), lambda k: pair(F.col("block"), F.col("outer") + k))
     inner = F.transform(numbers(F.col("outer")), lambda k: pair(k, F.col("outer") + F.col("block")))
     units = F.when(F.col("blocks") == 1, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("inside"), inner).otherwise(F.concat(outer, crossed))
-    rows = sets.select("node", "members").join(dealt.select("node", "family", units.alias("units")), "node")
+    dealt = settle(dealt.select("node", "family", units.alias("units")), "dealt")
+    rows = sets.select("node", "members").join(dealt, "node")
     rows = rows.select("family", F.explode("units").alias("unit"), "node", "members").select("family", "unit.low", "unit.high", "node", "members")
-    return rows.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint")
+    found = settle(rows.groupBy("family", "low", "high").applyInArrow(confirm, "u bigint, v bigint"), "block_links")
+    discard(dealt)
+    return found
 
 
 def linked_components(nodes: DataFrame, plain: DataFrame) -> DataFrame:
@@ -344,19 +348,25 @@ def linked_components(nodes: DataFrame, plain: DataFrame) -> DataFrame:
     least = plain["doc_id"].eqNullSafe(F.col("least_id")) & (plain["mark"] == F.col("least_mark"))
     texts = plain.join(at, least).dropDuplicates(["node"]).select("node", "n", "text")
     sets = settle(with_members(texts, "text"), "sets")
+    sizes = sets.select("node", "n")
     best = links.groupBy("u").agg(F.max(F.struct("shared", (-F.col("v")).alias("v"))).alias("best")).select("u", (-F.col("best.v")).alias("v"))
+    best = settle(best.join(sizes.select(F.col("node").alias("u"), "n"), "u"), "best")
     clusters = roots(star_links(best, sets).select(F.col("u").alias("node"), F.col("v").alias("component")))
-    rest = settle(with_largest(unfinished(links, clusters)), "unfinished")
+    placed = settle(unfinished(links, clusters), "placed")
+    rest = settle(with_largest(placed).join(sizes, "node"), "unfinished")
+    discard(links, best, placed)
     merged = None
     if not rest.isEmpty():
-        sizes = rest.join(sets.select("node", "n"), "node").groupBy("family").agg(blocks_of("n").alias("blocks"))
-        large = rest.join(sizes.where("blocks > 1"), "family", "left_semi")
-        small = rest.join(sizes.where("blocks = 1"), "family", "left_semi")
-        blocks = small if large.isEmpty() else small.unionByName(settle(refined(large, sets), "refined"))
+        blocks = rest.groupBy("family").agg(blocks_of("n").alias("blocks"))
+        large = settle(rest.join(blocks.where("blocks > 1"), "family", "left_semi"), "large")
+        small = rest.join(blocks.where("blocks = 1"), "family", "left_semi")
         of = lambda end: rest.select(F.col("node").alias(end), F.col("cluster").alias(f"{end}_cluster"))
-        found = block_links(blocks, sets).join(of("u"), "u").join(of("v"), "v")
-        merged = connected_components(settle(found.select(F.col("u_cluster").alias("u"), F.col("v_cluster").alias("v")).where("u != v").distinct(), "confirmed"))
-    discard(links, sets, rest)
+        compared = small if large.isEmpty() else small.unionByName(settle(refined(large.drop("n"), sets).join(sizes, "node"), "refined"))
+        found = block_links(compared, sets)
+        between = settle(found.join(of("u"), "u").join(of("v"), "v").select(F.col("u_cluster").alias("u"), F.col("v_cluster").alias("v")).where("u != v").distinct(), "confirmed")
+        merged = connected_components(between)
+        discard(large, found, between)
+    discard(sets, rest)
     if merged is None:
         return clusters
     of_cluster = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))

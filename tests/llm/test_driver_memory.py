@@ -44,6 +44,14 @@ def test_plans_stay_small(spark, plans, monkeypatch):
     assert max(joins.values()) <= 4, joins
 
 
+def test_plans_of_the_pipeline_stage_stay_small(spark, plans, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "NODES", 40)
+    docs = spark.createDataFrame(family(100), "doc_id long, text string")
+    assert sorted(r.doc_id for r in minhash_dedup.keep_one(docs).collect()) == [2 * k for k in range(100)]
+    assert "rare_links" in dict(plans)
+    assert max(len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash|BroadcastNestedLoop)Join\b", plan)) for _, plan in plans) <= 4
+
+
 def test_labels_are_not_broadcast(spark, plans):
     links = spark.createDataFrame([(k, k + 1) for k in range(20)], "u long, v long")
     assert {r.component for r in components.connected_components(links).collect()} == {0}

@@ -1,48 +1,83 @@
-"""Connected components of a table of links, by label spreading with pointer jumping, and the roots of a forest."""
+"""Connected components of a table of links, by stars inside partitions and label spreading with pointer jumping, and the roots of a forest."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import discard, settle
+from pageloom.llm.common import discard, give_back, settle
 
 MAX_ROUNDS = 200
+#: Links of a partition that are put together at one time, about.
+CHUNK = 500_000
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links (u, v) that isn't the smallest of its component, and that smallest node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    top = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        apart = low != high
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(top, high[apart], low[apart])
+        while (top[top] != top).any():
+            top = top[top]
+    below = np.flatnonzero(top != np.arange(len(nodes)))
+    return nodes[below], nodes[top[below]]
+
+
+def stars_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a partition's links, chunk after chunk."""
+
+    def joined() -> pa.RecordBatch:
+        u, v = stars(*(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield joined()
+            held, rows = [], 0
+    if rows:
+        yield joined()
+    give_back()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links(u, v), component being the smallest node that it reaches.
 
-    First each node's smallest neighbour is linked with the node and with its other smaller neighbours,
-    which keeps the components and leaves far fewer links between hubs. Then every node each round takes the smallest label among its own, its neighbours' and its label's own
-    label, so a path of length n closes in about log n rounds. Minima are combined before the shuffle,
-    and the joins meet one label row a node, so a node with very many links only makes a join side
+    First each task puts a star around the smallest node of each component among its own links, chunk after chunk,
+    which keeps the components and leaves a round to little more than what crosses tasks. Then every node each round takes
+    the smallest label among its own, its neighbours' and its label's own label, so a path of length n closes in about
+    log n rounds. A label's own label is met as one more neighbour, so a round is one join and one grouping: each further
+    one would be a job more, and what the driver holds grows with jobs. Minima are combined before the shuffle,
+    and the join meets one label row a node, so a node with very many links only makes a join side
     that adaptive execution can split. Labels are written to the shared folder after each round, and none of
     them is broadcast: that would pass through the driver two or three times a round.
     """
-    downward = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    lowest = downward.groupBy("u").agg(F.min("v").alias("low"))
-    hubs = downward.join(lowest, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-    # written before it is doubled: a plan holds whatever it uses twice two times, and all of that is the driver's
-    fewer = settle(lowest.select("u", F.col("low").alias("v")).union(hubs), "fewer")
-    both = settle(fewer.union(fewer.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    discard(fewer)
-    labels = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    starred = links.where("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct().mapInArrow(stars_of, "u long, v long")
+    ways = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ("uv", "vu", "uu", "vv")))
+    both = settle(starred.select(F.explode(ways).alias("way")).select("way.*").distinct(), "links")
+    labels = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "labels")
     for _ in range(MAX_ROUNDS):
-        heard = both.join(labels.select(F.col("node").alias("v"), "component").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("m"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        step = (
-            labels.join(jump.hint("merge"), "component", "left")
-            .join(heard.hint("merge"), "node", "left")
-            .select("node", F.col("component").alias("before"), F.least("component", "far", "m").alias("component"))
-        )
+        ends = both.union(labels.select("node", "component"))
+        heard = ends.join(labels.select(F.col("node").alias("v"), F.col("component").alias("label")).hint("merge"), "v")
+        step = heard.groupBy(F.col("u").alias("node")).agg(F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("before"), F.min("label").alias("component"))
         new = settle(step, "labels")
         changed = not new.where(F.col("before") != F.col("component")).isEmpty()
         discard(labels)
-        labels = new
-        labels_out = labels.drop("before")
-        labels_out.settled_at = labels.settled_at
-        labels = labels_out
+        labels = new.drop("before")
+        labels.settled_at = new.settled_at
         if not changed:
             discard(both)
             return labels

@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pageloom.llm import components, minhash_dedup
@@ -60,3 +62,37 @@ def test_labels_are_not_broadcast(spark, plans):
     rounds = [plan for name, plan in plans if name in ("labels", "parents") and "Join" in plan]
     assert len(rounds) > 4
     assert not any("Broadcast" in plan for plan in rounds)
+
+
+def shuffled_path(n):
+    """A path through the nodes 0 to n - 1 in an order without pattern."""
+    order = np.random.default_rng(7).permutation(n)
+    return [(int(a), int(b)) for a, b in zip(order, order[1:], strict=False)]
+
+
+def test_long_paths_take_few_rounds_of_one_join(spark, plans):
+    """Each round is a few jobs, and what the driver holds grows with jobs: tasks put their own links together before."""
+    got = components.connected_components(spark.createDataFrame(shuffled_path(2000), "u long, v long"))
+    assert {r.component for r in got.collect()} == {0} and got.count() == 2000
+    rounds = [plan for _, plan in plans if "Join" in plan]
+    assert len(plans) <= 4 and len(rounds) <= 2, [name for name, _ in plans]
+    assert all(len(re.findall(r"SortMergeJoin\b", plan)) == 1 for plan in rounds)
+
+
+def test_components_across_tasks(spark):
+    links = shuffled_path(300) + [(1000 + a, 1000 + b) for a, b in shuffled_path(40)] + [(5000, k) for k in range(5001, 5200)] + [(9, 9), (7000, 7000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: 0 for k in range(300)} | {k: 1000 for k in range(1000, 1040)} | {k: 5000 for k in range(5000, 5200)}
+
+
+def test_stars_of_chunks(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"u": [5, 9, 3, 8], "v": [9, 7, 8, 2]})
+    later = pa.RecordBatch.from_pydict({"u": [7], "v": [1]})
+    pairs = lambda: [sorted(zip(*b.to_pydict().values(), strict=True)) for b in components.stars_of(iter([batch, later]))]
+    assert pairs() == [[(3, 2), (5, 1), (7, 1), (8, 2), (9, 1)]]
+    monkeypatch.setattr(components, "CHUNK", 4)
+    assert pairs() == [[(3, 2), (7, 5), (8, 2), (9, 5)], [(7, 1)]]

@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by stars inside partitions and label spreading with pointer jumping, and the roots of a forest."""
+"""Connected components of a table of links, by stars inside tasks and contraction, and the roots of a forest."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import discard, give_back, settle
 
 MAX_ROUNDS = 200
-#: Links of a partition that are put together at one time, about.
+#: Links of a task, which are put together at one time, about.
 CHUNK = 500_000
 
 
@@ -56,32 +56,62 @@ def stars_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links(u, v), component being the smallest node that it reaches.
 
-    First each task puts a star around the smallest node of each component among its own links, chunk after chunk,
-    which keeps the components and leaves a round to little more than what crosses tasks. Then every node each round takes
-    the smallest label among its own, its neighbours' and its label's own label, so a path of length n closes in about
-    log n rounds. A label's own label is met as one more neighbour, so a round is one join and one grouping: each further
-    one would be a job more, and what the driver holds grows with jobs. Minima are combined before the shuffle,
-    and the join meets one label row a node, so a node with very many links only makes a join side
-    that adaptive execution can split. Labels are written to the shared folder after each round, and none of
-    them is broadcast: that would pass through the driver two or three times a round.
+    There is a task for CHUNK links, whatever the number of shuffle partitions, and each puts a star around the smallest
+    node of each component among its links. Links that fit into one task are done by that, without a join. Others are
+    contracted: every node hooks onto its smallest centre, which is smaller than itself, so that these make a forest; links are
+    then carried over to its roots, and those inside one tree go. A root that isn't done has a smaller neighbour after that, or has
+    taken in another node, so two rounds halve the nodes of an unfinished component at least, and a round joins only
+    links that the ones before have left. The joins meet one label row a node, so a node with very many links only
+    makes a join side that adaptive execution can split. Labels are written to the shared folder, and none
+    of them is broadcast: that would pass through the driver two or three times a round.
     """
-    starred = links.where("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct().mapInArrow(stars_of, "u long, v long")
-    ways = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ("uv", "vu", "uu", "vv")))
-    both = settle(starred.select(F.explode(ways).alias("way")).select("way.*").distinct(), "links")
-    labels = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "labels")
+    left, labels, used = downward(links), None, []
     for _ in range(MAX_ROUNDS):
-        ends = both.union(labels.select("node", "component"))
-        heard = ends.join(labels.select(F.col("node").alias("v"), F.col("component").alias("label")).hint("merge"), "v")
-        step = heard.groupBy(F.col("u").alias("node")).agg(F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("before"), F.min("label").alias("component"))
-        new = settle(step, "labels")
-        changed = not new.where(F.col("before") != F.col("component")).isEmpty()
-        discard(labels)
-        labels = new.drop("before")
-        labels.settled_at = new.settled_at
-        if not changed:
-            discard(both)
-            return labels
-    raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
+        left = settle(left, "links")
+        discard(*used)
+        tasks = -(-left.count() // CHUNK)
+        starred = left.coalesce(max(tasks, 1)).mapInArrow(stars_of, "u long, v long")
+        if tasks <= 1:
+            tops = starred.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            if labels is None:
+                out, used = settle(with_roots(tops), "labels"), [left]
+            else:
+                tops = settle(tops, "tops")
+                out, used = settle(with_roots(carried(labels, tops)), "labels"), [left, tops, labels]
+            discard(*used)
+            return out
+        starred = settle(starred, "stars")
+        tops = roots(starred.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
+        used = [left, starred]
+        if labels is None:
+            labels = tops
+        else:
+            used += [tops, labels]
+            labels = settle(carried(labels, tops), "labels")
+        left = downward(onto(onto(starred, tops, "u"), tops, "v"))
+    raise RuntimeError(f"links are left after {MAX_ROUNDS} rounds")
+
+
+def downward(links: DataFrame) -> DataFrame:
+    """Distinct links (u, v) with u > v."""
+    return links.where("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
+
+
+def onto(rows: DataFrame, tops: DataFrame, at: str) -> DataFrame:
+    """rows with the nodes of a column replaced by their components in tops(node, component), where they have one."""
+    far = tops.select(F.col("node").alias(at), F.col("component").alias("_far")).hint("merge")
+    return rows.join(far, at, "left").select(*(F.coalesce("_far", at).alias(at) if c == at else c for c in rows.columns))
+
+
+def carried(labels: DataFrame, tops: DataFrame) -> DataFrame:
+    """labels carried over to tops(node, component) of their components, and the rows of tops."""
+    return onto(labels, tops, "component").union(tops.select("node", "component"))
+
+
+def with_roots(labels: DataFrame) -> DataFrame:
+    """labels(node, component) and a row of each component's own."""
+    rows = F.array(F.struct("node", "component"), F.struct(F.col("component").alias("node"), "component"))
+    return labels.select(F.explode(rows).alias("row")).select("row.*").distinct()
 
 
 def roots(parents: DataFrame) -> DataFrame:

@@ -96,3 +96,49 @@ def test_stars_of_chunks(monkeypatch):
     assert pairs() == [[(3, 2), (5, 1), (7, 1), (8, 2), (9, 1)]]
     monkeypatch.setattr(components, "CHUNK", 4)
     assert pairs() == [[(3, 2), (7, 5), (8, 2), (9, 5)], [(7, 1)]]
+
+
+def near_group(n, hubs):
+    """Links of n members of one group with six of its hubs each, as buckets give them, and another group of two."""
+    draw = np.random.default_rng(3)
+    links = [(k, int(h)) for k in range(hubs, n) for h in draw.choice(hubs, 6, replace=False)]
+    return [*links, (n, n + 1)], {k: 0 for k in range(n)} | {n: n, n + 1: n}
+
+
+def test_large_groups_meet_no_join_in_many_partitions(spark, plans):
+    """Tasks go by the number of links, not by that of shuffle partitions: a round was a join of every link, and took place again and again."""
+    links, want = near_group(3000, 60)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dict(got) == want and len(got) == len(want)
+    assert not [name for name, plan in plans if "Join" in plan]
+
+
+@pytest.mark.parametrize("links, want", [near_group(400, 40), (shuffled_path(300) + [(900, 901)], {k: 0 for k in range(300)} | {900: 900, 901: 900})])
+def test_links_of_many_tasks_are_contracted(spark, monkeypatch, links, want):
+    """A round joins only what the rounds before have left."""
+    left, plain = [], components.settle
+
+    def settle(df, name):
+        out = plain(df, name)
+        left.extend([out.count()] if name == "links" else [])
+        return out
+
+    monkeypatch.setattr(components, "settle", settle)
+    monkeypatch.setattr(components, "CHUNK", 20)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # a task a file or two
+    try:
+        got = [tuple(r) for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert dict(got) == want and len(got) == len(want)
+    assert len(left) > 1 and left == sorted(left, reverse=True) and sum(left) < 2 * left[0], left

@@ -142,3 +142,16 @@ def test_links_of_many_tasks_are_contracted(spark, monkeypatch, links, want):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert dict(got) == want and len(got) == len(want)
     assert len(left) > 1 and left == sorted(left, reverse=True) and sum(left) < 2 * left[0], left
+
+
+def test_near_copies_in_many_partitions_join_no_labels(spark, plans):
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join([*words[:30], f"x{k}", *words[30:]])) for k in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.component_id for r in minhash_dedup.find_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == dict.fromkeys(range(40), 0)
+    labels = [plan for name, plan in plans if name == "labels"]
+    assert labels and not any("Join" in plan for plan in labels)

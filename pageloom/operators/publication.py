@@ -17,13 +17,13 @@ TEXT_LABELS = ("title", "section_header_1", "section_header_2", "section_header_
 def sections(blocks: DataFrame) -> DataFrame:
     """blocks(doc_id, ord, page, level, text) with their section: 0 before the first H1, then counted by H1s.
 
-    An H1 with the key of the H1 before it goes on with that section.
+    An H1 with the key of the H1 before it goes on with that section. Rows of one place have one section, after all the starts there.
     """
     h1 = blocks.where(F.col("level") == 1).withColumn("key", section_key(F.col("text")))
     order = Window.partitionBy("doc_id").orderBy("ord")
     starts = h1.withColumn("starts", ~F.col("key").eqNullSafe(F.lag("key").over(order))).select("doc_id", "ord", "starts")
     met = blocks.join(starts, ["doc_id", "ord"], "left")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return met.withColumn("section", F.sum(F.coalesce(F.col("starts"), F.lit(False)).cast("int")).over(so_far).cast("bigint")).withColumn("starts", F.coalesce("starts", F.lit(False)))
 
 

@@ -141,13 +141,16 @@ def reader_sections(section_rows: DataFrame) -> DataFrame:
 def own_titles(sectioned: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks without a section's first heading where it says what the section's title says, and titles(doc_id, section, title) with a display title.
 
-    The heading of such a section is its display title; front matter keeps its own.
+    The heading of such a section is its display title; front matter keeps its own. Of blocks in one place only one is the heading.
     """
-    inner = sectioned.where(F.col("level").between(2, 5) & (F.col("section") > 0))
-    first = inner.groupBy("doc_id", "section").agg(F.min(F.struct("ord", "text")).alias("h"))
-    said = titles.join(first, ["doc_id", "section"]).where(section_key(F.col("h.text")) == section_key(F.col("title"))).select("doc_id", "section", F.col("h.ord").alias("ord"), F.col("h.text").alias("said"))
-    shown = titles.join(said.drop("ord"), ["doc_id", "section"], "left").withColumn("display_title", F.coalesce(F.nullif("said", F.lit("")), "title")).drop("said")
-    return sectioned.join(said.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti"), shown
+    inner = F.coalesce(F.col("level").between(2, 5) & (F.col("section") > 0), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy((~inner).cast("int"), "ord", "text"))
+    marked = sectioned.withColumn("_heads", inner & (nth == 1))
+    first = marked.where("_heads").select("doc_id", "section", F.col("text").alias("said"))
+    said = titles.join(first, ["doc_id", "section"]).where(section_key(F.col("said")) == section_key(F.col("title"))).select("doc_id", "section", "said")
+    shown = titles.join(said, ["doc_id", "section"], "left").withColumn("display_title", F.coalesce(F.nullif("said", F.lit("")), "title")).drop("said")
+    gone = said.select("doc_id", "section", F.lit(True).alias("_heads"))
+    return marked.join(gone, ["doc_id", "section", "_heads"], "left_anti").select(*sectioned.columns), shown
 
 
 def major_headings(headings: DataFrame) -> DataFrame:

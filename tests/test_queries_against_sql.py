@@ -19,7 +19,7 @@ def same(spark, tmp_path, name, tables):
     return sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["sections", "section_neighbours", "reader_sections"])
+@pytest.mark.parametrize("name", ["sections", "section_neighbours", "reader_sections", "display_titles"])
 def test_line_items_of_one_place(spark, tmp_path, name):
     # of each order two items have one number and part: first-level headings, or the first heading of a section, which says its title
     rows = [(1, 1, 4, 1), (1, 2, 25, 1), (1, 2, 25, 2), (1, 3, 5, 1), (2, 1, 20, 1), (2, 2, 26, 1), (2, 2, 26, 2), (2, 3, 6, 1), (3, 1, 1, 1), (3, 1, 1, 2), (3, 2, 10, 3)]

@@ -24,3 +24,8 @@ def test_line_items_of_one_place(spark, tmp_path, name):
     # of each order two items have one number and part: first-level headings, or the first heading of a section, which says its title
     rows = [(1, 1, 4, 1), (1, 2, 25, 1), (1, 2, 25, 2), (1, 3, 5, 1), (2, 1, 20, 1), (2, 2, 26, 1), (2, 2, 26, 2), (2, 3, 6, 1), (3, 1, 1, 1), (3, 1, 1, 2), (3, 2, 10, 3)]
     assert same(spark, tmp_path, name, {"lineitem": (rows, LINES)})
+
+
+def test_contents_of_long_orders(spark, tmp_path):
+    rows = [(o, 1 + n % 7, 100 * o + n, n) for o in range(60, 66) for n in range(19 + o % 3 * 10)]
+    assert same(spark, tmp_path, "page_entries", {"lineitem": (rows, LINES)})

@@ -29,3 +29,8 @@ def test_line_items_of_one_place(spark, tmp_path, name):
 def test_contents_of_long_orders(spark, tmp_path):
     rows = [(o, 1 + n % 7, 100 * o + n, n) for o in range(60, 66) for n in range(19 + o % 3 * 10)]
     assert same(spark, tmp_path, "page_entries", {"lineitem": (rows, LINES)})
+
+
+def test_colours_of_large_keys(spark, tmp_path):
+    rows = [(k,) for k in (1, 215_000, 216_000, 1_200_000, 7_200_000, 9_000_000_000)]
+    assert same(spark, tmp_path, "synthetic_artifact_spans", {"part": (rows, "p_partkey long")})

@@ -241,10 +241,13 @@ def find_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
-    """(u, v, shared): each node with the smallest node of each bucket that holds both, and how many tables they share so."""
+    """(u, v, shared): each node with the smallest node of each bucket that holds both, and how many tables they share so.
+
+    Spark takes the exploded keys to be as small as the table of nodes, which is why their join is named: they must not be broadcast.
+    """
     keys = table_keys(nodes)
     full = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("key", "v")
-    return keys.join(full, "key").where("node != v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("shared"))
+    return keys.join(full.hint("merge"), "key").where("node != v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("shared"))
 
 
 def blocks_of(n: str) -> Column:
@@ -302,7 +305,7 @@ def refined(large: DataFrame, sets: DataFrame) -> DataFrame:
     shingles = sets.join(large, "node").select("node", "family", "cluster", "n", F.explode("members").alias("shingle"))
     common = shingles.groupBy("family", "shingle").agg(F.count("*").alias("held")).where("held > 1")
     # shingles that no other member has come first, and need no row of their own: they only take places
-    met = shingles.join(common, ["family", "shingle"])
+    met = shingles.join(common.hint("merge"), ["family", "shingle"])  # neither may be broadcast, however small Spark takes exploded sets to be
     places = met.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("kept"), F.first("family").alias("family"), F.first("cluster").alias("cluster"))
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.size("kept"))
     rare = places.where(prefix > 0).select("node", "family", "cluster", F.explode(F.slice("kept", F.lit(1), prefix.cast("int"))).alias("s"))

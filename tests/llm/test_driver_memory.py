@@ -155,3 +155,13 @@ def test_near_copies_in_many_partitions_join_no_labels(spark, plans):
     assert got == dict.fromkeys(range(40), 0)
     labels = [plan for name, plan in plans if name == "labels"]
     assert labels and not any("Join" in plan for plan in labels)
+
+
+def test_exploded_keys_are_not_broadcast(spark, tmp_path):
+    """Spark sizes an exploded table as the one before, 100 times too low, and at its own threshold would send it through the driver."""
+    pieces = [[k * 100 + j for j in range(minhash_dedup.SIDE)] for k in range(50)]
+    spark.createDataFrame([(k // 2, p, p) for k, p in enumerate(pieces + pieces)], "node long, first array<long>, second array<long>").write.parquet(f"{tmp_path}/nodes")
+    links = minhash_dedup.candidate_links(spark.read.parquet(f"{tmp_path}/nodes"))
+    assert links.count() > 0
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan

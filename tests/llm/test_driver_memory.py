@@ -165,3 +165,9 @@ def test_exploded_keys_are_not_broadcast(spark, tmp_path):
     assert links.count() > 0
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_the_pipeline_stage_broadcasts_no_exploded_keys(spark, plans):
+    docs = spark.createDataFrame(family(100), "doc_id long, text string")
+    assert minhash_dedup.keep_one(docs).count() == 100
+    assert "BroadcastExchange" not in dict(plans)["candidates"]

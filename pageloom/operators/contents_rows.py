@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageloom.functions.text import PAGE, contents_row, contents_text, match_key
-from pageloom.operators.sequential import clusters
+from pageloom.operators.sequential import clusters, together
 
 #: Rows of an outline that are first-level, and those of them that may come without a page (fixed values).
 TOP = r"(?i)^(?:(?:chapter|part)\s+(?:\d+|[ivxlcdm]+)\b|\d+[.)]\s+.+|preface|foreword|terms?\s+of\s+reference|scope\s+of\s+(?:the\s+)?report|glossary(?:\s+of\b.*)?|abbreviations?|acronyms?|executive\s+summary|recommendations?|contributors?|acknowledg(?:e)?ments?|appendices|bibliography|references|index|list\s+of\s+(?:figures|tables|recommendations)|about\s+the\s+commission)\s*(?::.*)?$"
@@ -207,7 +207,7 @@ def page_entries(lines: DataFrame) -> DataFrame:
         if out:
             yield pack()
 
-    ordered = line_kinds(lines).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "pos")
+    ordered = together(line_kinds(lines), "doc_id", "page").sortWithinPartitions("doc_id", "page", "pos")
     found = ordered.mapInArrow(pages, "doc_id bigint, page int, ord int, title string, printed string, l double, t double, r double, b double, indent double, prominent boolean")
     keyed = found.withColumn("key", match_key(F.col("title"))).where("key <> ''")
     same = Window.partitionBy("doc_id", "page", "key", F.lower(F.coalesce("printed", F.lit(""))), F.bround("l", 0), F.bround("t", 0)).orderBy("ord")

@@ -58,18 +58,23 @@ def numbers_complete(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("doc_id").agg((F.max("number") - F.min("number") + 1 == F.count_distinct("number")).alias("complete"))
 
 
-def mended_gaps(entries: DataFrame) -> DataFrame:
-    """entries(doc_id, sequence, title, level, number, prominent): between chapters n and m the first m - n - 1 prominent second-level rows become chapters."""
+def with_gaps_mended(entries: DataFrame, prominent: Column) -> DataFrame:
+    """entries(doc_id, sequence, title, level, number, ...): between chapters n and m the first m - n - 1 prominent second-level rows become chapters."""
     order = Window.partitionBy("doc_id").orderBy("sequence")
     before = F.last("number", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("number", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    spans = entries.withColumns({"before": before, "after": after})
-    candidate = F.col("number").isNull() & F.col("prominent") & (F.col("level") == 2)
-    nth = F.sum(candidate.cast("int")).over(Window.partitionBy("doc_id", "before").orderBy("sequence"))
-    made = candidate & (nth <= F.col("after") - F.col("before") - 1)
-    number = F.col("before") + nth
-    titled = F.concat(F.lit("Chapter "), number.cast("string"), F.lit(": "), "title")
-    return spans.select("doc_id", "sequence", F.when(made, titled).otherwise(F.col("title")).alias("title"), F.when(made, 1).otherwise(F.col("level")).alias("level"), F.when(made, number).otherwise(F.col("number")).alias("number"))
+    spans = entries.withColumns({"_before": before, "_after": after})
+    candidate = F.col("number").isNull() & prominent & (F.col("level") == 2)
+    nth = F.sum(candidate.cast("int")).over(Window.partitionBy("doc_id", "_before").orderBy("sequence"))
+    made = candidate & (nth <= F.col("_after") - F.col("_before") - 1)
+    spans = spans.withColumn("_made", F.when(made, F.col("_before") + nth))
+    is_made, titled = F.col("_made").isNotNull(), F.concat(F.lit("Chapter "), F.col("_made").cast("string"), F.lit(": "), "title")
+    return spans.withColumns({"title": F.when(is_made, titled).otherwise(F.col("title")), "level": F.when(is_made, 1).otherwise(F.col("level")), "number": F.coalesce("_made", "number")}).drop("_before", "_after", "_made")
+
+
+def mended_gaps(entries: DataFrame) -> DataFrame:
+    """entries(doc_id, sequence, title, level, number, prominent) with numbered gaps mended."""
+    return with_gaps_mended(entries, F.col("prominent")).select("doc_id", "sequence", "title", "level", "number")
 
 
 def demoted_inside(entries: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -127,16 +132,19 @@ def outline_levels(entries: DataFrame) -> DataFrame:
     nth = F.sum(F.col("appendix").cast("int")).over(Window.partitionBy("doc_id", "part").orderBy("sequence"))
     rows = rows.withColumn("heads", F.col("appendix") & (nth == 1) & ~F.col("named"))
     rows = rows.withColumn("level", F.when((F.col("level") == 1) & ~F.col("appendix"), 1).otherwise(2))
-    put_in = rows.where("heads").withColumns({"title": F.lit("Appendices"), "level": F.lit(1), "sequence": F.col("sequence") - F.lit(0.5), "prominent": F.lit(False)})
-    rows = rows.withColumn("sequence", F.col("sequence").cast("double")).unionByName(put_in.withColumn("sequence", F.col("sequence").cast("double")))
+    rows = rows.withColumn("sequence", F.col("sequence").cast("double"))
+    # rows are put in, mended and given their tiers without leaving their document, so that they are shuffled once
+    held = [c for c in entries.columns if c != "doc_id"]
+    new = {"title": F.lit("Appendices"), "level": F.lit(1), "sequence": F.col("sequence") - 0.5, "prominent": F.lit(False)}
+    own, put_in = (F.struct(*[values.get(c, F.col(c)).alias(c) for c in held]) for values in ({}, new))
+    rows = rows.select("doc_id", F.explode(F.when(F.col("heads"), F.array(put_in, own)).otherwise(F.array(own))).alias("r")).select("doc_id", "r.*")
     number = F.regexp_extract("title", r"(?i)^chapter\s+(\d+)\b", 1)
-    rows = rows.withColumn("number", F.nullif(number, F.lit("")).cast("int"))
     likely = F.col("prominent") & F.coalesce(F.col("printed").rlike(r"^\d+$"), F.lit(False)) & ~title.rlike(NO_CHAPTER)
-    mended = mended_gaps(rows.withColumn("prominent", likely)).select("doc_id", "sequence", F.col("title").alias("new_title"), F.col("level").alias("new_level"))
-    rows = rows.join(mended, ["doc_id", "sequence"]).withColumns({"title": F.col("new_title"), "level": F.col("new_level").cast("int")}).drop("new_title", "new_level", "number", "part", "appendix", "named", "heads")
+    rows = with_gaps_mended(rows.withColumn("number", F.nullif(number, F.lit("")).cast("int")), likely).withColumn("level", F.col("level").cast("int")).drop("number")
     rows = rows.withColumn("parent", F.sum((F.col("level") == 1).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     tiers = rows.where((F.col("level") != 1) & (F.col("parent") > 0)).groupBy("doc_id", "parent").agg(first_tier(F.array_sort(F.collect_list(F.col("indent").cast("double")))).alias("tier"))
-    rows = rows.join(tiers, ["doc_id", "parent"], "left")
+    by_document = tiers.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("parent", "tier"))).alias("tiers"))
+    rows = rows.join(by_document, "doc_id", "left").withColumn("tier", F.try_element_at("tiers", "parent")).drop("tiers")
     deep = (F.col("level") != 1) & (F.col("indent") > F.col("tier") + STEP)
     return rows.withColumn("level", F.when(F.coalesce(deep, F.lit(False)), 3).otherwise(F.col("level"))).withColumn("sequence", F.row_number().over(order) - 1).drop("parent", "tier")
 

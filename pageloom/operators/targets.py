@@ -14,7 +14,7 @@ from pageloom.functions.text import match_key
 from pageloom.operators import layout
 from pageloom.operators.contents import bookmark_targets
 from pageloom.operators.sequential import with_keys
-from pageloom.operators.similarity import likely_pairs, scored, with_marks
+from pageloom.operators.similarity import likely_pairs, scored, signs_of, wanted_signs, with_marks
 from pageloom.sources.settled import settled
 
 #: The longest line that counts; thresholds of titles of up to two words, and of longer ones; the least length of a title that a page is searched for (fixed values).
@@ -54,10 +54,12 @@ def voted_offsets(entries: DataFrame, lines: DataFrame) -> DataFrame:
     keyed = with_keys(entries, "title", "keys").withColumn("number", _number(F.col("printed")))
     anchors = keyed.where((F.col("level") == 1) & F.col("number").isNotNull() & (F.size(F.split(match_key(F.col("title")), " ")) >= 2))
     first = anchors.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("sequence"))).where(F.col("n") <= ANCHORS)
-    near = first.select("doc_id", "sequence", "keys", "contents_end", F.explode(F.sequence(F.col("number") + OFFSETS[0], F.col("number") + OFFSETS[1])).alias("page")).where(F.col("page") > F.coalesce("contents_end", F.lit(0)))
+    first = first.select("doc_id", "sequence", "keys", "number", F.coalesce("contents_end", F.lit(0)).alias("end"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     whole = lines.join(first.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "page").agg(match_key(F.array_join(F.transform(ordered, lambda x: x["text"]), " ")).alias("page_text"))
-    stands = near.join(whole, ["doc_id", "page"]).where(F.exists("keys", lambda k: (F.length(k) >= LEAST_KEY) & F.contains(F.col("page_text"), k)))
+    # the few entries that vote meet the pages there are, instead of being written out for all pages that may be
+    near = first.join(whole, "doc_id").where((F.col("page") > F.col("end")) & (F.col("page") - F.col("number")).between(*OFFSETS))
+    stands = near.where(F.exists("keys", lambda k: (F.length(k) >= LEAST_KEY) & F.contains(F.col("page_text"), k)))
     return layout.offset_vote(first.select("doc_id", F.col("sequence").alias("ord"), F.col("sequence").alias("key"), F.col("number").alias("printed")), stands.select("doc_id", "page", F.col("sequence").alias("key")), *OFFSETS, ANCHORS)
 
 
@@ -68,7 +70,10 @@ def by_text(entries: DataFrame, lines: DataFrame) -> DataFrame:
     """
     least = F.when(F.size(F.split(match_key(F.col("title")), " ")) <= 2, SHORT_TITLE).otherwise(LONG_TITLE)
     open_now = with_marks(entries.where("target is null"), "title", "entry_keys").select("doc_id", "sequence", "entry_keys", F.coalesce("contents_end", F.lit(0)).alias("end"), least.alias("least"))
-    short = lines.where(F.length("text").between(1, LONGEST_LINE)).join(open_now.select("doc_id").distinct(), "doc_id", "left_semi")
+    # lines of the contents, and those that share no sign with any title of their document, need no marks
+    wanted = open_now.groupBy("doc_id").agg(F.min("end").alias("least_end"), F.array_distinct(F.flatten(F.collect_list(wanted_signs(F.col("entry_keys"), F.col("least"))))).alias("signs"))
+    after = lines.where(F.length("text").between(1, LONGEST_LINE)).join(wanted, "doc_id").where(F.col("page") > F.col("least_end"))
+    short = with_keys(after, "text", "keys").where(F.arrays_overlap(signs_of(F.col("keys")), "signs")).select("doc_id", "page", "pos", "t", "text")
     own = with_marks(short, "text", "line_keys").select("doc_id", "page", "pos", "t", "line_keys")
     pairs = likely_pairs(open_now, own, ["doc_id"], "entry_keys", "line_keys", F.col("least")).where(F.col("page") > F.col("end"))
     on_page = scored(pairs, "entry_keys", "line_keys", F.col("least")).groupBy("doc_id", "sequence", "page").agg(F.max_by("t", F.struct("score", -F.col("pos"))).alias("top"))
